@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["grading"]
+FAMILIES = ["analytics", "grading"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
