@@ -51,15 +51,15 @@ def is_read_only(sql: Column) -> Column:
 
 
 def is_uncapped_select(sql: Column) -> Column:
-    return F.lower(sql).startswith("select") & ~sql.rlike(ROW_CAP)
+    body = strip(sql)
+    return F.lower(body).startswith("select") & ~body.rlike(ROW_CAP)
 
 
 def capped(sql: Column) -> Column:
     """A SELECT without any LIMIT gets one; other statements stay as they are."""
-    ended = F.rtrim(strip(sql), F.lit(";"))
-    return F.when(
-        is_uncapped_select(sql), F.concat(ended, F.lit(f"\nLIMIT {SAMPLE_ROWS}"))
-    ).otherwise(sql)
+    body = strip(sql)
+    cut = F.concat(F.rtrim(body, F.lit(";")), F.lit(f"\nLIMIT {SAMPLE_ROWS}"))
+    return F.when(is_uncapped_select(sql), cut).otherwise(body)
 
 
 def _occurrences(text: Column, word: str) -> Column:

@@ -290,13 +290,13 @@ def fee_by_correlated_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         orders.join(per_order, orders["o_orderkey"] == per_order["l_orderkey"])
         .groupBy("o_custkey")
-        .agg(F.round(F.sum(F.col("quantity") * F.col("mean_tax")), 4).alias("fee"))
+        .agg(F.round(F.sum(F.col("quantity") * F.col("mean_tax")), 8).alias("fee"))
     )
 
 
 FEE_SQL = """
 select o_custkey,
-  round(sum(l_quantity * (select avg(t.l_tax) from lineitem t where t.l_orderkey = o_orderkey)), 4)
+  round(sum(l_quantity * (select avg(t.l_tax) from lineitem t where t.l_orderkey = o_orderkey)), 8)
     as fee
 from orders join lineitem on o_orderkey = l_orderkey group by o_custkey
 """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["analytics", "grading"]
+FAMILIES = ["analytics", "grading", "sql_texts"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
