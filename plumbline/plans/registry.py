@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["analytics", "grading", "sql_texts"]
+FAMILIES = ["analytics", "grading", "sql_texts", "context"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
