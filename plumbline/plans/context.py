@@ -6,8 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
+from plumbline.functions.answers import tree_text
 from plumbline.operators import catalogue as C
-from plumbline.sources.tables import derive, plain
+from plumbline.operators import lessons as L
+from plumbline.operators import prompts as P
+from plumbline.operators.batch import run_batch
+from plumbline.plans import records
+from plumbline.session import fresh_path, shared_folder
+from plumbline.sources.questions import normalise
+from plumbline.sources.tables import derive, load, plain
 
 # ------------------------------------------------------------------------- catalogue
 
@@ -279,6 +286,152 @@ select doc_id, length(text) as full_length,
 from w
 """
 
+# --------------------------------------------------------------------------- prompts
+
+# Every user turn is a question about one of the databases; a third of the questions name a
+# document, some of which do not exist. The turn decides the shape of the prompt.
+QUESTIONS = """
+select conv_id, turn, cast(conv_id as string) || '/' || cast(turn as string) as instance_id,
+       case when turn % 3 = 0 then text end as instruction, text as question,
+       'DB' || cast(conv_id % 27 + 1 as string) as db_id,
+       case when conv_id % 3 = 0 then 'doc' || cast(conv_id as string) end as external_knowledge,
+       case turn % 3 when 0 then 'first' when 1 then 'requirements' else 'execution' end as shape,
+       turn + 1 as attempt, 'SELECT ' || cast(conv_id as string) as previous_sql,
+       '- Subtask #2: wrong' as failed_subtasks, 'syntax' as error_type,
+       'invalid identifier' as error_message, turn as pos
+from {conversations} where role <> 'assistant'
+"""
+DOC_NAMES = "select 'doc' || cast(doc_id as string) as name, content from (" + DOCS + ")"
+PROMPT_LESSONS = 5
+
+
+def questions_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalise(derive(spark, sf_dir, QUESTIONS)).select(
+        "instance_id", "nlq", "db_id", "external_knowledge"
+    )
+
+
+QUESTIONS_SQL = plain(
+    f"""select instance_id, coalesce(instruction, question, '') as nlq, db_id,
+  coalesce(external_knowledge, '') as external_knowledge from ({QUESTIONS})"""
+)
+
+
+def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = derive(spark, sf_dir, QUESTIONS)
+    questions = normalise(asked).join(
+        asked.drop("db_id", "external_knowledge", "question", "instruction", "pos"), "instance_id"
+    )
+    return P.load_context(
+        questions, _ddl(spark, sf_dir, DDL_BUDGET), derive(spark, sf_dir, DOC_NAMES), DOCS_BUDGET
+    )
+
+
+def prompt_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt of every question: schema, document, transcript, lessons, subtasks, feedback."""
+    trees = records._trees(spark, sf_dir).select(
+        "conv_id", "turn", tree_text(F.col("tree")).alias("tree_text")
+    )
+    transcripts = records.transcript_text(spark, sf_dir).withColumnRenamed("user_id", "conv_id")
+    context = (
+        _context(spark, sf_dir)
+        .join(trees, ["conv_id", "turn"])
+        .join(transcripts, "conv_id", "left")
+        .withColumn("transcript", F.coalesce("transcript", F.lit("")))
+    )
+    lessons = L.lessons_text(derive(spark, sf_dir, records.LESSONS), PROMPT_LESSONS)
+    prompts = P.assemble(context, lessons)
+    return prompts.select(
+        "instance_id",
+        "shape",
+        F.length("prompt").cast("bigint").alias("n_chars"),
+        F.md5("prompt").alias("prompt_md5"),
+    )
+
+
+PROMPT_TABLE_SQL = f"""
+with q as ({plain(QUESTIONS)}),
+ddl as (with {_DDL_PIECES_SQL} {_cut_sql(DDL_BUDGET)}),
+docs as (with {_TOC_CTES}
+  select 'doc' || doc_id as name,
+    case when length(text) > {DOCS_BUDGET}
+         then left(text, {DOCS_BUDGET}) || chr(10) || '... (truncated)' || chr(10) else text end as docs
+  from w),
+trees as ({records.SUBTASK_TREE_TEXT_SQL}),
+scripts as ({records.TRANSCRIPT_TEXT_SQL}),
+lessons as ({records._LESSONS_TEXT_SQL.replace("limit 40", f"limit {PROMPT_LESSONS}")}),
+p as (
+  select q.instance_id, q.shape,
+    case q.shape when 'first' then 'Write a Spark SQL query to answer the question.'
+      when 'requirements' then 'Fix your SQL — it failed requirements.'
+      else 'Fix your SQL — it hit a Spark error.' end
+    || repeat(chr(10), 2) || 'SCHEMA:' || chr(10) || coalesce(ddl.ddl, '')
+    || repeat(chr(10), 2)
+    || case when coalesce(docs.docs, '') <> '' then 'ADDITIONAL DOCUMENTATION:' || chr(10) || docs.docs
+       else '' end
+    || repeat(chr(10), 2) || coalesce(scripts.transcript, '')
+    || repeat(chr(10), 2) || 'LEARNINGS:' || chr(10) || (select lessons from lessons)
+    || repeat(chr(10), 2) || 'SUBTASKS:' || chr(10) || trees.tree_text
+    || repeat(chr(10), 2) || 'QUESTION: ' || coalesce(q.instruction, q.question)
+    || case when q.shape = 'first' then '' else
+       repeat(chr(10), 2) || 'PREVIOUS SQL (attempt ' || q.attempt || '):' || chr(10) || '```'
+       || chr(10) || q.previous_sql || chr(10) || '```' || repeat(chr(10), 2)
+       || case q.shape when 'requirements' then 'FAILED SUBTASKS:' || chr(10) || q.failed_subtasks
+          else 'ERROR (' || q.error_type || '): ' || q.error_message end end
+    || repeat(chr(10), 2) || 'Output <thinking> then ```sql:' as prompt
+  from q
+  left join ddl on ddl.db_id = q.db_id
+  left join docs on docs.name = q.external_knowledge
+  left join trees on trees.conv_id = q.conv_id and trees.turn = q.turn
+  left join scripts on scripts.user_id = q.conv_id)
+select instance_id, shape, length(prompt) as n_chars, md5(prompt) as prompt_md5 from p
+"""
+
+# ------------------------------------------------------------------------ query batch
+
+# Two statements per region over the whole tables, one of them failing for some regions.
+BATCH = """
+select 'a' || cast(r_regionkey as string) as instance_id,
+       '```sql
+SELECT c_custkey, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey '
+       || 'WHERE n_regionkey = ' || cast(r_regionkey as string) || ';
+```' as sql
+from {region}
+union all
+select 'b' || cast(r_regionkey as string),
+       case r_regionkey % 5 when 3 then 'SELECT nothing_here FROM orders'
+         when 4 then 'SELEC * FROM orders'
+         else 'SELECT l_suppkey, sum(l_quantity) AS q FROM lineitem WHERE l_linenumber > '
+              || cast(r_regionkey as string) || ' GROUP BY l_suppkey' end
+from {region}
+"""
+
+
+def query_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcome of every statement; names resolve in a session of their own."""
+    own = spark.newSession()
+    shared_folder(spark)
+    for name in ("customer", "nation", "orders", "lineitem"):
+        load(own, sf_dir, name).createOrReplaceTempView(name)
+    outcomes = run_batch(own, derive(own, sf_dir, BATCH), fresh_path(spark, "outcomes"))
+    return outcomes.select(
+        "instance_id", "success", "n_rows", "error_type", "estimated_seconds"
+    )
+
+
+QUERY_BATCH_SQL = """
+select 'a' || r_regionkey as instance_id, true as success, count(c_custkey) as n_rows,
+  'none' as error_type, 60 as estimated_seconds
+from region left join nation on n_regionkey = r_regionkey left join customer on c_nationkey = n_nationkey
+group by r_regionkey
+union all
+select 'b' || r_regionkey, r_regionkey < 3,
+  case when r_regionkey < 3 then (select count(distinct l_suppkey) from lineitem
+                                  where l_linenumber > r_regionkey) end,
+  case r_regionkey when 3 then 'runtime' when 4 then 'syntax' else 'none' end, 60
+from region
+"""
+
 QUERIES = {
     "shard_groups": shard_groups,
     "table_names": table_names,
@@ -286,6 +439,9 @@ QUERIES = {
     "ddl_budget_cut": ddl_budget_cut,
     "doc_toc": doc_toc,
     "doc_truncate": doc_truncate,
+    "questions_normalised": questions_normalised,
+    "prompt_table": prompt_table,
+    "query_batch": query_batch,
 }
 ORACLES = {
     "shard_groups": SHARD_GROUPS_SQL,
@@ -294,4 +450,7 @@ ORACLES = {
     "ddl_budget_cut": DDL_BUDGET_CUT_SQL,
     "doc_toc": DOC_TOC_SQL,
     "doc_truncate": DOC_TRUNCATE_SQL,
+    "questions_normalised": QUESTIONS_SQL,
+    "prompt_table": PROMPT_TABLE_SQL,
+    "query_batch": QUERY_BATCH_SQL,
 }

@@ -258,21 +258,14 @@ LESSONS_DEDUP_SQL = f"with {_DEDUP_CTES} select seq, error_type, norm from fresh
 
 
 def lessons_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same lessons as files through the stream into an empty store, stored ones first."""
+    """The same lessons as files through the stream into an empty store: the stored ones
+    first, and after them the others, which the stream picks up where it stopped."""
     source, store = fresh_path(spark, "lesson-files"), fresh_path(spark, "lesson-store")
+    progress = fresh_path(spark, "lesson-progress")
     rows = _lessons(spark, sf_dir)
-    rows.filter(_STORED).write.mode("append").json(source)
-    query = stream.start(spark, source, store, fresh_path(spark, "lesson-progress"))
-    query.awaitTermination()
-    return _continue_stream(spark, rows, source, store)
-
-
-def _continue_stream(spark, rows: DataFrame, source: str, store: str) -> DataFrame:
-    late = fresh_path(spark, "lesson-files")
-    rows.filter(f"NOT ({_STORED})").write.mode("append").json(late)
-    arrived = spark.read.schema(stream.LESSON_SCHEMA).json(late)
-    known = stream.read_store(spark, store)
-    stream.append_batch(arrived, 1 + known.agg(F.max("batch")).first()[0], store)
+    for arriving in (rows.filter(_STORED), rows.filter(f"NOT ({_STORED})")):
+        arriving.write.mode("append").json(source)
+        stream.start(spark, source, store, progress).awaitTermination()
     return stream.read_store(spark, store).select("seq", "error_type", "norm")
 
 
