@@ -36,9 +36,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return or_empty(
         spark,
         "name STRING, content STRING",
-        lambda: spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .text(path)
+        lambda: spark.read.option("recursiveFileLookup", True)
+        .text(path, wholetext=True)
         .select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("content")),
     )
 

@@ -51,19 +51,18 @@ def _wide_rows(spark: SparkSession, path: str, width: int) -> DataFrame:
 
 def _read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(files, records): one row per file with its shape, one per data record."""
-    empty_files = "path STRING, length BIGINT"
-    files = or_empty(
+    # The listing knows empty files too, which no reader shows.
+    names = or_empty(
         spark,
-        empty_files,
-        lambda: spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
+        "value STRING",
+        lambda: spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.csv")
-        .load(path)
-        .select("path", "length"),
-    ).select(
-        F.regexp_replace("path", "^file:/+", "/").alias("file")
+        .text(path),
+    ).inputFiles()
+    files = spark.createDataFrame([(n,) for n in names], "file STRING").select(
+        F.regexp_replace(F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))), "^file:/+", "/").alias("file")
     )
-    if files.isEmpty():
+    if not names:
         return (
             spark.createDataFrame([], "name STRING, file STRING, n_cols INT, n_rows BIGINT, widest INT, offset BIGINT, head BIGINT"),
             spark.createDataFrame([], "file STRING, i BIGINT, values ARRAY<STRING>"),
@@ -178,9 +177,8 @@ def read_sql_texts(spark: SparkSession, path: str) -> DataFrame:
     texts = or_empty(
         spark,
         "instance_id STRING, sql STRING",
-        lambda: spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .text(path)
+        lambda: spark.read.option("recursiveFileLookup", True)
+        .text(path, wholetext=True)
         .select(file_path().alias("file"), F.col("value").alias("sql"))
         .filter(F.col("file").rlike(r"\.sql(/part-[^/]*)?$"))
         .select(stem(F.col("file"), "sql").alias("instance_id"), "sql"),
