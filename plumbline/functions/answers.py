@@ -40,26 +40,32 @@ def unfenced(answer: Column) -> Column:
 def json_text(answer: Column) -> Column:
     """JSON text of an answer; an array wrapped in a JSON string is unwrapped once."""
     body = unfenced(answer)
-    value = F.try_parse_json(body)
-    inner = F.try_variant_get(value, "$", "string")
-    return F.when(F.schema_of_variant(value) == "STRING", inner).otherwise(body)
+    wrapped = F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<string>")
+    return F.when(body.startswith('"'), F.get(wrapped, F.lit(0))).otherwise(body)
 
 
 def _rows(answer: Column, shape: str) -> Column:
     """Parsed array, or NULL when the text is no JSON array."""
     text = json_text(answer)
-    is_array = F.schema_of_variant(F.try_parse_json(text)).startswith("ARRAY")
-    return F.when(is_array, F.from_json(text, shape))
+    return F.when(text.startswith("[") & text.endswith("]"), F.from_json(text, shape))
 
 
-def subtasks(answer: Column, question: Column) -> Column:
-    """Subtask tree of an answer.
+def subtasks(answer: Column) -> Column:
+    """Subtask tree as the answer has it, NULL where it has none.
+
+    Parsing is costly: keep the result as a column and pass that to the functions below.
+    """
+    return _rows(answer, SUBTASKS)
+
+
+def usable_tree(parsed: Column, question: Column) -> Column:
+    """The parsed tree with default levels.
 
     One element without id or description, or no array at all, and the whole answer is
     replaced by a single subtask: the question itself.
     """
     tree = F.transform(
-        _rows(answer, SUBTASKS),
+        parsed,
         lambda s: F.struct(
             s.id.alias("id"),
             s.description.alias("description"),
@@ -67,7 +73,7 @@ def subtasks(answer: Column, question: Column) -> Column:
             F.coalesce(s.level, F.lit(0)).alias("level"),
         ),
     )
-    whole = F.forall(tree, lambda s: s.id.isNotNull() & s.description.isNotNull())
+    whole = F.forall(parsed, lambda s: s.id.isNotNull() & s.description.isNotNull())
     fallback = F.array(
         F.struct(
             F.lit(1).alias("id"),
@@ -98,10 +104,9 @@ def verdicts(answer: Column) -> Column:
     return _rows(answer, VERDICTS)
 
 
-def failed_verdicts(answer: Column, tree: Column) -> Column:
+def failed_verdicts(parsed: Column, tree: Column) -> Column:
     """Verdicts not satisfied; an answer that cannot be read fails every subtask."""
-    rows = verdicts(answer)
-    failed = F.filter(rows, lambda v: ~F.coalesce(v.satisfied, F.lit(False)))
+    failed = F.filter(parsed, lambda v: ~F.coalesce(v.satisfied, F.lit(False)))
     all_failed = F.transform(
         tree,
         lambda s: F.struct(
@@ -110,7 +115,7 @@ def failed_verdicts(answer: Column, tree: Column) -> Column:
             F.lit(PARSE_FAILURE).alias("reason"),
         ),
     )
-    return F.when(rows.isNull(), all_failed).otherwise(failed)
+    return F.when(parsed.isNull(), all_failed).otherwise(failed)
 
 
 def bullets(failed: Column) -> Column:

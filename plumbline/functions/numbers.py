@@ -23,9 +23,12 @@ SMALLEST_INTEGER = -9223372036854775808
 EARTH_RADIUS_METRES = 6371000.0
 
 
-def tolerance(a: Column, b: Column) -> Column:
-    return F.greatest(
-        F.lit(ABSOLUTE_TOLERANCE), RELATIVE_TOLERANCE * F.greatest(F.abs(a), F.abs(b))
+def close_sql(a: str, b: str) -> str:
+    """Equal, or both finite and within tolerance, as SQL text for use in any expression."""
+    return (
+        f"({a} = {b} OR (abs({a}) < double('infinity') AND abs({b}) < double('infinity') AND "
+        f"abs({a} - {b}) <= greatest({ABSOLUTE_TOLERANCE}D, "
+        f"{RELATIVE_TOLERANCE}D * greatest(abs({a}), abs({b})))))"
     )
 
 
@@ -33,11 +36,6 @@ def is_finite(x: Column) -> Column:
     return F.abs(x) < float("inf")
 
 
-def close(a: Column, b: Column) -> Column:
-    """Equal, or both finite and within tolerance."""
-    return (a == b) | (is_finite(a) & is_finite(b) & (F.abs(a - b) <= tolerance(a, b)))
-
-
 def is_truth_text(raw: Column) -> Column:
     return raw.isin(TRUE_TEXTS + FALSE_TEXTS)
 

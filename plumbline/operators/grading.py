@@ -19,11 +19,14 @@ Plan. One pass over the cells, pre-aggregated before any shuffle, gives one row
 counts, extremes, sums and two 128-bit content fingerprints (with and without positions).
 Text columns and identical numeric columns are settled by fingerprint alone. Only numeric
 columns that are close in every statistic yet not identical go back to their cells, once per
-distinct content, joined on position. No step puts a whole table or column in one task.
+distinct content: a column of few values as one sorted array, any other by joins on row or
+rank that spread it over many tasks.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +36,11 @@ from plumbline.session import shared_folder
 
 KEY = ["instance_id", "variant", "col_idx"]
 CELL_COLUMNS = [*KEY, "row_idx", "num", "txt", "is_truth"]
+TABLE_COLUMNS = ["instance_id", "variant", "n_rows", "n_cols", "readable"]
 CELL_SALTS = 16
+# Values up to which a column may be one array in one task, and ranks per block beyond.
+SMALL_COLUMN = 10_000
+RANK_BLOCK = 1024
 
 # States of an instance and the kinds and messages of failure records.
 CORRECT = "correct"
@@ -111,25 +118,32 @@ def tables_of(
 # --------------------------------------------------------------------------- columns
 
 
-def _fingerprint(prefix: str, *content: Column) -> list[Column]:
+_STATS = ["low", "high", "n_finite", "total", "weight"]
+
+
+def _fingerprint(prefix: str, content: str) -> list[Column]:
     """Four sums of 32-bit hash halves: equal content gives equal sums in any row order."""
     sums = []
     for seed in (0, 1):
-        hashed = F.xxhash64(F.lit(seed), *content)
-        low = F.shiftright(F.shiftleft(hashed, 32), 32)
+        hashed = f"xxhash64({seed}, {content})"
         sums += [
-            F.sum(F.shiftright(hashed, 32)).alias(f"{prefix}{2 * seed}"),
-            F.sum(low).alias(f"{prefix}{2 * seed + 1}"),
+            F.expr(f"sum(shiftright({hashed}, 32))").alias(f"{prefix}{2 * seed}"),
+            F.expr(f"sum(shiftright(shiftleft({hashed}, 32), 32))").alias(
+                f"{prefix}{2 * seed + 1}"
+            ),
         ]
     return sums
 
 
-def column_facts(tables: DataFrame, cells: DataFrame) -> DataFrame:
-    """One row per column of every readable table, with all that pruning needs."""
+def column_facts(tables: DataFrame, cells: DataFrame, *side: str) -> DataFrame:
+    """One row per column of every readable table, with all that pruning needs.
+
+    ``side`` names further key columns, such as the one that tells gold from prediction.
+    """
+    key = [*side, *KEY]
     value = F.col("num") + F.lit(0.0)  # -0.0 and 0.0 read the same
     finite = F.when(N.is_finite(value), value)
-    numeric = F.struct(value.alias("v"))
-    summary = cells.groupBy(*KEY).agg(
+    summary = cells.groupBy(*key).agg(
         F.count(F.lit(1)).alias("n_values"),
         F.count("num").alias("n_numbers"),
         F.count_if("is_truth").alias("n_truths"),
@@ -138,42 +152,41 @@ def column_facts(tables: DataFrame, cells: DataFrame) -> DataFrame:
         F.count(finite).alias("n_finite"),
         F.sum(finite).alias("total"),
         F.sum(F.abs(finite)).alias("weight"),
-        *_fingerprint("np", F.col("row_idx"), numeric),
-        *_fingerprint("nv", numeric),
-        *_fingerprint("tp", F.col("row_idx"), F.col("txt")),
-        *_fingerprint("tv", F.col("txt")),
+        *_fingerprint("np", "row_idx, num + 0D"),
+        *_fingerprint("tp", "row_idx, txt"),
+        *_fingerprint("nv", "num + 0D"),
+        *_fingerprint("tv", "txt"),
     )
     columns = tables.filter("readable AND n_cols > 0").select(
+        *side,
         "instance_id",
         "variant",
         F.col("n_rows").cast("long").alias("n_rows"),
         F.explode(F.sequence(F.lit(0), F.col("n_cols").cast("int") - 1)).alias("col_idx"),
     )
-    whole = (F.col("n_numbers") == F.col("n_values")) & F.col("n_truths").isin(
-        F.lit(0), F.col("n_values")
-    )
-    facts = columns.join(summary, KEY, "left").withColumn(
+    facts = columns.join(summary, key, "left").withColumn(
         "n_values", F.coalesce("n_values", F.lit(0))
     )
-    kind = F.when(F.col("n_values") == 0, "any").when(whole, "number").otherwise("text")
+    kind = F.expr(
+        "CASE WHEN n_values = 0 THEN 'any' "
+        "WHEN n_numbers = n_values AND n_truths IN (0, n_values) THEN 'number' ELSE 'text' END"
+    )
 
-    def print_of(number: str, text: str) -> Column:
-        return F.when(kind == "any", F.array().cast("array<bigint>")).when(
-            kind == "number", F.array(*[f"{number}{i}" for i in range(4)])
-        ).otherwise(F.array(*[f"{text}{i}" for i in range(4)]))
+    def content(number: str, text: str) -> Column:
+        halves = [[f"{p}{i}" for i in range(4)] for p in (number, text)]
+        return F.expr(
+            f"CASE kind WHEN 'any' THEN '' WHEN 'number' THEN concat_ws(':', {', '.join(halves[0])}) "
+            f"ELSE concat_ws(':', {', '.join(halves[1])}) END"
+        )
 
-    return facts.select(
-        *KEY,
+    return facts.withColumn("kind", kind).select(
+        *key,
         "n_rows",
         "n_values",
-        kind.alias("kind"),
-        "low",
-        "high",
-        "n_finite",
-        "total",
-        "weight",
-        print_of("np", "tp").alias("placed"),
-        print_of("nv", "tv").alias("loose"),
+        "kind",
+        *_STATS,
+        content("np", "tp").alias("placed"),
+        content("nv", "tv").alias("loose"),
     )
 
 
@@ -238,24 +251,25 @@ def gold_columns(standards: DataFrame, gold_tables: DataFrame, gold_facts: DataF
 
 # ------------------------------------------------------------------------- comparison
 
-_SHAPE = ["instance_id", "ignore_order", "n_rows", "n_values", "kind", "print"]
-_STATS = ["low", "high", "n_finite", "total", "weight"]
+_SHAPE = ["instance_id", "ignore_order", "n_rows", "n_values", "kind", "content"]
+# A column is named by variant and position in one number.
+_COLUMN = "CAST(variant AS BIGINT) * 1048576 + col_idx"
 
 
 def _distinct_contents(facts: DataFrame, label: str) -> DataFrame:
-    """One representative column per distinct content of an instance."""
-    first = F.min_by(F.struct("variant", "col_idx", *_STATS), F.struct("variant", "col_idx"))
-    return facts.groupBy(*_SHAPE).agg(first.alias("_f")).select(
-        *_SHAPE,
-        F.col("_f.variant").alias(f"{label}_variant"),
-        F.col("_f.col_idx").alias(f"{label}_col"),
-        *[F.col(f"_f.{s}").alias(f"{label}_{s}") for s in _STATS],
+    """One column per distinct content of an instance, with its statistics."""
+    return facts.groupBy(*_SHAPE).agg(
+        F.min(F.expr(_COLUMN)).alias(label), *[F.min(s).alias(f"{label}_{s}") for s in _STATS]
     )
 
 
-def _near(a: str, b: str, slack: Column) -> Column:
-    same_infinity = F.col(a) == F.col(b)
-    return same_infinity | (F.abs(F.col(a) - F.col(b)) <= slack)
+def _near(stat: str) -> str:
+    """Extremes that a match allows, at twice the tolerance to leave room for rounding."""
+    g, p = f"g_{stat}", f"p_{stat}"
+    return (
+        f"({g} = {p} OR abs({g} - {p}) <= 2 * greatest({N.ABSOLUTE_TOLERANCE}D, "
+        f"{N.RELATIVE_TOLERANCE}D * greatest(abs({g}), abs({p}))))"
+    )
 
 
 def _candidates(gold: DataFrame, pred: DataFrame) -> DataFrame:
@@ -263,193 +277,145 @@ def _candidates(gold: DataFrame, pred: DataFrame) -> DataFrame:
 
     Every test is necessary for a match, with slack for rounding, so none is lost.
     """
-    extreme = 2 * N.tolerance(F.col("g_low"), F.col("p_low"))
-    extreme_high = 2 * N.tolerance(F.col("g_high"), F.col("p_high"))
-    weight = F.col("g_weight") + F.col("p_weight")
+    on = ["instance_id", "ignore_order", "n_rows", "n_values"]
+    weight = "(g_weight + p_weight)"
     spread = (
-        F.col("g_n_finite") * (2 * N.ABSOLUTE_TOLERANCE)
-        + weight * (2 * N.RELATIVE_TOLERANCE)
-        + weight * F.col("g_n_finite") * 2.3e-16
+        f"g_n_finite * {2 * N.ABSOLUTE_TOLERANCE}D + {weight} * {2 * N.RELATIVE_TOLERANCE}D "
+        f"+ {weight} * g_n_finite * 2.3E-16D"
     )
-    on = ["instance_id", "ignore_order", "n_rows", "n_values"]
-    pairs = gold.filter("kind = 'number'").drop("kind", "print").join(
-        pred.filter("kind = 'number'").drop("kind", "print"), on
+    pairs = gold.filter("kind = 'number'").drop("kind", "content").join(
+        pred.filter("kind = 'number'").drop("kind", "content"), on
     )
     return pairs.filter(
-        _near("g_low", "p_low", extreme)
-        & _near("g_high", "p_high", extreme_high)
-        & (F.col("g_n_finite") == F.col("p_n_finite"))
-        & (
-            (F.col("g_n_finite") == 0)
-            | (F.abs(F.col("g_total") - F.col("p_total")) <= spread)
-        )
-    ).select(
-        *on,
-        F.struct("g_variant", "g_col").alias("g"),
-        F.struct("p_variant", "p_col").alias("p"),
-    )
+        f"{_near('low')} AND {_near('high')} AND g_n_finite = p_n_finite "
+        f"AND (g_n_finite = 0 OR abs(g_total - p_total) <= {spread})"
+    ).select("instance_id", "ignore_order", "n_values", "g", "p")
+
 
+def _pick(cells: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
+    """Numeric cells of the columns on one side of the pairs.
 
-def _pick(cells: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Numeric cells of the chosen columns; salted, so one heavy column is split."""
+    The join is salted by row, so the cells of one heavy column meet in many tasks.
+    """
     salts = F.explode(F.sequence(F.lit(0), F.lit(CELL_SALTS - 1))).alias("_salt")
-    keys = chosen.select(*KEY, salts)
-    return (
-        cells.select(*KEY, "row_idx", F.col("num").alias("value"))
-        .withColumn("_salt", F.pmod(F.xxhash64("row_idx"), F.lit(CELL_SALTS)).cast("int"))
-        .join(keys, [*KEY, "_salt"], "left_semi")
-        .drop("_salt")
+    columns = pairs.select("instance_id", "ignore_order", F.col(side).alias("col")).distinct()
+    values = cells.selectExpr(
+        "instance_id",
+        f"{_COLUMN} AS col",
+        "row_idx",
+        "num AS value",
+        f"CAST(pmod(xxhash64(row_idx), {CELL_SALTS}) AS INT) AS _salt",
+    )
+    return values.join(columns.select("*", salts), ["instance_id", "col", "_salt"]).withColumnRenamed(
+        "col", side
     )
 
 
-def _columns_of(pairs: DataFrame, side: str) -> DataFrame:
-    return pairs.select(
-        "instance_id",
-        F.col(f"{side}.{side}_variant").alias("variant"),
-        F.col(f"{side}.{side}_col").alias("col_idx"),
-    ).distinct()
+def _verify_small(pairs: DataFrame, gold_cells: DataFrame, pred_cells: DataFrame) -> DataFrame:
+    """Pairs of columns of at most ``SMALL_COLUMN`` values: each column is one sorted array.
+
+    With order ignored the place is 0 for all values, so they are sorted by value alone.
+    """
 
+    def arrays(cells: DataFrame, side: str) -> DataFrame:
+        place = F.expr("CASE WHEN ignore_order THEN 0L ELSE row_idx END").alias("place")
+        listed = F.sort_array(F.collect_list(F.struct(place, "value")))
+        return (
+            _pick(cells, pairs, side)
+            .groupBy("instance_id", side)
+            .agg(listed.alias(f"{side}_values"))
+        )
 
-def _verify_placed(pairs: DataFrame, gold_cells: DataFrame, pred_cells: DataFrame) -> DataFrame:
-    """Pairs whose values are close row by row. The join key holds the row, so it spreads."""
-    left = _pick(gold_cells, _columns_of(pairs, "g")).select(
-        "instance_id", F.struct("variant", "col_idx").alias("g"), "row_idx", "value"
+    close = N.close_sql("x.value", "y.value")
+    fits = (
+        "forall(zip_with(g_values, p_values, (x, y) -> "
+        f"coalesce(x.place = y.place AND {close}, false)), fit -> fit)"
     )
-    right = _pick(pred_cells, _columns_of(pairs, "p")).select(
-        "instance_id",
-        F.struct("variant", "col_idx").alias("p"),
-        "row_idx",
-        F.col("value").alias("other"),
+    return (
+        pairs.select("instance_id", "g", "p")
+        .join(arrays(gold_cells, "g"), ["instance_id", "g"])
+        .join(arrays(pred_cells, "p"), ["instance_id", "p"])
+        .filter(fits)
+        .select("instance_id", "g")
     )
+
+
+def _verify_placed(pairs: DataFrame, gold_cells: DataFrame, pred_cells: DataFrame) -> DataFrame:
+    """Pairs whose values are close row by row. The join keys hold the row, so they spread."""
     salts = F.explode(F.sequence(F.lit(0), F.lit(CELL_SALTS - 1))).alias("_salt")
-    salted_pairs = pairs.select(
-        "instance_id",
-        F.struct(
-            F.col("g.g_variant").alias("variant"), F.col("g.g_col").alias("col_idx")
-        ).alias("g"),
-        F.struct(
-            F.col("p.p_variant").alias("variant"), F.col("p.p_col").alias("col_idx")
-        ).alias("p"),
-        "n_values",
-        salts,
-    )
-    salt = F.pmod(F.xxhash64("row_idx"), F.lit(CELL_SALTS)).cast("int")
+    left = _pick(gold_cells, pairs, "g").withColumnRenamed("value", "a").drop("ignore_order")
+    right = _pick(pred_cells, pairs, "p").withColumnRenamed("value", "b")
     return (
-        left.withColumn("_salt", salt)
-        .join(salted_pairs, ["instance_id", "g", "_salt"])
-        .join(right, ["instance_id", "p", "row_idx"])
+        left.join(pairs.select("instance_id", "g", "p", "n_values", salts), ["instance_id", "g", "_salt"])
+        .drop("_salt")
+        .join(right.drop("_salt", "ignore_order"), ["instance_id", "p", "row_idx"])
         .groupBy("instance_id", "g", "p", "n_values")
-        .agg(F.count_if(N.close(F.col("value"), F.col("other"))).alias("n_close"))
+        .agg(F.count_if(F.expr(N.close_sql("a", "b"))).alias("n_close"))
         .filter("n_close = n_values")
-        .select("instance_id", "g", "p")
+        .select("instance_id", "g")
     )
 
 
-def _ranked_values(cells: DataFrame, chosen: DataFrame) -> DataFrame:
+def _ranked_values(cells: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
     """Distinct values of each column with the ranks they fill, first to last.
 
     Equal values are counted before anything is sorted, so a value held by most rows is one
     row here; the ranks come from a running total that spreads heavy columns.
     """
-    counted = _pick(cells, chosen).groupBy(*KEY, "value").agg(F.count(F.lit(1)).alias("n"))
-    ranked = running_total(counted, KEY, ["value"], "n", "last")
-    return ranked.select(
-        "instance_id",
-        F.struct("variant", "col_idx").alias("col"),
-        "value",
-        (F.col("last") - F.col("n") + 1).alias("first"),
-        "last",
-    )
+    key = ["instance_id", side]
+    counted = _pick(cells, pairs, side).groupBy(*key, "value").agg(F.count(F.lit(1)).alias("n"))
+    ranked = running_total(counted, key, ["value"], "n", "last")
+    return ranked.select(*key, "value", F.expr("last - n + 1").alias("first"), "last")
 
 
 def _verify_loose(pairs: DataFrame, gold_cells: DataFrame, pred_cells: DataFrame) -> DataFrame:
     """Pairs whose values are close rank by rank.
 
-    Each column is a row of rank intervals. The ranks where an interval starts on either side
-    cut both columns alike, so closeness is tested once per cut, not once per row.
+    Each column is a row of rank intervals, cut at block borders so that overlapping intervals
+    meet on an equal block number. Closeness is tested once per overlap, not once per row.
     """
-    gold = _ranked_values(gold_cells, _columns_of(pairs, "g"))
-    pred = _ranked_values(pred_cells, _columns_of(pairs, "p"))
-    named = pairs.select(
-        "instance_id",
-        F.struct(
-            F.col("g.g_variant").alias("variant"), F.col("g.g_col").alias("col_idx")
-        ).alias("g"),
-        F.struct(
-            F.col("p.p_variant").alias("variant"), F.col("p.p_col").alias("col_idx")
-        ).alias("p"),
-    )
-    block = 1024
-
-    def blocks(side: DataFrame, label: str, value: str) -> DataFrame:
-        """Intervals cut at block borders, so that overlaps meet on an equal block number."""
-        spread = F.explode(
-            F.sequence(F.floor(F.col("first") / block), F.floor(F.col("last") / block))
-        ).alias("block")
-        return side.select(
+
+    def blocks(side: str, cells: DataFrame, value: str) -> DataFrame:
+        return _ranked_values(cells, pairs, side).selectExpr(
             "instance_id",
-            F.col("col").alias(label),
-            F.col("value").alias(value),
-            F.col("first").alias(f"{value}_first"),
-            F.col("last").alias(f"{value}_last"),
-            spread,
+            side,
+            f"value AS {value}",
+            f"first AS {value}_first",
+            f"last AS {value}_last",
+            f"explode(sequence(first div {RANK_BLOCK}, last div {RANK_BLOCK})) AS block",
         )
 
-    cut = (
-        blocks(gold, "g", "a")
-        .join(named, ["instance_id", "g"])
-        .join(blocks(pred, "p", "b"), ["instance_id", "p", "block"])
+    return (
+        blocks("g", gold_cells, "a")
+        .join(pairs.select("instance_id", "g", "p"), ["instance_id", "g"])
+        .join(blocks("p", pred_cells, "b"), ["instance_id", "p", "block"])
         .filter("a_first <= b_last AND b_first <= a_last")
+        .groupBy("instance_id", "g", "p")
+        .agg(F.bool_and(F.expr(N.close_sql("a", "b"))).alias("fits"))
+        .filter("fits")
+        .select("instance_id", "g")
     )
-    fits = (
-        cut.groupBy("instance_id", "g", "p")
-        .agg(F.bool_and(N.close(F.col("a"), F.col("b"))).alias("all_close"))
-        .filter("all_close")
-    )
-    return fits.select("instance_id", "g", "p")
-
-
-def _with_print(facts: DataFrame) -> DataFrame:
-    return facts.withColumn(
-        "print", F.when(F.col("ignore_order"), F.col("loose")).otherwise(F.col("placed"))
-    ).drop("loose", "placed")
-
 
-def _satisfied(
-    needed: DataFrame, pred_facts: DataFrame, gold_cells: DataFrame, pred_cells: DataFrame
-) -> DataFrame:
-    """(instance_id, variant, col_idx) of the needed gold columns that some prediction fits."""
-    orders = needed.select("instance_id", "ignore_order").distinct()
-    wanted = _with_print(needed)
-    gold = _distinct_contents(wanted, "g")
-    pred = _distinct_contents(_with_print(pred_facts.join(orders, "instance_id")), "p")
-
-    same = gold.join(pred.select(*_SHAPE), _SHAPE, "left_semi")
-    open_gold = gold.join(pred.select(*_SHAPE), _SHAPE, "left_anti")
-    pairs = _candidates(open_gold, pred).checkpoint()
-    settled = same.select(*_SHAPE)
-    if not pairs.isEmpty():
-        verified = _verify_pairs(pairs, gold_cells, pred_cells).select(
-            "instance_id",
-            F.col("g.variant").alias("g_variant"),
-            F.col("g.col_idx").alias("g_col"),
-        )
-        settled = settled.unionByName(
-            open_gold.join(verified.distinct(), ["instance_id", "g_variant", "g_col"]).select(
-                *_SHAPE
-            )
-        )
-    return wanted.join(settled, _SHAPE, "left_semi").select(*KEY)
 
+def _verify(pairs: DataFrame, gold_cells: DataFrame, pred_cells: DataFrame) -> DataFrame | None:
+    """(instance_id, g) of the pairs that hold; None when there is nothing to look at.
 
-def _verify_pairs(pairs: DataFrame, gold_cells: DataFrame, pred_cells: DataFrame) -> DataFrame:
-    loose, placed = pairs.filter("ignore_order"), pairs.filter("NOT ignore_order")
-    parts = []
-    if not placed.isEmpty():
-        parts.append(_verify_placed(placed, gold_cells, pred_cells))
-    if not loose.isEmpty():
-        parts.append(_verify_loose(loose, gold_cells, pred_cells))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    The number of values of every column is known, which tells small columns from large.
+    """
+    small = F.col("n_values") <= SMALL_COLUMN
+    loose = F.col("ignore_order")
+    routes = [
+        (small, _verify_small),
+        (~small & ~loose, _verify_placed),
+        (~small & loose, _verify_loose),
+    ]
+    found = pairs.agg(*[F.bool_or(test) for test, _ in routes]).first()
+    verified = [
+        verify(pairs.filter(test), gold_cells, pred_cells)
+        for (test, verify), present in zip(routes, found)
+        if present
+    ]
+    return reduce(DataFrame.unionByName, verified).distinct() if verified else None
 
 
 def match_golds(
@@ -461,14 +427,34 @@ def match_golds(
 ) -> DataFrame:
     """(instance_id, variant, matched) for every gold table of a graded instance.
 
-    The per-column facts are written to the shared folder once: they are small, and every
+    The facts per column are written to the shared folder once: they are small, and every
     later step starts from them instead of the cells.
     """
     shared_folder(standards.sparkSession)
-    gold_facts = column_facts(gold_tables, gold_cells).checkpoint()
-    pred_facts = column_facts(pred_tables, pred_cells).checkpoint()
-    asked, needed = gold_columns(standards, gold_tables, gold_facts)
-    fits = _satisfied(needed, pred_facts, gold_cells, pred_cells)
+
+    def both(gold: DataFrame, pred: DataFrame, columns: list[str]) -> DataFrame:
+        gold = gold.select(F.lit("g").alias("side"), *columns)
+        return gold.unionByName(pred.select(F.lit("p").alias("side"), *columns))
+
+    facts = column_facts(
+        both(gold_tables, pred_tables, TABLE_COLUMNS), both(gold_cells, pred_cells, CELL_COLUMNS), "side"
+    ).checkpoint()
+    asked, needed = gold_columns(standards, gold_tables, facts.filter("side = 'g'").drop("side"))
+    orders = asked.select("instance_id", "ignore_order").distinct()
+    content = F.expr("CASE WHEN ignore_order THEN loose ELSE placed END").alias("content")
+    wanted = needed.select("*", content)
+    offered = facts.filter("side = 'p'").join(orders, "instance_id").select("*", content)
+
+    gold = _distinct_contents(wanted, "g")
+    pred = _distinct_contents(offered, "p")
+    open_gold = gold.join(pred.select(*_SHAPE), _SHAPE, "left_anti")
+    pairs = _candidates(open_gold, pred).checkpoint()
+    verified = _verify(pairs, gold_cells, pred_cells)
+
+    settled = offered.select(*_SHAPE)
+    if verified is not None:
+        settled = settled.unionByName(gold.join(verified, ["instance_id", "g"]).select(*_SHAPE))
+    fits = wanted.join(settled, _SHAPE, "left_semi")
     found = fits.groupBy("instance_id", "variant").agg(F.count(F.lit(1)).alias("n_fit"))
     predicted = pred_tables.filter("readable").select("instance_id")
     return (

@@ -29,18 +29,22 @@ def requirement_scores(checks: DataFrame) -> DataFrame:
     missing verdicts lower it and repeated ones can push it past 1, which does not pass. An
     answer is one row, so nothing is shuffled.
     """
-    rows = J.verdicts(F.col("answer"))
+    parsed = F.col("_verdicts")
     total = F.size("tree")
-    satisfied = F.size(F.filter(rows, lambda v: F.coalesce(v.satisfied, F.lit(False))))
-    score = F.when(rows.isNull() | (total == 0), F.lit(0.0)).otherwise(
+    satisfied = F.size(F.filter(parsed, lambda v: F.coalesce(v.satisfied, F.lit(False))))
+    score = F.when(parsed.isNull() | (total == 0), F.lit(0.0)).otherwise(
         F.try_divide(satisfied.cast("double"), total.cast("double"))
     )
-    return checks.withColumns(
-        {
-            "score": F.round(score, 3),
-            "passed": score == 1.0,
-            "failed": J.failed_verdicts(F.col("answer"), F.col("tree")),
-        }
+    return (
+        checks.withColumn("_verdicts", J.verdicts(F.col("answer")))
+        .withColumns(
+            {
+                "score": F.round(score, 3),
+                "passed": score == 1.0,
+                "failed": J.failed_verdicts(parsed, F.col("tree")),
+            }
+        )
+        .drop("_verdicts")
     )
 
 

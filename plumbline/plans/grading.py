@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators import grading as G
-from plumbline.sources.tables import derive, plain
+from plumbline.sources.tables import derive, plain, spread
 
 # ------------------------------------------------------------------ ordered comparison
 
@@ -48,7 +48,7 @@ PRED_COLUMNS = ["p0", "p1", "p2", "p3", "p4", "p5"]
 
 
 def _side(spark, sf_dir, text, columns, variant=None):
-    rows = derive(spark, sf_dir, text)
+    rows = spread(derive(spark, sf_dir, text))
     return (
         G.tables_of(rows, "inst", columns, variant),
         G.cells_of(rows, "inst", "pos", columns, variant),

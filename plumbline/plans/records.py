@@ -15,7 +15,7 @@ from plumbline.operators import prompts as P
 from plumbline.operators import records as R
 from plumbline.operators.catalogue import budgeted_text
 from plumbline.session import fresh_path
-from plumbline.sources.tables import derive, load, plain
+from plumbline.sources.tables import derive, load, plain, spread
 from plumbline.streaming import lessons as stream
 
 _BLANKS_SQL = "'" + BLANKS + "'"
@@ -61,7 +61,8 @@ def _checks(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(0).alias("level"),
         ),
     )
-    return R.requirement_scores(derive(spark, sf_dir, CHECKS).withColumn("tree", tree))
+    checks = spread(derive(spark, sf_dir, CHECKS))
+    return R.requirement_scores(checks.withColumn("tree", tree))
 
 
 def requirements_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,9 +136,8 @@ from (select conv_id, turn, replace(text, '
 
 
 def _trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(spark, sf_dir, TREES).withColumn(
-        "tree", J.subtasks(F.col("answer"), F.col("question"))
-    )
+    parsed = derive(spark, sf_dir, TREES).withColumn("parsed", J.subtasks(F.col("answer")))
+    return parsed.withColumn("tree", J.usable_tree(F.col("parsed"), F.col("question")))
 
 
 def subtask_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:

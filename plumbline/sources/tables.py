@@ -45,3 +45,12 @@ def derive(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
 def plain(text: str) -> str:
     """The same SQL for an engine where the tables are registered under their names."""
     return re.sub(r"\{(\w+)\}", r"\1", text)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores, where the input has fewer files than there are cores.
+
+    Large inputs come in many files and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df

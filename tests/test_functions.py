@@ -110,7 +110,7 @@ def test_error_kinds(spark):
 def test_close(spark):
     pairs = [(1.0, 1.009), (1.0, 1.0101), (1e9, 1e9 + 1), (1e9, 1e9 + 1.1), (float("inf"),) * 2,
              (float("inf"), 1.0), (float("inf"), float("-inf"))]
-    got = run(spark, N.close(F.col("a"), F.col("b")), pairs, "a DOUBLE, b DOUBLE")
+    got = run(spark, F.expr(N.close_sql("a", "b")), pairs, "a DOUBLE, b DOUBLE")
     assert got == [True, False, True, False, True, False, False]
 
 
@@ -149,7 +149,7 @@ def test_subtask_fallbacks(spark):
         '{"id": 1}',
         None,
     ]
-    tree = J.tree_text(J.subtasks(X, F.lit("q?")))
+    tree = J.tree_text(J.usable_tree(J.subtasks(X), F.lit("q?")))
     assert run(spark, tree, texts) == ["#1: a\n  #2: b (child of #1)"] + ["#1: q?"] * 4
 
 
