@@ -41,6 +41,8 @@ CELL_SALTS = 16
 # Values up to which a column may be one array in one task, and ranks per block beyond.
 SMALL_COLUMN = 10_000
 RANK_BLOCK = 1024
+# Column pairs, of some 100 bytes each, up to which their columns are broadcast.
+BROADCAST_PAIRS = 200_000
 
 # States of an instance and the kinds and messages of failure records.
 CORRECT = "correct"
@@ -162,6 +164,7 @@ def column_facts(tables: DataFrame, cells: DataFrame, *side: str) -> DataFrame:
         "instance_id",
         "variant",
         F.col("n_rows").cast("long").alias("n_rows"),
+        F.col("n_cols").cast("int").alias("n_cols"),
         F.explode(F.sequence(F.lit(0), F.col("n_cols").cast("int") - 1)).alias("col_idx"),
     )
     facts = columns.join(summary, key, "left").withColumn(
@@ -182,6 +185,7 @@ def column_facts(tables: DataFrame, cells: DataFrame, *side: str) -> DataFrame:
     return facts.withColumn("kind", kind).select(
         *key,
         "n_rows",
+        "n_cols",
         "n_values",
         "kind",
         *_STATS,
@@ -218,35 +222,33 @@ def normal_conditions(raw: Column) -> Column:
     return F.struct(F.coalesce(nested, F.lit(True)).alias("per_gold"), choices.alias("choices"))
 
 
-def gold_columns(standards: DataFrame, gold_tables: DataFrame, gold_facts: DataFrame):
-    """Gold columns that must be satisfied, and the number asked for per gold table.
-
-    Asking for a position the gold table does not have can never be satisfied. Gold tables
-    beyond the given sublists are compared on all columns.
-    """
-    rules = standards.select(
+def _rules(standards: DataFrame) -> DataFrame:
+    return standards.select(
         "instance_id",
         F.coalesce("ignore_order", F.lit(False)).alias("ignore_order"),
         normal_conditions(F.col("condition_cols_raw")).alias("rule"),
     )
-    index = F.when(F.col("rule.per_gold"), F.col("variant")).otherwise(F.lit(0))
-    chosen = F.coalesce(F.get(F.col("rule.choices"), index), F.array().cast("array<int>"))
-    asked = gold_tables.filter("readable").join(rules, "instance_id").select(
-        "instance_id",
-        "variant",
-        "ignore_order",
-        "n_cols",
-        F.array_distinct(
-            F.transform(chosen, lambda c: F.when(c < 0, c + F.col("n_cols")).otherwise(c))
-        ).alias("wanted"),
-    )
-    asked = asked.withColumn(
-        "n_asked", F.when(F.size("wanted") == 0, F.col("n_cols")).otherwise(F.size("wanted"))
-    )
-    needed = gold_facts.join(asked.drop("n_cols"), ["instance_id", "variant"]).filter(
-        (F.size("wanted") == 0) | F.array_contains("wanted", F.col("col_idx"))
+
+
+# Positions a gold table must show, from its variant and ``rule``; empty means all. Negative
+# positions count from the end. Gold tables beyond the given sublists are compared on all
+# columns, and a position the table does not have can never be satisfied.
+_WANTED = (
+    "array_distinct(transform(coalesce(get(rule.choices, IF(rule.per_gold, variant, 0)), "
+    "CAST(array() AS array<int>)), c -> IF(c < 0, c + n_cols, c)))"
+)
+
+
+def asked_columns(standards: DataFrame, gold_tables: DataFrame) -> DataFrame:
+    """Number of columns each gold table asks for."""
+    return (
+        gold_tables.filter("readable")
+        .join(_rules(standards), "instance_id")
+        .withColumn("wanted", F.expr(_WANTED))
+        .selectExpr(
+            "instance_id", "variant", "IF(size(wanted) = 0, n_cols, size(wanted)) AS n_asked"
+        )
     )
-    return asked.select("instance_id", "variant", "ignore_order", "n_asked"), needed
 
 
 # ------------------------------------------------------------------------- comparison
@@ -256,10 +258,25 @@ _SHAPE = ["instance_id", "ignore_order", "n_rows", "n_values", "kind", "content"
 _COLUMN = "CAST(variant AS BIGINT) * 1048576 + col_idx"
 
 
-def _distinct_contents(facts: DataFrame, label: str) -> DataFrame:
-    """One column per distinct content of an instance, with its statistics."""
-    return facts.groupBy(*_SHAPE).agg(
-        F.min(F.expr(_COLUMN)).alias(label), *[F.min(s).alias(f"{label}_{s}") for s in _STATS]
+def column_contents(
+    standards: DataFrame, tables: DataFrame, cells: DataFrame
+) -> DataFrame:
+    """One row per distinct column content of an instance, both sides together.
+
+    ``g`` and ``p`` name a gold and a predicted column that hold it, NULL where that side has
+    none, and ``columns`` all the gold columns that hold it and must be satisfied. Columns of
+    equal content are settled here, and copies of a column are looked at once.
+    """
+    facts = column_facts(tables, cells, "side").join(_rules(standards), "instance_id")
+    content = F.expr("CASE WHEN ignore_order THEN loose ELSE placed END")
+    needed = facts.withColumn("content", content).withColumn("wanted", F.expr(_WANTED)).filter(
+        "side = 'p' OR size(wanted) = 0 OR array_contains(wanted, col_idx)"
+    )
+    return needed.groupBy(*_SHAPE).agg(
+        F.expr(f"min(IF(side = 'g', {_COLUMN}, NULL))").alias("g"),
+        F.expr(f"min(IF(side = 'p', {_COLUMN}, NULL))").alias("p"),
+        F.expr("collect_list(IF(side = 'g', struct(variant, col_idx), NULL))").alias("columns"),
+        *[F.min(s).alias(s) for s in _STATS],
     )
 
 
@@ -272,56 +289,73 @@ def _near(stat: str) -> str:
     )
 
 
-def _candidates(gold: DataFrame, pred: DataFrame) -> DataFrame:
+def _candidates(contents: DataFrame) -> DataFrame:
     """Numeric column pairs that differ but whose statistics allow a match.
 
     Every test is necessary for a match, with slack for rounding, so none is lost.
     """
     on = ["instance_id", "ignore_order", "n_rows", "n_values"]
+    numbers = contents.filter("kind = 'number'")
+
+    def side(name: str, rows: DataFrame) -> DataFrame:
+        return rows.select(*on, name, *[F.col(s).alias(f"{name}_{s}") for s in _STATS])
+
+    open_gold = side("g", numbers.filter("g IS NOT NULL AND p IS NULL"))
     weight = "(g_weight + p_weight)"
-    spread = (
+    slack = (
         f"g_n_finite * {2 * N.ABSOLUTE_TOLERANCE}D + {weight} * {2 * N.RELATIVE_TOLERANCE}D "
         f"+ {weight} * g_n_finite * 2.3E-16D"
     )
-    pairs = gold.filter("kind = 'number'").drop("kind", "content").join(
-        pred.filter("kind = 'number'").drop("kind", "content"), on
+    return (
+        open_gold.join(side("p", numbers.filter("p IS NOT NULL")), on)
+        .filter(
+            f"{_near('low')} AND {_near('high')} AND g_n_finite = p_n_finite "
+            f"AND (g_n_finite = 0 OR abs(g_total - p_total) <= {slack})"
+        )
+        .select("instance_id", "ignore_order", "n_values", "g", "p")
     )
-    return pairs.filter(
-        f"{_near('low')} AND {_near('high')} AND g_n_finite = p_n_finite "
-        f"AND (g_n_finite = 0 OR abs(g_total - p_total) <= {spread})"
-    ).select("instance_id", "ignore_order", "n_values", "g", "p")
 
 
-def _pick(cells: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
-    """Numeric cells of the columns on one side of the pairs.
+class _Cells:
+    """Cells of one side, and how the columns asked for are brought to them."""
 
-    The join is salted by row, so the cells of one heavy column meet in many tasks.
-    """
-    salts = F.explode(F.sequence(F.lit(0), F.lit(CELL_SALTS - 1))).alias("_salt")
-    columns = pairs.select("instance_id", "ignore_order", F.col(side).alias("col")).distinct()
-    values = cells.selectExpr(
-        "instance_id",
-        f"{_COLUMN} AS col",
-        "row_idx",
-        "num AS value",
-        f"CAST(pmod(xxhash64(row_idx), {CELL_SALTS}) AS INT) AS _salt",
-    )
-    return values.join(columns.select("*", salts), ["instance_id", "col", "_salt"]).withColumnRenamed(
-        "col", side
-    )
+    def __init__(self, cells: DataFrame, side: str, few: bool):
+        self.cells, self.side, self.few = cells, side, few
+
+    def pick(self, pairs: DataFrame) -> DataFrame:
+        """Numeric cells of this side's columns in the pairs.
+
+        Few columns are broadcast; their number was counted before. More are joined with a
+        salt by row, so that the cells of one heavy column meet in many tasks.
+        """
+        side = self.side
+        columns = pairs.select("instance_id", "ignore_order", side).distinct()
+        values = self.cells.filter("num IS NOT NULL").selectExpr(
+            "instance_id", f"{_COLUMN} AS {side}", "row_idx", "num AS value"
+        )
+        if self.few:
+            return values.join(F.broadcast(columns), ["instance_id", side])
+        salt = F.expr(f"CAST(pmod(xxhash64(row_idx), {CELL_SALTS}) AS INT)")
+        salts = F.explode(F.sequence(F.lit(0), F.lit(CELL_SALTS - 1))).alias("_salt")
+        return (
+            values.withColumn("_salt", salt)
+            .join(columns.select("*", salts), ["instance_id", side, "_salt"])
+            .drop("_salt")
+        )
 
 
-def _verify_small(pairs: DataFrame, gold_cells: DataFrame, pred_cells: DataFrame) -> DataFrame:
+def _verify_small(pairs: DataFrame, gold: _Cells, pred: _Cells) -> DataFrame:
     """Pairs of columns of at most ``SMALL_COLUMN`` values: each column is one sorted array.
 
     With order ignored the place is 0 for all values, so they are sorted by value alone.
     """
 
-    def arrays(cells: DataFrame, side: str) -> DataFrame:
+    def arrays(cells: _Cells) -> DataFrame:
+        side = cells.side
         place = F.expr("CASE WHEN ignore_order THEN 0L ELSE row_idx END").alias("place")
         listed = F.sort_array(F.collect_list(F.struct(place, "value")))
         return (
-            _pick(cells, pairs, side)
+            cells.pick(pairs)
             .groupBy("instance_id", side)
             .agg(listed.alias(f"{side}_values"))
         )
@@ -333,22 +367,26 @@ def _verify_small(pairs: DataFrame, gold_cells: DataFrame, pred_cells: DataFrame
     )
     return (
         pairs.select("instance_id", "g", "p")
-        .join(arrays(gold_cells, "g"), ["instance_id", "g"])
-        .join(arrays(pred_cells, "p"), ["instance_id", "p"])
+        .join(arrays(gold), ["instance_id", "g"])
+        .join(arrays(pred), ["instance_id", "p"])
         .filter(fits)
         .select("instance_id", "g")
     )
 
 
-def _verify_placed(pairs: DataFrame, gold_cells: DataFrame, pred_cells: DataFrame) -> DataFrame:
+def _verify_placed(pairs: DataFrame, gold: _Cells, pred: _Cells) -> DataFrame:
     """Pairs whose values are close row by row. The join keys hold the row, so they spread."""
     salts = F.explode(F.sequence(F.lit(0), F.lit(CELL_SALTS - 1))).alias("_salt")
-    left = _pick(gold_cells, pairs, "g").withColumnRenamed("value", "a").drop("ignore_order")
-    right = _pick(pred_cells, pairs, "p").withColumnRenamed("value", "b")
+    left = gold.pick(pairs).selectExpr(
+        "instance_id", "g", "row_idx", "value AS a",
+        f"CAST(pmod(xxhash64(row_idx), {CELL_SALTS}) AS INT) AS _salt",
+    )
+    right = pred.pick(pairs).selectExpr("instance_id", "p", "row_idx", "value AS b")
+    named = pairs.select("instance_id", "g", "p", "n_values", salts)
     return (
-        left.join(pairs.select("instance_id", "g", "p", "n_values", salts), ["instance_id", "g", "_salt"])
+        left.join(named, ["instance_id", "g", "_salt"])
         .drop("_salt")
-        .join(right.drop("_salt", "ignore_order"), ["instance_id", "p", "row_idx"])
+        .join(right, ["instance_id", "p", "row_idx"])
         .groupBy("instance_id", "g", "p", "n_values")
         .agg(F.count_if(F.expr(N.close_sql("a", "b"))).alias("n_close"))
         .filter("n_close = n_values")
@@ -356,29 +394,29 @@ def _verify_placed(pairs: DataFrame, gold_cells: DataFrame, pred_cells: DataFram
     )
 
 
-def _ranked_values(cells: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
+def _ranked_values(cells: _Cells, pairs: DataFrame) -> DataFrame:
     """Distinct values of each column with the ranks they fill, first to last.
 
     Equal values are counted before anything is sorted, so a value held by most rows is one
     row here; the ranks come from a running total that spreads heavy columns.
     """
-    key = ["instance_id", side]
-    counted = _pick(cells, pairs, side).groupBy(*key, "value").agg(F.count(F.lit(1)).alias("n"))
+    key = ["instance_id", cells.side]
+    counted = cells.pick(pairs).groupBy(*key, "value").agg(F.count(F.lit(1)).alias("n"))
     ranked = running_total(counted, key, ["value"], "n", "last")
     return ranked.select(*key, "value", F.expr("last - n + 1").alias("first"), "last")
 
 
-def _verify_loose(pairs: DataFrame, gold_cells: DataFrame, pred_cells: DataFrame) -> DataFrame:
+def _verify_loose(pairs: DataFrame, gold: _Cells, pred: _Cells) -> DataFrame:
     """Pairs whose values are close rank by rank.
 
     Each column is a row of rank intervals, cut at block borders so that overlapping intervals
     meet on an equal block number. Closeness is tested once per overlap, not once per row.
     """
 
-    def blocks(side: str, cells: DataFrame, value: str) -> DataFrame:
-        return _ranked_values(cells, pairs, side).selectExpr(
+    def blocks(cells: _Cells, value: str) -> DataFrame:
+        return _ranked_values(cells, pairs).selectExpr(
             "instance_id",
-            side,
+            cells.side,
             f"value AS {value}",
             f"first AS {value}_first",
             f"last AS {value}_last",
@@ -386,9 +424,9 @@ def _verify_loose(pairs: DataFrame, gold_cells: DataFrame, pred_cells: DataFrame
         )
 
     return (
-        blocks("g", gold_cells, "a")
+        blocks(gold, "a")
         .join(pairs.select("instance_id", "g", "p"), ["instance_id", "g"])
-        .join(blocks("p", pred_cells, "b"), ["instance_id", "p", "block"])
+        .join(blocks(pred, "b"), ["instance_id", "p", "block"])
         .filter("a_first <= b_last AND b_first <= a_last")
         .groupBy("instance_id", "g", "p")
         .agg(F.bool_and(F.expr(N.close_sql("a", "b"))).alias("fits"))
@@ -409,65 +447,74 @@ def _verify(pairs: DataFrame, gold_cells: DataFrame, pred_cells: DataFrame) -> D
         (~small & ~loose, _verify_placed),
         (~small & loose, _verify_loose),
     ]
-    found = pairs.agg(*[F.bool_or(test) for test, _ in routes]).first()
-    verified = [
-        verify(pairs.filter(test), gold_cells, pred_cells)
-        for (test, verify), present in zip(routes, found)
-        if present
-    ]
+    counts = pairs.agg(*[F.count_if(test) for test, _ in routes]).first()
+    verified = []
+    for (test, verify), count in zip(routes, counts):
+        if count:
+            few = count <= BROADCAST_PAIRS
+            gold, pred = _Cells(gold_cells, "g", few), _Cells(pred_cells, "p", few)
+            verified.append(verify(pairs.filter(test), gold, pred))
     return reduce(DataFrame.unionByName, verified).distinct() if verified else None
 
 
-def match_golds(
-    standards: DataFrame,
-    pred_tables: DataFrame,
-    pred_cells: DataFrame,
-    gold_tables: DataFrame,
-    gold_cells: DataFrame,
-) -> DataFrame:
-    """(instance_id, variant, matched) for every gold table of a graded instance.
+def _both_sides(gold: DataFrame, pred: DataFrame, columns: list[str]) -> DataFrame:
+    gold = gold.select(F.lit("g").alias("side"), *columns)
+    return gold.unionByName(pred.select(F.lit("p").alias("side"), *columns))
 
-    The facts per column are written to the shared folder once: they are small, and every
-    later step starts from them instead of the cells.
-    """
-    shared_folder(standards.sparkSession)
-
-    def both(gold: DataFrame, pred: DataFrame, columns: list[str]) -> DataFrame:
-        gold = gold.select(F.lit("g").alias("side"), *columns)
-        return gold.unionByName(pred.select(F.lit("p").alias("side"), *columns))
-
-    facts = column_facts(
-        both(gold_tables, pred_tables, TABLE_COLUMNS), both(gold_cells, pred_cells, CELL_COLUMNS), "side"
-    ).checkpoint()
-    asked, needed = gold_columns(standards, gold_tables, facts.filter("side = 'g'").drop("side"))
-    orders = asked.select("instance_id", "ignore_order").distinct()
-    content = F.expr("CASE WHEN ignore_order THEN loose ELSE placed END").alias("content")
-    wanted = needed.select("*", content)
-    offered = facts.filter("side = 'p'").join(orders, "instance_id").select("*", content)
-
-    gold = _distinct_contents(wanted, "g")
-    pred = _distinct_contents(offered, "p")
-    open_gold = gold.join(pred.select(*_SHAPE), _SHAPE, "left_anti")
-    pairs = _candidates(open_gold, pred).checkpoint()
+
+def _with_error(pred_tables: DataFrame) -> DataFrame:
+    if "read_error" in pred_tables.columns:
+        return pred_tables
+    return pred_tables.withColumn("read_error", F.lit(None).cast("string"))
+
+
+def _all_tables(gold_tables: DataFrame, pred_tables: DataFrame) -> DataFrame:
+    """One row per table of both sides, kept in the shared folder for the later steps."""
+    shared_folder(gold_tables.sparkSession)
+    gold = gold_tables.withColumn("read_error", F.lit(None).cast("string"))
+    columns = [*TABLE_COLUMNS, "read_error"]
+    return _both_sides(gold, _with_error(pred_tables), columns).checkpoint()
+
+
+def _match(
+    standards: DataFrame, tables: DataFrame, pred_cells: DataFrame, gold_cells: DataFrame
+) -> DataFrame:
+    """The contents of all columns are written to the shared folder once: they are small, and
+    every later step starts from them instead of the cells."""
+    cells = _both_sides(gold_cells, pred_cells, CELL_COLUMNS)
+    contents = column_contents(standards, tables, cells).checkpoint()
+    pairs = _candidates(contents).checkpoint()
     verified = _verify(pairs, gold_cells, pred_cells)
 
-    settled = offered.select(*_SHAPE)
+    settled = contents.filter("g IS NOT NULL AND p IS NOT NULL").select("instance_id", "columns")
     if verified is not None:
-        settled = settled.unionByName(gold.join(verified, ["instance_id", "g"]).select(*_SHAPE))
-    fits = wanted.join(settled, _SHAPE, "left_semi")
-    found = fits.groupBy("instance_id", "variant").agg(F.count(F.lit(1)).alias("n_fit"))
-    predicted = pred_tables.filter("readable").select("instance_id")
+        more = contents.join(verified, ["instance_id", "g"]).select("instance_id", "columns")
+        settled = settled.unionByName(more)
+    found = (
+        settled.select("instance_id", F.inline("columns"))
+        .groupBy("instance_id", "variant")
+        .agg(F.count(F.lit(1)).alias("n_fit"))
+    )
+    predicted = tables.filter("side = 'p' AND readable").select("instance_id")
     return (
-        asked.join(predicted, "instance_id", "left_semi")
+        asked_columns(standards, tables.filter("side = 'g'"))
+        .join(predicted, "instance_id", "left_semi")
         .join(found, ["instance_id", "variant"], "left")
-        .select(
-            "instance_id",
-            "variant",
-            (F.coalesce("n_fit", F.lit(0)) == F.col("n_asked")).alias("matched"),
-        )
+        .selectExpr("instance_id", "variant", "coalesce(n_fit, 0) = n_asked AS matched")
     )
 
 
+def match_golds(
+    standards: DataFrame,
+    pred_tables: DataFrame,
+    pred_cells: DataFrame,
+    gold_tables: DataFrame,
+    gold_cells: DataFrame,
+) -> DataFrame:
+    """(instance_id, variant, matched) for every gold table of a graded instance."""
+    return _match(standards, _all_tables(gold_tables, pred_tables), pred_cells, gold_cells)
+
+
 def grade(
     standards: DataFrame,
     pred_tables: DataFrame,
@@ -479,18 +526,19 @@ def grade(
 
     ``pred_tables`` may carry ``read_error``, the reason a prediction could not be read.
     """
-    matches = match_golds(standards, pred_tables, pred_cells, gold_tables, gold_cells)
-    any_match = matches.groupBy("instance_id").agg(F.bool_or("matched").alias("matched"))
-    golds = gold_tables.filter("readable").groupBy("instance_id").agg(
-        F.min_by(F.struct("n_rows", "n_cols"), "variant").alias("gold")
-    )
-    if "read_error" not in pred_tables.columns:
-        pred_tables = pred_tables.withColumn("read_error", F.lit(None).cast("string"))
-    preds = pred_tables.select(
-        "instance_id",
-        "readable",
-        "read_error",
-        F.struct("n_rows", "n_cols").alias("pred"),
+    tables = _all_tables(gold_tables, pred_tables)
+    matched = (
+        _match(standards, tables, pred_cells, gold_cells)
+        .groupBy("instance_id")
+        .agg(F.bool_or("matched").alias("matched"))
+    )
+    shapes = tables.groupBy("instance_id").agg(
+        F.bool_or(F.expr("IF(side = 'p', readable, NULL)")).alias("readable"),
+        F.max("read_error").alias("read_error"),
+        F.max(F.expr("IF(side = 'p', struct(n_rows, n_cols), NULL)")).alias("pred"),
+        F.min(F.expr("IF(side = 'g' AND readable, struct(variant, n_rows, n_cols), NULL)")).alias(
+            "gold"
+        ),
     )
     status = (
         F.when(F.col("readable").isNull(), MISSING)
@@ -501,9 +549,8 @@ def grade(
     )
     return (
         standards.select("instance_id")
-        .join(preds, "instance_id", "left")
-        .join(golds, "instance_id", "left")
-        .join(any_match, "instance_id", "left")
+        .join(shapes, "instance_id", "left")
+        .join(matched, "instance_id", "left")
         .select("instance_id", status.alias("status"), "read_error", "pred", "gold")
     )
 

@@ -14,7 +14,7 @@ from plumbline.operators.batch import run_batch
 from plumbline.plans import records
 from plumbline.session import fresh_path, shared_folder
 from plumbline.sources.questions import normalise
-from plumbline.sources.tables import derive, load, plain
+from plumbline.sources.tables import derive, load, plain, spread
 
 # ------------------------------------------------------------------------- catalogue
 
@@ -244,7 +244,7 @@ DOCS_BUDGET = 3000
 def doc_toc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its table of contents in front."""
     content = F.col("content")
-    return derive(spark, sf_dir, DOCS).select(
+    return spread(derive(spark, sf_dir, DOCS)).select(
         "doc_id",
         T.contents(content).alias("contents"),
         T.with_contents(content).alias("text"),
@@ -271,7 +271,7 @@ DOC_TOC_SQL = f"with {_TOC_CTES} select doc_id, contents, text from w"
 def doc_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with contents, cut to the budget; the marker comes on top of it."""
     text = T.with_contents(F.col("content"))
-    return derive(spark, sf_dir, DOCS).select(
+    return spread(derive(spark, sf_dir, DOCS)).select(
         "doc_id",
         F.length(text).cast("bigint").alias("full_length"),
         T.truncate(text, DOCS_BUDGET).alias("text"),

@@ -48,10 +48,10 @@ PRED_COLUMNS = ["p0", "p1", "p2", "p3", "p4", "p5"]
 
 
 def _side(spark, sf_dir, text, columns, variant=None):
-    rows = spread(derive(spark, sf_dir, text))
+    rows = derive(spark, sf_dir, text)
     return (
         G.tables_of(rows, "inst", columns, variant),
-        G.cells_of(rows, "inst", "pos", columns, variant),
+        G.cells_of(spread(rows), "inst", "pos", columns, variant),
     )
 
 
