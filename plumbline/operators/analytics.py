@@ -7,6 +7,11 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.session import shared_folder
+
+# Keys, with one number each, up to which an aggregate is broadcast.
+BROADCAST_KEYS = 500_000
+
 
 def flags_per_key(df: DataFrame, key: str, tests: Mapping[str, Column]) -> DataFrame:
     """One row per key with, for each test, whether any row of the key passes it.
@@ -76,11 +81,14 @@ def top_mean(df: DataFrame, value: str, count: int, power: int, name: str) -> Da
 def mean_per_key(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
     """``AVG(value) OVER (PARTITION BY key)`` as an aggregate joined back to the rows.
 
-    The window would bring all rows of a key into one task; here only one row per key is
-    shuffled, and the small side is broadcast when Spark finds it small enough.
+    The window would bring all rows of a key into one task. The means are counted: few enough
+    of them are broadcast, so the rows are not shuffled at all; more are joined by key, where
+    Spark splits heavy keys.
     """
-    means = df.groupBy(F.col(key).alias("_key")).agg(F.avg(value).alias(name))
-    return df.join(means, df[key].eqNullSafe(means["_key"])).drop("_key")
+    shared_folder(df.sparkSession)
+    means = df.groupBy(F.col(key).alias("_key")).agg(F.avg(value).alias(name)).checkpoint()
+    small = F.broadcast(means) if means.count() <= BROADCAST_KEYS else means
+    return df.join(small, df[key].eqNullSafe(small["_key"])).drop("_key")
 
 
 def survival(

@@ -6,12 +6,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.identifiers import quoted, shard_key, shard_prefix
 from plumbline.functions.text import TRUNCATED
 from plumbline.operators.ordered import first_rows
+from plumbline.session import shared_folder
 
 # Least size of a shard group, names listed, and the layout of the texts.
 GROUP_SIZE = 3
@@ -127,9 +130,9 @@ def schema_pieces(tables: DataFrame) -> DataFrame:
     scope = ["db_id", "schema_name"]
     listed = grouped_tables(tables, "ddl")
 
-    def part(section: int, place: Column) -> Column:
+    def part(section: Column, place: Column) -> Column:
         return F.struct(
-            F.col("schema_name"), F.lit(section).alias("section"), place.alias("place")
+            F.col("schema_name"), section.alias("section"), place.alias("place")
         ).alias("part")
 
     none = F.lit(0).cast("long")
@@ -140,31 +143,29 @@ def schema_pieces(tables: DataFrame) -> DataFrame:
         .withColumn("_gap", F.when(F.row_number().over(first) > 1, "\n").otherwise(""))
         .select(
             "db_id",
-            part(0, none),
+            part(F.lit(0), none),
             F.concat(
                 "_gap",
                 F.format_string(SCHEMA_HEAD, "db_id", "schema_name", "db_id", "schema_name"),
             ).alias("text"),
         )
     )
-    groups = listed.filter("is_group").select(
-        "db_id",
-        part(1, F.col("first_pos")),
-        F.format_string(
-            GROUP_TEXT,
-            *["prefix", "n_tables", "prefix", "min_key", "max_key", "prefix"],
-            *["db_id", "schema_name", "prefix", "ddl"],
-        ).alias("text"),
+    is_group = F.col("is_group")
+    group = F.format_string(
+        GROUP_TEXT,
+        *["prefix", "n_tables", "prefix", "min_key", "max_key", "prefix"],
+        *["db_id", "schema_name", "prefix", "ddl"],
     )
-    names = name_lists(listed, scope).select(
-        "db_id", part(2, none), F.concat("text", F.lit(STRUCTURES)).alias("text")
+    single = F.format_string(TABLE_TEXT, "db_id", "schema_name", "table_name", "ddl")
+    place = F.when(is_group, F.col("first_pos")).otherwise(F.col("pos"))
+    section = F.when(is_group, 1).otherwise(3)
+    structures = listed.select(
+        "db_id", part(section, place), F.when(is_group, group).otherwise(single).alias("text")
     )
-    singles = listed.filter("NOT is_group").select(
-        "db_id",
-        part(3, F.col("pos")),
-        F.format_string(TABLE_TEXT, "db_id", "schema_name", "table_name", "ddl").alias("text"),
+    names = name_lists(listed, scope).select(
+        "db_id", part(F.lit(2), none), F.concat("text", F.lit(STRUCTURES)).alias("text")
     )
-    return heads.unionByName(groups).unionByName(names).unionByName(singles)
+    return heads.unionByName(structures).unionByName(names)
 
 
 def budgeted_text(
@@ -200,24 +201,29 @@ def budgeted_text(
     return lengths.join(heads, key)
 
 
-def schema_texts(tables: DataFrame, budget: int) -> DataFrame:
-    """Schema text per database, cut at the last table that starts within the budget."""
-    texts = budgeted_text(schema_pieces(tables), "db_id", "part", "text", budget, LEAST_PIECE)
-    whole = F.col("head")
+def schema_texts(tables: DataFrame, *budgets: int) -> DataFrame:
+    """Schema text per database and budget, cut at the last table that starts within it.
+
+    The pieces are written to the shared folder once and serve their lengths and the texts of
+    every budget.
+    """
+    shared_folder(tables.sparkSession)
+    pieces = schema_pieces(tables).checkpoint()
+    return reduce(DataFrame.unionByName, [_schema_text(pieces, budget) for budget in budgets])
+
+
+def _schema_text(pieces: DataFrame, budget: int) -> DataFrame:
+    texts = budgeted_text(pieces, "db_id", "part", "text", budget, LEAST_PIECE)
+    whole, shown = F.col("head"), F.lit(budget).alias("budget")
     if budget <= 0:
-        return texts.select("db_id", whole.alias("ddl"), F.lit(False).alias("truncated"))
+        return texts.select("db_id", shown, whole.alias("ddl"), F.lit(False).alias("truncated"))
     prefix = F.left(whole, F.lit(budget))
     found = F.instr(F.reverse(prefix), F.lit(TABLE_START[::-1]))
-    size = len(TABLE_START)
-    cut = F.when(found > 0, F.lit(budget) - found - (size - 1)).otherwise(F.lit(budget))
+    before = F.lit(budget) - found - (len(TABLE_START) - 1)
+    cut = F.when(found > 0, before).otherwise(F.lit(budget))
     too_long = F.col("full_length") > budget
-    return texts.select(
-        "db_id",
-        F.when(too_long, F.concat(F.left(whole, cut), F.lit(TRUNCATED)))
-        .otherwise(whole)
-        .alias("ddl"),
-        too_long.alias("truncated"),
-    )
+    ddl = F.when(too_long, F.concat(F.left(whole, cut), F.lit(TRUNCATED))).otherwise(whole)
+    return texts.select("db_id", shown, ddl.alias("ddl"), too_long.alias("truncated"))
 
 
 # Frame of the column roster.

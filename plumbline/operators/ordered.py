@@ -97,16 +97,15 @@ def first_rows(
 ) -> DataFrame:
     """The first ``count`` rows of each group, numbered from 1.
 
-    A first pass keeps the first rows of each salted part of a group, so no task sorts a
-    whole heavy group; the result is the same as with one window.
+    For a small count Spark itself keeps the first rows of each group before the shuffle. For
+    a larger one a first pass keeps those of each salted part of a group, so that no task
+    sorts a whole heavy group; the result is the same.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
-    part = Window.partitionBy(*group, "_salt").orderBy(*order)
     whole = Window.partitionBy(*group).orderBy(*order)
-    return (
-        salted.withColumn(name, F.row_number().over(part))
-        .filter(F.col(name) <= count)
-        .drop("_salt", name)
-        .withColumn(name, F.row_number().over(whole))
-        .filter(F.col(name) <= count)
-    )
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    if count >= limit:
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+        part = Window.partitionBy(*group, "_salt").orderBy(*order)
+        kept = salted.withColumn("_part", F.row_number().over(part)).filter(F.col("_part") <= count)
+        df = kept.drop("_salt", "_part")
+    return df.withColumn(name, F.row_number().over(whole)).filter(F.col(name) <= count)

@@ -140,16 +140,13 @@ DDL_BUDGET = 4000
 SHORT_BUDGET = 500
 
 
-def _ddl(spark: SparkSession, sf_dir: str, budget: int) -> DataFrame:
-    return C.schema_texts(derive(spark, sf_dir, DDL_TABLES), budget)
+def _ddl(spark: SparkSession, sf_dir: str, *budgets: int) -> DataFrame:
+    return C.schema_texts(derive(spark, sf_dir, DDL_TABLES), *budgets)
 
 
 def ddl_budget_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Schema text per database under a wide and a narrow budget."""
-    wide = _ddl(spark, sf_dir, DDL_BUDGET).withColumn("budget", F.lit(DDL_BUDGET))
-    return wide.unionByName(
-        _ddl(spark, sf_dir, SHORT_BUDGET).withColumn("budget", F.lit(SHORT_BUDGET))
-    )
+    return _ddl(spark, sf_dir, DDL_BUDGET, SHORT_BUDGET)
 
 
 _DDL_PIECES_SQL = plain(

@@ -51,7 +51,7 @@ def _side(spark, sf_dir, text, columns, variant=None):
     rows = derive(spark, sf_dir, text)
     return (
         G.tables_of(rows, "inst", columns, variant),
-        G.cells_of(spread(rows), "inst", "pos", columns, variant),
+        G.cells_of(spread(rows, "inst", "pos"), "inst", "pos", columns, variant),
     )
 
 

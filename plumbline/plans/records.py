@@ -196,7 +196,7 @@ from {documents}
 
 
 def _lessons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(spark, sf_dir, LESSONS)
+    return spread(derive(spark, sf_dir, LESSONS))
 
 
 def _entry():

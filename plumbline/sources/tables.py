@@ -47,10 +47,14 @@ def plain(text: str) -> str:
     return re.sub(r"\{(\w+)\}", r"\1", text)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, *near: str) -> DataFrame:
     """Rows over all cores, where the input has fewer files than there are cores.
 
-    Large inputs come in many files and stay as they are.
+    Large inputs come in many files and stay as they are. ``near`` names columns whose order
+    the parts follow: rows of one key stay together, unless the key is so heavy that it fills
+    several parts.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    if len(df.inputFiles()) >= cores:
+        return df
+    return df.repartitionByRange(cores, *near) if near else df.repartition(cores)

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from plumbline.operators import ordered as O
 
 
@@ -55,9 +57,12 @@ def test_hot_group_is_spread(spark):
     assert len(counts) > 3 and max(counts) < 1500
 
 
-def test_first_rows(spark):
+@pytest.mark.parametrize("threshold", ["1000", "3"])
+def test_first_rows(spark, threshold):
     rows = _rows()
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", threshold)
     got = O.first_rows(_df(spark, rows), ["g"], ["o", "id"], 7).collect()
+    spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
     expected = {
         (m[2], i) for members in _groups(rows).values() for i, m in enumerate(members[:7], 1)
     }

@@ -52,8 +52,12 @@ def test_only_needed_columns_are_read(spark, sf_dir):
 
 
 def test_row_wise_queries_do_not_shuffle(spark, sf_dir):
-    keys = ["sql_clean", "recon_guard_limit", "timeout_estimate", "classify_errors",
-            "requirements_score", "failed_subtasks", "subtask_tree_text",
-            "flatten_params", "lessons_parse", "range_and_distance"]
+    keys = ["sql_clean", "recon_guard_limit", "timeout_estimate", "classify_errors", "subtask_tree_text",
+            "flatten_params", "range_and_distance"]
     for key in keys:
         assert "Exchange" not in _plan(spark, sf_dir, key), key
+
+
+def test_small_aggregate_is_broadcast_without_shuffling_rows(spark, sf_dir):
+    plan = _plan(spark, sf_dir, "partition_avg")
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
