@@ -123,18 +123,24 @@ def tables_of(
 _STATS = ["low", "high", "n_finite", "total", "weight"]
 
 
-def _fingerprint(prefix: str, content: str) -> list[Column]:
-    """Four sums of 32-bit hash halves: equal content gives equal sums in any row order."""
-    sums = []
-    for seed in (0, 1):
-        hashed = f"xxhash64({seed}, {content})"
-        sums += [
-            F.expr(f"sum(shiftright({hashed}, 32))").alias(f"{prefix}{2 * seed}"),
-            F.expr(f"sum(shiftright(shiftleft({hashed}, 32), 32))").alias(
-                f"{prefix}{2 * seed + 1}"
-            ),
-        ]
-    return sums
+def _placed_print(name: str, value: str) -> list[Column]:
+    """Two 64-bit hashes of values with their rows. A row occurs once, so XOR loses nothing."""
+    return [
+        F.expr(f"bit_xor(xxhash64({seed}, row_idx, {value}))").alias(f"{name}{seed}")
+        for seed in (0, 1)
+    ]
+
+
+def _loose_print(name: str, value: str) -> list[Column]:
+    """The same without rows. Values repeat, so one hash is summed, in thirds that leave room
+    for 10^12 copies of one value; the XOR of the other tells which values are odd in number."""
+    hashed = f"xxhash64(0, {value})"
+    thirds = [f"{hashed} & 2097151", f"shiftright({hashed}, 21) & 2097151"]
+    thirds.append(f"shiftrightunsigned({hashed}, 42)")
+    return [
+        *[F.expr(f"sum({third})").alias(f"{name}{i}") for i, third in enumerate(thirds)],
+        F.expr(f"bit_xor(xxhash64(1, {value}))").alias(f"{name}3"),
+    ]
 
 
 def column_facts(tables: DataFrame, cells: DataFrame, *side: str) -> DataFrame:
@@ -154,10 +160,10 @@ def column_facts(tables: DataFrame, cells: DataFrame, *side: str) -> DataFrame:
         F.count(finite).alias("n_finite"),
         F.sum(finite).alias("total"),
         F.sum(F.abs(finite)).alias("weight"),
-        *_fingerprint("np", "row_idx, num + 0D"),
-        *_fingerprint("tp", "row_idx, txt"),
-        *_fingerprint("nv", "num + 0D"),
-        *_fingerprint("tv", "txt"),
+        *_placed_print("np", "num + 0D"),
+        *_placed_print("tp", "txt"),
+        *_loose_print("nv", "num + 0D"),
+        *_loose_print("tv", "txt"),
     )
     columns = tables.filter("readable AND n_cols > 0").select(
         *side,
@@ -175,11 +181,11 @@ def column_facts(tables: DataFrame, cells: DataFrame, *side: str) -> DataFrame:
         "WHEN n_numbers = n_values AND n_truths IN (0, n_values) THEN 'number' ELSE 'text' END"
     )
 
-    def content(number: str, text: str) -> Column:
-        halves = [[f"{p}{i}" for i in range(4)] for p in (number, text)]
+    def content(number: str, text: str, parts: int) -> Column:
+        numbers, texts = (", ".join(f"{p}{i}" for i in range(parts)) for p in (number, text))
         return F.expr(
-            f"CASE kind WHEN 'any' THEN '' WHEN 'number' THEN concat_ws(':', {', '.join(halves[0])}) "
-            f"ELSE concat_ws(':', {', '.join(halves[1])}) END"
+            f"CASE kind WHEN 'any' THEN '' WHEN 'number' THEN concat_ws(':', {numbers}) "
+            f"ELSE concat_ws(':', {texts}) END"
         )
 
     return facts.withColumn("kind", kind).select(
@@ -189,8 +195,8 @@ def column_facts(tables: DataFrame, cells: DataFrame, *side: str) -> DataFrame:
         "n_values",
         "kind",
         *_STATS,
-        content("np", "tp").alias("placed"),
-        content("nv", "tv").alias("loose"),
+        content("np", "tp", 2).alias("placed"),
+        content("nv", "tv", 4).alias("loose"),
     )
 
 
@@ -580,6 +586,11 @@ def report(grades: DataFrame) -> DataFrame:
     )
 
 
+def per_instance(grades: DataFrame) -> DataFrame:
+    """Status of every instance, by id."""
+    return grades.select("instance_id", "status").orderBy("instance_id")
+
+
 def failures(grades: DataFrame, sql_texts: DataFrame, questions: DataFrame) -> DataFrame:
     """One failure record per instance that is wrong, broken or without prediction.
 

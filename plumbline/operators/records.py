@@ -82,8 +82,8 @@ def array_step_durations(logs: DataFrame) -> DataFrame:
 def attempt_outcomes(attempts: DataFrame, order: list[str]) -> DataFrame:
     """Last attempt of each question decides its outcome.
 
-    ``attempts``: instance_id, loop, success, error_type and the ``order`` columns. Only one
-    row per question is kept before the shuffle.
+    ``attempts``: instance_id, loop, success, error_type, the ``order`` columns, and
+    ``elapsed_ms`` where the clock is known. Only one row per question and task is shuffled.
     """
     last = F.max_by(F.struct("loop", "success", "error_type"), F.struct(*order))
     outcome = (
@@ -91,26 +91,38 @@ def attempt_outcomes(attempts: DataFrame, order: list[str]) -> DataFrame:
         .when(F.col("last.loop") == "execution", FAILED_EXECUTION)
         .otherwise(FAILED_REQUIREMENTS)
     )
-    return attempts.groupBy("instance_id").agg(
-        F.count(F.lit(1)).alias("n_attempts"), last.alias("last")
-    ).select(
+    clock = []
+    if "elapsed_ms" in attempts.columns:
+        clock = [F.min("elapsed_ms").alias("started_ms"), F.max("elapsed_ms").alias("ended_ms")]
+    found = attempts.groupBy("instance_id").agg(
+        F.count(F.lit(1)).alias("n_attempts"), last.alias("last"), *clock
+    )
+    return found.select(
         "instance_id",
         "n_attempts",
         outcome.alias("outcome"),
         F.col("last.error_type").alias("last_error_type"),
+        *(["started_ms", "ended_ms"] if clock else []),
     )
 
 
-def run_summary(outcomes: DataFrame, total_ms: Column | None = None) -> DataFrame:
+def run_summary(outcomes: DataFrame) -> DataFrame:
+    """Questions by outcome, and the time from the first start to the last end.
+
+    ``outcomes`` may carry ``started_ms`` and ``ended_ms`` of each question.
+    """
+
     def count(state: str) -> Column:
         return F.count_if(F.col("outcome") == state)
 
+    timed = {"started_ms", "ended_ms"} <= set(outcomes.columns)
+    elapsed = [(F.max("ended_ms") - F.min("started_ms")).alias("elapsed_ms")] if timed else []
     return outcomes.agg(
         F.count(F.lit(1)).alias("processed"),
         count(SUCCEEDED).alias("succeeded"),
         count(FAILED_REQUIREMENTS).alias("failed_requirements"),
         count(FAILED_EXECUTION).alias("failed_execution"),
-        *([total_ms.alias("elapsed_ms")] if total_ms is not None else []),
+        *elapsed,
     )
 
 

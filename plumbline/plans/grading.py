@@ -234,7 +234,7 @@ def grade_multi_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grade_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _grades(spark, sf_dir).select("instance_id", "status")
+    return G.per_instance(_grades(spark, sf_dir))
 
 
 def grade_report(spark: SparkSession, sf_dir: str) -> DataFrame:

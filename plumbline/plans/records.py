@@ -325,21 +325,57 @@ from j
 """
 )
 
+# Answers that hold several lessons, with gaps, wrapped, or useless.
+TAXONOMY = """
+select conv_id, turn, case (conv_id + turn) % 4
+    when 0 then '[{{"error_type": "wrong_join", "pattern": "turn ' || cast(turn as string)
+                || '", "fix": "f"}}, {{"example": "SELECT 1"}}]'
+    when 1 then '```json
+[{{"pattern": "' || role || '", "fix": "g", "example": "e"}}]
+```'
+    when 2 then 'nothing found'
+    else '[]' end as answer
+from {conversations}
+"""
+
+
+def taxonomy_lessons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per lesson in the answers, absent fields filled with their defaults."""
+    lessons = derive(spark, sf_dir, TAXONOMY).withColumn("lessons", J.lessons(F.col("answer")))
+    return lessons.select("conv_id", "turn", F.inline("lessons"))
+
+
+TAXONOMY_LESSONS_SQL = portable(
+    f"""
+with a as (select conv_id, turn, case when starts_with(answer, '```')
+             then regexp_extract(answer, '(?s)^```[^\n]*\n(.*)\n```$', 1) else answer end as body
+           from ({TAXONOMY})),
+e as (select conv_id, turn, unnest(cast(body as json[])) as e from a where json_valid(body))
+select conv_id, turn, coalesce(json_extract_string(e, '$.error_type'), 'other') as error_type,
+  coalesce(json_extract_string(e, '$.pattern'), 'Unknown pattern') as pattern,
+  coalesce(json_extract_string(e, '$.fix'), 'Review and adjust') as fix,
+  coalesce(json_extract_string(e, '$.example'), '') as example
+from e
+"""
+)
+
 # --------------------------------------------------------------------- steps and attempts
 
 # A user is a question, its events are logged steps; the clock runs from the first of January.
 _CLOCK_START = "2024-01-01"
 
 
+def _clock(ts):
+    start = F.lit(_CLOCK_START).cast("timestamp_ntz")
+    return F.timestamp_diff("MILLISECOND", start, ts.cast("timestamp_ntz"))
+
+
 def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clock = F.timestamp_diff(
-        "MILLISECOND", F.lit(_CLOCK_START).cast("timestamp_ntz"), F.col("ts")
-    )
     return load(spark, sf_dir, "events").select(
         F.col("user_id").alias("instance_id"),
         "event_id",
         F.col("event_type").alias("step"),
-        clock.alias("elapsed_ms"),
+        _clock(F.col("ts")).alias("elapsed_ms"),
     )
 
 
@@ -394,7 +430,8 @@ def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attempt_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.attempt_outcomes(_attempts(spark, sf_dir), ["event_id"])
+    timed = _attempts(spark, sf_dir).withColumn("elapsed_ms", _clock(F.col("ts")))
+    return R.attempt_outcomes(timed, ["event_id"])
 
 
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -407,10 +444,12 @@ raw as ({ATTEMPTS}),
 att as (select * replace (error_type = 'none' as success) from (
   select *, case when not success then 'runtime' when n_rows = 0 then 'empty_result'
                  when n_values = 0 then 'null_result' else 'none' end as error_type from raw)),
-last as (select instance_id, count(*) as n_attempts, max(event_id) as event_id
+last as (select instance_id, count(*) as n_attempts, max(event_id) as event_id,
+           min(date_diff('millisecond', timestamp '{_CLOCK_START}', cast(ts as timestamp))) as started_ms,
+           max(date_diff('millisecond', timestamp '{_CLOCK_START}', cast(ts as timestamp))) as ended_ms
          from att group by instance_id),
 outcomes as (
-  select last.instance_id, n_attempts,
+  select last.instance_id, n_attempts, started_ms, ended_ms,
     case when loop_name = 'execution' and success then 'succeeded'
          when loop_name = 'execution' then 'failed_execution' else 'failed_requirements' end as outcome,
     error_type as last_error_type, att.*
@@ -418,11 +457,12 @@ outcomes as (
 """
 )
 ATTEMPT_OUTCOMES_SQL = f"""with {_ATTEMPTS_CTES}
-select instance_id, n_attempts, outcome, last_error_type from outcomes"""
+select instance_id, n_attempts, outcome, last_error_type, started_ms, ended_ms from outcomes"""
 RUN_SUMMARY_SQL = f"""with {_ATTEMPTS_CTES}
 select count(*) as processed, count(*) filter (outcome = 'succeeded') as succeeded,
   count(*) filter (outcome = 'failed_requirements') as failed_requirements,
-  count(*) filter (outcome = 'failed_execution') as failed_execution
+  count(*) filter (outcome = 'failed_execution') as failed_execution,
+  max(ended_ms) - min(started_ms) as elapsed_ms
 from outcomes"""
 
 
@@ -568,6 +608,7 @@ QUERIES = {
     "lessons_stream": lessons_stream,
     "lesson_kinds": lesson_kinds,
     "lessons_from_errors": lessons_from_errors,
+    "taxonomy_lessons": taxonomy_lessons,
     "step_durations": step_durations,
     "step_totals": step_totals,
     "attempt_outcomes": attempt_outcomes,
@@ -588,6 +629,7 @@ ORACLES = {
     "lessons_stream": LESSONS_STREAM_SQL,
     "lesson_kinds": LESSON_KINDS_SQL,
     "lessons_from_errors": LESSONS_FROM_ERRORS_SQL,
+    "taxonomy_lessons": TAXONOMY_LESSONS_SQL,
     "step_durations": STEP_DURATIONS_SQL,
     "step_totals": STEP_TOTALS_SQL,
     "attempt_outcomes": ATTEMPT_OUTCOMES_SQL,

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.grading import cells_of_text
+from plumbline.session import shared_folder
 from plumbline.sources.paths import file_path, or_empty, stem
 
 NO_COLUMNS = "No columns to parse from file"
@@ -89,7 +90,9 @@ def _read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     known = known.withColumn(
         "offset", F.coalesce(F.sum("n_rows").over(earlier), F.lit(0))
     )
-    return known, rows
+    # One row per file, kept so that shapes are not counted again with every use.
+    shared_folder(spark)
+    return known.checkpoint(), rows
 
 
 def _tables(files: DataFrame) -> DataFrame:
