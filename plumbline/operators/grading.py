@@ -31,16 +31,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import numbers as N
-from plumbline.operators.ordered import running_total
+from plumbline.operators.ordered import carry_forward, running_total
 from plumbline.session import shared_folder
 
 KEY = ["instance_id", "variant", "col_idx"]
 CELL_COLUMNS = [*KEY, "row_idx", "num", "txt", "is_truth"]
 TABLE_COLUMNS = ["instance_id", "variant", "n_rows", "n_cols", "readable"]
 CELL_SALTS = 16
-# Values up to which a column may be one array in one task, and ranks per block beyond.
+# Values up to which a column may be one array in one task.
 SMALL_COLUMN = 10_000
-RANK_BLOCK = 1024
 # Column pairs, of some 100 bytes each, up to which their columns are broadcast.
 BROADCAST_PAIRS = 200_000
 
@@ -400,8 +399,8 @@ def _verify_placed(pairs: DataFrame, gold: _Cells, pred: _Cells) -> DataFrame:
     )
 
 
-def _ranked_values(cells: _Cells, pairs: DataFrame) -> DataFrame:
-    """Distinct values of each column with the ranks they fill, first to last.
+def _rank_starts(cells: _Cells, pairs: DataFrame, value: str) -> DataFrame:
+    """Distinct values of each column, in order, with the first rank each one holds.
 
     Equal values are counted before anything is sorted, so a value held by most rows is one
     row here; the ranks come from a running total that spreads heavy columns.
@@ -409,32 +408,29 @@ def _ranked_values(cells: _Cells, pairs: DataFrame) -> DataFrame:
     key = ["instance_id", cells.side]
     counted = cells.pick(pairs).groupBy(*key, "value").agg(F.count(F.lit(1)).alias("n"))
     ranked = running_total(counted, key, ["value"], "n", "last")
-    return ranked.select(*key, "value", F.expr("last - n + 1").alias("first"), "last")
+    return ranked.select(*key, F.col("value").alias(value), F.expr("last - n + 1").alias("start"))
 
 
 def _verify_loose(pairs: DataFrame, gold: _Cells, pred: _Cells) -> DataFrame:
     """Pairs whose values are close rank by rank.
 
-    Each column is a row of rank intervals, cut at block borders so that overlapping intervals
-    meet on an equal block number. Closeness is tested once per overlap, not once per row.
+    A sorted column changes its value only at the ranks where a new value starts. At each such
+    rank of either column the values both hold there are compared, so the work grows with the
+    distinct values.
     """
-
-    def blocks(cells: _Cells, value: str) -> DataFrame:
-        return _ranked_values(cells, pairs).selectExpr(
-            "instance_id",
-            cells.side,
-            f"value AS {value}",
-            f"first AS {value}_first",
-            f"last AS {value}_last",
-            f"explode(sequence(first div {RANK_BLOCK}, last div {RANK_BLOCK})) AS block",
-        )
-
+    names = pairs.select("instance_id", "g", "p")
+    none = F.lit(None).cast("double")
+    left = names.join(_rank_starts(gold, pairs, "a"), ["instance_id", "g"]).withColumn("b", none)
+    right = names.join(_rank_starts(pred, pairs, "b"), ["instance_id", "p"]).withColumn("a", none)
+    pair = ["instance_id", "g", "p"]
+    starts = (
+        left.unionByName(right)
+        .groupBy(*pair, "start")
+        .agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    )
     return (
-        blocks(gold, "a")
-        .join(pairs.select("instance_id", "g", "p"), ["instance_id", "g"])
-        .join(blocks(pred, "b"), ["instance_id", "p", "block"])
-        .filter("a_first <= b_last AND b_first <= a_last")
-        .groupBy("instance_id", "g", "p")
+        carry_forward(starts, pair, ["start"], ["a", "b"])
+        .groupBy(*pair)
         .agg(F.bool_and(F.expr(N.close_sql("a", "b"))).alias("fits"))
         .filter("fits")
         .select("instance_id", "g")

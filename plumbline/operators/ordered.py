@@ -1,4 +1,4 @@
-"""Ordered work inside groups of any size: rank, running total, previous value.
+"""Ordered work inside groups of any size: rank, running total, previous and carried values.
 
 A plain window sorts a whole group in one task. Here the rows are range-partitioned by
 group and order, so a heavy group is spread over many partitions; the partition number is
@@ -87,6 +87,36 @@ def previous_values(
     )
 
 
+def carry_forward(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], values: Sequence[str]
+) -> DataFrame:
+    """Fills NULLs in ``values`` with the last value before them in their group."""
+    pieces = pin_pieces(df, group, order)
+    lasts = pieces.groupBy(*group, PIECE).agg(
+        *[
+            F.max_by(v, F.when(F.col(v).isNotNull(), F.struct(*order))).alias(f"_last_{v}")
+            for v in values
+        ]
+    )
+    earlier = Window.partitionBy(*group).orderBy(PIECE).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    carried = lasts.select(
+        *group, PIECE, *[F.last(f"_last_{v}", True).over(earlier).alias(f"_before_{v}") for v in values]
+    )
+    inside = (
+        Window.partitionBy(*group, PIECE)
+        .orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    filled = {v: F.coalesce(F.last(v, True).over(inside), F.col(f"_before_{v}")) for v in values}
+    return (
+        pieces.join(carried, [*group, PIECE])
+        .withColumns(filled)
+        .drop(PIECE, *[f"_before_{v}" for v in values])
+    )
+
+
 def first_rows(
     df: DataFrame,
     group: Sequence[str],

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from plumbline.operators.lessons import new_lessons
+from plumbline.sources.paths import or_empty
 
 LESSON_SCHEMA = (
     "seq BIGINT, ts STRING, error_type STRING, pattern STRING, fix STRING, example_sql STRING"
@@ -16,33 +19,39 @@ STORED_SCHEMA = f"{LESSON_SCHEMA}, norm STRING"
 
 
 def read_store(spark: SparkSession, store: str) -> DataFrame:
-    """All stored lessons, with the batch that wrote each."""
-    return spark.read.schema(f"{STORED_SCHEMA}, batch BIGINT").parquet(store)
+    """All stored lessons, with the writer and batch that wrote each; no store, no lessons."""
+    schema = f"{STORED_SCHEMA}, writer STRING, batch BIGINT"
+    return or_empty(spark, schema, lambda: spark.read.schema(schema).parquet(store))
 
 
-def append_batch(batch: DataFrame, batch_id: int, store: str) -> None:
+def append_batch(batch: DataFrame, batch_id: int, store: str, writer: str = "batch") -> None:
     """Write what is new in this batch to the batch's own folder.
 
-    Only earlier batches count as stored and the folder is overwritten, so a batch that is run
-    again after a failure leaves the same rows.
+    The folder is overwritten, and what it or a later batch of this writer held does not count
+    as stored, so a batch that is run again after a failure leaves the same rows.
     """
-    spark = batch.sparkSession
-    stored = read_store(spark, store).filter(f"batch < {batch_id}") if batch_id > 0 else None
-    fresh = new_lessons(batch, stored)
-    fresh.write.mode("overwrite").parquet(os.path.join(store, f"batch={batch_id}"))
+    own = (F.col("writer") == writer) & (F.col("batch") >= batch_id)
+    stored = read_store(batch.sparkSession, store).filter(~own)
+    folder = os.path.join(store, f"writer={writer}", f"batch={batch_id}")
+    new_lessons(batch, stored).write.mode("overwrite").parquet(folder)
 
 
 def start(
     spark: SparkSession, source: str, store: str, checkpoint: str, files_per_batch: int = 1000
 ) -> StreamingQuery:
-    """Append every lesson file that is there now, then stop."""
+    """Append every lesson file that is there now, then stop.
+
+    Batches are numbered per checkpoint, so its name keeps the folders of streams with
+    different checkpoints apart.
+    """
+    writer = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
     incoming = (
         spark.readStream.schema(LESSON_SCHEMA)
         .option("maxFilesPerTrigger", files_per_batch)
         .json(source)
     )
     return (
-        incoming.writeStream.foreachBatch(lambda df, i: append_batch(df, i, store))
+        incoming.writeStream.foreachBatch(lambda df, i: append_batch(df, i, store, writer))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -66,3 +66,5 @@ def test_stream_equals_batch(spark, tmp_path):
     assert stored == batch
     stream.start(spark, source, store, progress).awaitTermination()
     assert stream.read_store(spark, store).count() == len(stored)
+    stream.start(spark, source, store, str(tmp_path / "other")).awaitTermination()
+    assert stream.read_store(spark, store).count() == len(stored)

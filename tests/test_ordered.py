@@ -51,6 +51,18 @@ def test_previous_values_keep_nulls(spark):
     assert {r["id"]: r["p"] for r in got} == expected
 
 
+def test_carry_forward(spark):
+    rows = [(g, o, i, None if i % 5 else v) for g, o, i, v in _rows()]
+    expected = {}
+    for members in _groups(rows).values():
+        current = None
+        for row in members:
+            current = current if row[3] is None else row[3]
+            expected[row[2]] = current
+    got = O.carry_forward(_df(spark, rows), ["g"], ["o", "id"], ["v"]).collect()
+    assert {r["id"]: r["v"] for r in got} == expected
+
+
 def test_hot_group_is_spread(spark):
     pieces = O.pin_pieces(_df(spark, _rows()), ["g"], ["o", "id"])
     counts = [r["count"] for r in pieces.filter("g = 'hot'").groupBy(O.PIECE).count().collect()]
