@@ -6,7 +6,7 @@ writes it; every part has the header, and parts follow each other by name.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.grading import cells_of_text
@@ -19,15 +19,32 @@ TOO_WIDE = "Error tokenizing data"
 VARIANT = r"^(.+)_([0-9a-z])$"
 
 
-def _widest(spark: SparkSession, path: str) -> int:
+# One row per file: its result, shape, first row id, and the rows of earlier parts.
+FILE_SCHEMA = (
+    "file STRING, name STRING, n_cols INT, widest INT, head BIGINT, n_rows BIGINT, offset BIGINT"
+)
+RECORD_SCHEMA = "file STRING, i BIGINT, values ARRAY<STRING>"
+
+
+def _csv_lines(spark: SparkSession, path: str) -> DataFrame:
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
+    return or_empty(spark, "value STRING", lambda: reader.text(path))
+
+
+def _plain_path(file: Column) -> Column:
+    return F.regexp_replace(file, "^file:/+", "/")
+
+
+def _widest(lines: DataFrame) -> int:
     """Columns of the widest header; commas inside quotes only make the schema wider."""
-    lines = spark.read.option("recursiveFileLookup", True).option(
-        "pathGlobFilter", "*.csv"
-    ).text(path)
-    commas = F.regexp_count("value", F.lit(","))
-    first = lines.select(
-        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("i"), commas.alias("n")
-    ).groupBy("file").agg(F.min_by("n", "i").alias("n"))
+    commas = F.regexp_count("value", F.lit(",")).alias("n")
+    numbered = lines.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("i"),
+        commas,
+    )
+    first = numbered.groupBy("file").agg(F.min_by("n", F.struct("block", "i")).alias("n"))
     return (first.agg(F.max("n")).first()[0] or 0) + 1
 
 
@@ -51,26 +68,20 @@ def _wide_rows(spark: SparkSession, path: str, width: int) -> DataFrame:
 
 
 def _read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(files, records): one row per file with its shape, one per data record."""
+    """(files, records): one row per file with its shape, one per record."""
+    lines = _csv_lines(spark, path)
     # The listing knows empty files too, which no reader shows.
-    names = or_empty(
-        spark,
-        "value STRING",
-        lambda: spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.csv")
-        .text(path),
-    ).inputFiles()
-    files = spark.createDataFrame([(n,) for n in names], "file STRING").select(
-        F.regexp_replace(F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))), "^file:/+", "/").alias("file")
-    )
+    names = lines.inputFiles()
     if not names:
         return (
-            spark.createDataFrame([], "name STRING, file STRING, n_cols INT, n_rows BIGINT, widest INT, offset BIGINT, head BIGINT"),
-            spark.createDataFrame([], "file STRING, i BIGINT, values ARRAY<STRING>"),
+            spark.createDataFrame([], FILE_SCHEMA),
+            spark.createDataFrame([], RECORD_SCHEMA),
         )
-    rows = _wide_rows(spark, path, _widest(spark, path)).withColumn(
-        "file", F.regexp_replace("file", "^file:/+", "/")
+    decoded = F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B")))
+    files = spark.createDataFrame([(n,) for n in names], "file STRING").select(
+        _plain_path(decoded).alias("file")
     )
+    rows = _wide_rows(spark, path, _widest(lines)).withColumn("file", _plain_path(F.col("file")))
     filled = F.transform("values", lambda v, k: F.when(v.isNotNull(), k + 1).otherwise(0))
     shapes = (
         rows.withColumn("used", F.array_max(filled))

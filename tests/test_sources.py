@@ -135,7 +135,8 @@ def test_store_and_read_result(spark, tmp_path):
     assert [(r["instance_id"], r["n_rows"], r["n_cols"]) for r in tables.collect()] == [("q1", 100, 2)]
     numbers = {r["row_idx"]: r["num"] for r in cells.filter("col_idx = 0").collect()}
     assert numbers == {i: float(i) for i in range(100)}
-    sql = {r["instance_id"]: r["sql"].strip() for r in result_csv.read_sql_texts(spark, str(tmp_path)).collect()}
+    texts = result_csv.read_sql_texts(spark, str(tmp_path)).collect()
+    sql = {r["instance_id"]: r["sql"].strip() for r in texts}
     assert sql == {"q1": "SELECT\n1", "q2": "SELECT 2"}
 
 
