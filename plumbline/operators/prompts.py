@@ -64,15 +64,20 @@ def load_context(
     """Questions with schema text and document; '' where there is none.
 
     Documents get their table of contents and are cut before they are joined, so each text is
-    prepared once however many questions name it.
+    prepared once however many questions name it. Questions without document get a key of
+    their own, so that they do not meet in one task.
     """
     prepared = documents.select(
-        F.col("name").alias("external_knowledge"),
+        F.col("name").alias("_document"),
         T.truncate(T.with_contents(F.col("content")), docs_budget).alias("docs"),
     )
+    named = F.col("external_knowledge")
+    document = F.when(named == "", F.concat(F.lit("\0"), "instance_id")).otherwise(named)
     return (
-        questions.join(schemas.select("db_id", "ddl"), "db_id", "left")
-        .join(prepared, "external_knowledge", "left")
+        questions.withColumn("_document", document)
+        .join(schemas.select("db_id", "ddl"), "db_id", "left")
+        .join(prepared, "_document", "left")
+        .drop("_document")
         .withColumns(
             {"ddl": F.coalesce("ddl", F.lit("")), "docs": F.coalesce("docs", F.lit(""))}
         )

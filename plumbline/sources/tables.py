@@ -48,13 +48,13 @@ def plain(text: str) -> str:
 
 
 def spread(df: DataFrame, *near: str) -> DataFrame:
-    """Rows over all cores, where the input has fewer files than there are cores.
+    """Rows over all cores, where a scan has fewer splits than there are cores.
 
-    Large inputs come in many files and stay as they are. ``near`` names columns whose order
-    the parts follow: rows of one key stay together, unless the key is so heavy that it fills
-    several parts.
+    Only small inputs are moved; a large one has more splits and stays as it is. ``near``
+    names columns whose order the parts follow: rows of one key stay together, unless the key
+    is so heavy that it fills several parts.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
+    if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartitionByRange(cores, *near) if near else df.repartition(cores)
