@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import ngram_join
+from plumbline.llm import ngram_join, packing, secrets
 from plumbline.sources.tables import load
 
 
@@ -12,7 +12,24 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(load(spark, sf_dir, "documents"), 4, 85).members
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return packing.best_fit_packing(docs, tokenizer_path(), 1024, 2)
+
+
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.secret_spans(load(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_secret_scans": op3_secret_scans,
 }
 ORACLES: dict[str, str] = {}
