@@ -26,16 +26,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def byte_codes(separators: bytes) -> np.ndarray:
-    """A random code per byte: 0 for separators, equal for A-Z and a-z."""
+def byte_codes(separators: bytes, fold: bool = True) -> np.ndarray:
+    """A random code per byte: 0 for separators; equal for A-Z and a-z unless told otherwise."""
     codes = mix(np.arange(1, 257, dtype=np.uint64) * _BASE) | np.uint64(1)
     codes[np.frombuffer(separators, np.uint8)] = 0
-    codes[65:91] = codes[97:123]
+    if fold:
+        codes[65:91] = codes[97:123]
     return codes
 
 
 #: Words are runs of anything but ASCII white space.
 SPACED = byte_codes(_SPACES)
+#: The same, but A and a differ.
+EXACT = byte_codes(_SPACES, fold=False)
+#: Lines, as they stand.
+LINES = byte_codes(b"\n", fold=False)
 #: Words are runs of ASCII letters, digits and any byte beyond ASCII.
 ALNUM = byte_codes(bytes(b for b in range(128) if not chr(b).isalnum()))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import ngram_join, packing, secrets
+from plumbline.llm import ngram_join, packing, quality, secrets
 from plumbline.sources.tables import load
 
 
@@ -27,9 +27,16 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.secret_spans(load(spark, sf_dir, "documents")))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_secret_scans": op3_secret_scans,
+    "op8_quality_rules": op8_quality_rules,
+}
+ORACLES: dict[str, str] = {
+    "op8_quality_rules": quality.ORACLE,
 }
-ORACLES: dict[str, str] = {}
