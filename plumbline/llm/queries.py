@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import ngram_join, packing, quality, secrets
+from plumbline.llm import html_main, ngram_join, packing, quality, secrets, warc
 from plumbline.sources.tables import load
 
 
@@ -31,12 +31,23 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(load(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(warc.write_and_read(load(spark, sf_dir, "pages")))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.main_text(load(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_secret_scans": op3_secret_scans,
     "op8_quality_rules": op8_quality_rules,
+    "op9_warc": op9_warc,
+    "op10_html_extraction": op10_html_extraction,
 }
 ORACLES: dict[str, str] = {
     "op8_quality_rules": quality.ORACLE,
+    "op9_warc": warc.ORACLE,
 }
