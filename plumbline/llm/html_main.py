@@ -20,6 +20,7 @@ between paths go to the first in alphabetical order.
 
 from __future__ import annotations
 
+import functools
 import html as html_lib
 import re
 from collections.abc import Iterator
@@ -43,6 +44,7 @@ CONTAINERS = set("body main article section div td blockquote center".split())
 ENDS_P = BLOCKS - set("html body".split())
 LISTED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
           "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+LISTS = set("ul ol dl table select".split())
 SIDE_TAGS = set("nav aside footer form button select dialog menu head label fieldset".split()) | RAW
 SIDE_WORDS = set(
     "ad ads advert adverts advertisement advertising banner promo promoted promotion sponsor "
@@ -55,15 +57,19 @@ SIDE_WORDS = set(
 SIDE_ROLES = set("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"|<(/?)([A-Za-z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)(?:>|\Z)",
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _DIGITS = re.compile(r"\d+")
-_SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[a-z]+")
 
 
+@functools.cache
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.IGNORECASE)
+
+
 def _side(tag: str, attributes: dict[str, str], in_main: bool) -> bool:
     """Whether an element is beside the article."""
     if tag in SIDE_TAGS or (tag == "header" and not in_main):
@@ -73,7 +79,8 @@ def _side(tag: str, attributes: dict[str, str], in_main: bool) -> bool:
     if tag in ("html", "body", "article", "main"):
         return False
     named = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
-    return any(word in SIDE_WORDS for word in _WORD.findall(named))
+    words = SIDE_WORDS - {"header"} if in_main else SIDE_WORDS
+    return any(word in words for word in _WORD.findall(named))
 
 
 def _step(tag: str, attributes: dict[str, str]) -> str:
@@ -81,91 +88,105 @@ def _step(tag: str, attributes: dict[str, str]) -> str:
     return ".".join([tag, *names])
 
 
-def read_blocks(page: str) -> list[tuple[str, str, int]]:
-    """(path of the container, text, characters in links) of the blocks of a page, in order."""
-    out: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, str | None, bool]] = []  # tag, path if a container, beside the article
-    parts: list[str] = []
-    linked = 0
-
-    def flush() -> None:
-        nonlocal linked
-        text = _SPACE.sub(" ", html_lib.unescape("".join(parts))).strip()
+class _Reader:
+    """Open elements and the block being read."""
+
+    def __init__(self):
+        self.out: list[tuple[str, str, int]] = []
+        # Tag, path of the innermost container, whether beside the article, inside article or main.
+        self.stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+        self.parts: list[str] = []
+        self.linked = 0
+        self.links = 0  # open links
+
+    def flush(self) -> None:
+        if not self.parts:
+            return
+        text = " ".join(html_lib.unescape("".join(self.parts)).split())
         if text:
-            path = next((p for _, p, _ in reversed(stack) if p is not None), "")
-            out.append((path, text, linked))
-        parts.clear()
-        linked = 0
+            self.out.append((self.stack[-1][1], text, self.linked))
+        self.parts, self.linked = [], 0
+
+    def pop(self, depth: int) -> None:
+        for tag, *_ in self.stack[depth:]:
+            self.links -= tag == "a"
+        del self.stack[depth:]
+
+    def find(self, tags: set[str], stop: set[str]) -> int:
+        """Depth of the innermost of ``tags`` above any of ``stop``, or 0."""
+        for depth in range(len(self.stack) - 1, 0, -1):
+            tag = self.stack[depth][0]
+            if tag in tags:
+                return depth
+            if tag in stop:
+                return 0
+        return 0
+
+    def close(self, tag: str) -> None:
+        if self.stack[-1][0] == tag:
+            depth = len(self.stack) - 1
+        else:
+            # A stray end of an inline element does not close what holds it.
+            depth = self.find({tag}, set() if tag in BLOCKS else CONTAINERS)
+        if depth:
+            if tag in BLOCKS:
+                self.flush()
+            self.pop(depth)
+
+    def open(self, tag: str, rest: str) -> None:
+        if tag == "br":
+            self.parts.append(" ")
+            return
+        if tag in BLOCKS:
+            self.flush()
+            if tag in ENDS_P and (depth := self.find({"p"}, CONTAINERS)):
+                self.pop(depth)
+        if tag in LISTED and (depth := self.find(LISTED[tag], LISTS)):
+            self.pop(depth)
+        if tag in VOID or (rest.endswith("/") and tag not in BLOCKS):
+            return
+        _, path, beside, in_main = self.stack[-1]
+        attributes: dict[str, str] = {}
+        if rest and not rest.isspace():
+            for m in _ATTRIBUTE.finditer(rest):
+                attributes[m[1].lower()] = html_lib.unescape(m[2] or m[3] or m[4] or "")
+            if "hidden" in rest.lower().split():
+                attributes["hidden"] = ""
+        beside = beside or _side(tag, attributes, in_main)
+        if tag in CONTAINERS:
+            path = f"{path}/{_step(tag, attributes)}"
+        self.links += tag == "a"
+        self.stack.append((tag, path, beside, in_main or tag in ("article", "main")))
 
-    def pop(depth: int) -> None:
-        del stack[depth:]
 
+def read_blocks(page: str) -> list[tuple[str, str, int]]:
+    """(path of the container, text, characters in links) of the blocks of a page, in order."""
+    reader = _Reader()
     at, n = 0, len(page)
     while at < n:
         found = _TOKEN.search(page, at)
         end = found.start() if found else n
-        beside = bool(stack) and stack[-1][2]
-        if end > at and not beside:
-            parts.append(page[at:end])
-            if any(t == "a" for t, _, _ in stack):
-                linked += end - at
+        if end > at and not reader.stack[-1][2]:
+            reader.parts.append(page[at:end])
+            if reader.links:
+                reader.linked += end - at
         if not found:
             break
         at = found.end()
-        tag = (found[2] or "").lower()
+        tag = found[2]
         if not tag:
             continue
+        tag = tag.lower()
         if found[1]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if depth is None:
-                continue
-            if tag not in BLOCKS and any(t in CONTAINERS for t, _, _ in stack[depth + 1 :]):
-                continue  # a stray end of an inline element does not close containers
-            if tag in BLOCKS:
-                flush()
-            pop(depth)
-            continue
-        attributes = {
-            m[1].lower(): html_lib.unescape(m[2] or m[3] or m[4] or "")
-            for m in _ATTRIBUTE.finditer(found[3] or "")
-        }
-        for word in (found[3] or "").split():
-            if word.lower() == "hidden":
-                attributes["hidden"] = ""
-        if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
+            reader.close(tag)
+        elif tag in RAW:
             if not found[0].endswith("/>"):
+                close = _raw_end(tag).search(page, at)
                 at = close.end() if close else n
-            continue
-        if tag == "br":
-            parts.append(" ")
-            continue
-        if tag in BLOCKS:
-            if not (stack and stack[-1][2]):
-                flush()
-            if tag in ENDS_P:
-                depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"), None)
-                if depth is not None and not any(t in CONTAINERS for t, _, _ in stack[depth + 1 :]):
-                    pop(depth)
-        if tag in LISTED:
-            stop = {"ul", "ol", "dl", "table", "select"}
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in stop:
-                    break
-                if stack[k][0] in LISTED[tag]:
-                    pop(k)
-                    break
-        if tag in VOID or found[0].endswith("/>") and tag not in BLOCKS:
-            continue
-        in_main = any(t in ("article", "main") for t, _, _ in stack)
-        beside = bool(stack) and stack[-1][2] or _side(tag, attributes, in_main)
-        path = None
-        if tag in CONTAINERS:
-            above = next((p for _, p, _ in reversed(stack) if p is not None), "")
-            path = f"{above}/{_step(tag, attributes)}"
-        stack.append((tag, path, beside))
-    flush()
-    return out
+        else:
+            reader.open(tag, found[3])
+    reader.flush()
+    return reader.out
 
 
 def path_scores(blocks: list[tuple[str, str, int]]) -> dict[str, float]:

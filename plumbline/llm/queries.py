@@ -4,13 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import html_main, ngram_join, packing, quality, secrets, warc
+from plumbline.llm import (
+    decontaminate,
+    html_main,
+    ngram_join,
+    packing,
+    quality,
+    secrets,
+    toxicity,
+    url_filter,
+    warc,
+)
+from plumbline.llm.url_filter import rule
 from plumbline.sources.tables import load
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(load(spark, sf_dir, "documents"), 4, 85).members
 
+URL_RULES = [
+    rule("allow", "org/"),
+    rule("block", "example.org/es/"),
+    rule("block", "example.org/en/1"),
+    rule("allow", "com/fr/"),
+    rule("block", "com/de/"),
+]
+
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
@@ -27,6 +46,20 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.secret_spans(load(spark, sf_dir, "documents")))
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter(load(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")
+    return decontaminate.contamination(docs, benchmark)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    return toxicity.toxicity(docs, labels).drop("passages")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(load(spark, sf_dir, "documents"))
 
@@ -43,11 +76,16 @@ QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_secret_scans": op3_secret_scans,
+    "op4_url_filters": op4_url_filters,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_toxicity": op6_toxicity,
     "op8_quality_rules": op8_quality_rules,
     "op9_warc": op9_warc,
     "op10_html_extraction": op10_html_extraction,
 }
 ORACLES: dict[str, str] = {
+    "op4_url_filters": url_filter.oracle(URL_RULES),
+    "op5_benchmark_decontamination": decontaminate.ORACLE,
     "op8_quality_rules": quality.ORACLE,
     "op9_warc": warc.ORACLE,
 }
