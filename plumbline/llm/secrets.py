@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import kernels
-from plumbline.llm.tables import folded, pinned, texts
+from plumbline.llm.tables import filtered, folded, key_filter, numbered, pinned, texts
 
 KINDS = ("assign", "access", "hex", "markov")
 MIN_RUN = 16
@@ -253,31 +253,35 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", threshold: float = THRESHOLD
 
     Rows are matched to their spans by a number given to each row, so repeated ids are safe.
     """
-    numbered = pinned(docs, "redact").withColumn("_row", F.monotonically_increasing_id())
-    spans = secret_spans(numbered, threshold, "_row", "text")
-    spans = spans.where(F.size("spans") > 0).withColumnRenamed("doc_id", "_row")
-    joined = numbered.join(spans, "_row", "left")
+    rows = numbered(docs, "redact")
+    spans = secret_spans(rows, threshold, "_row", "text")
+    spans = pinned(
+        spans.where(F.size("spans") > 0).select(
+            F.col("doc_id").alias("_row"), F.col("spans").alias("_spans")
+        ),
+        "secret_spans",
+    )
+    own = key_filter(spans.select("_row"), "_row")
+    joined = filtered(rows, "_row", own).join(spans, "_row", "left")
     # Spans may overlap: cut the text at each start that lies beyond all earlier ends.
     cut = F.expr(
-        """aggregate(spans, struct('' AS done, cast(0 AS bigint) AS at),
+        """aggregate(_spans, struct('' AS done, cast(0 AS bigint) AS at),
              (s, x) -> struct(
                concat(s.done,
                  if(x.start >= s.at,
-                    concat(substring(text, cast(s.at + 1 AS int), cast(x.start - s.at AS int)), mask),
+                    concat(substring(text, cast(s.at + 1 AS int), cast(x.start - s.at AS int)), _mask),
                     '')) AS done,
                greatest(s.at, x.end) AS at),
              s -> concat(s.done, substring(text, cast(s.at + 1 AS int))))"""
     )
-    joined = joined.withColumn("mask", F.lit(mask))
-    joined = joined.withColumn(
-        "text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut)
-    )
+    joined = joined.withColumn("_mask", F.lit(mask))
+    found = F.col("_spans").isNotNull()
+    joined = joined.withColumn("text", F.when(found, cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         size = F.length("text").cast(docs.schema["n_chars"].dataType)
-        joined = joined.withColumn(
-            "n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(size)
-        )
-    return joined.select(*docs.columns)
+        joined = joined.withColumn("n_chars", F.when(found, size).otherwise(F.col("n_chars")))
+    others = filtered(rows, "_row", own, passing=False)
+    return joined.select(*docs.columns).unionByName(others.select(*docs.columns))
 
 
 def digest(spans: DataFrame) -> DataFrame:

@@ -70,42 +70,73 @@ def folded(
     return out
 
 
-def marked_rows(rows: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
-    """The rows whose ``key`` (a bigint) is in ``chosen``, and a few more.
+class KeyFilter:
+    """Bits for a set of bigint keys: every key of the set passes, and a few others."""
 
-    A filter of bits instead of a join, so that long texts need not be shuffled; its size
-    follows the number of chosen keys up to MAX_BITS, beyond which more rows pass. Rows with a
-    null key pass. The caller joins exactly afterwards.
-    """
-    wanted = max(1 << 18, chosen.count() * 16)
-    bits = min(MAX_BITS, 1 << (wanted - 1).bit_length())
+    def __init__(self, marks: np.ndarray):
+        self.marks = marks
+
+    def passes(self, keys: np.ndarray) -> np.ndarray:
+        at = (mix(keys.view(np.uint64) + np.uint64(77)) % np.uint64(len(self.marks) * 8)).astype(
+            np.int64
+        )
+        return (self.marks[at >> 3] >> (at & 7)) & 1 == 1
 
-    def slots(column: pa.Array) -> np.ndarray:
-        keys = column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        return (mix(keys.view(np.uint64) + np.uint64(77)) % np.uint64(bits)).astype(np.int64)
+
+def key_filter(chosen: DataFrame, key: str) -> KeyFilter:
+    """Filter for the values of ``key``, to be broadcast: its size follows their number up to
+    MAX_BITS, beyond which more other keys pass."""
+    wanted = max(1 << 18, chosen.count() * 16)
+    size = min(MAX_BITS, 1 << (wanted - 1).bit_length()) // 8
 
     def fill(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        own = np.zeros(bits // 8, np.uint8)
+        own = np.zeros(size, np.uint8)
         for batch in batches:
-            at = slots(batch.column(0))
+            keys = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = (mix(keys.view(np.uint64) + np.uint64(77)) % np.uint64(size * 8)).astype(np.int64)
             np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
         return own
 
-    marks = folded(chosen.select(key), fill, bits // 8, np.uint8, np.bitwise_or)
-    shared = rows.sparkSession.sparkContext.broadcast(marks)  # bits / 8 bytes, MAX_BITS / 8 at most
+    return KeyFilter(folded(chosen.select(key), fill, size, np.uint8, np.bitwise_or))
+
+
+def filtered(rows: DataFrame, key: str, own: KeyFilter, passing: bool = True) -> DataFrame:
+    """The rows whose ``key`` (a bigint) passes the filter or is null, or all the others."""
+    shared = rows.sparkSession.sparkContext.broadcast(own)  # MAX_BITS / 8 bytes at most
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(key))
-            at = slots(column)
-            passed = (own[at >> 3] >> (at & 7)) & 1 == 1
+            keys = column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            passed = shared.value.passes(keys)
             passed |= column.is_null().to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(passed))
+            yield batch.filter(pa.array(passed == passing))
 
     return rows.mapInArrow(keep, rows.schema)
 
 
+def marked_rows(rows: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` is in ``chosen``, and a few more, so that the caller's exact join
+    need not shuffle all long texts. Rows with a null key pass."""
+    return filtered(rows, key, key_filter(chosen, key))
+
+
+def numbered(df: DataFrame, label: str) -> DataFrame:
+    """A copy of the rows with ``_row``, a number of their own that stays the same."""
+    return pinned(df.withColumn("_row", F.monotonically_increasing_id()), label)
+
+
+def without(rows: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` (a bigint, never null) is not in ``dropped``.
+
+    Only rows that may be in it are shuffled.
+    """
+    dropped = pinned(dropped.select(key).distinct(), "dropped")
+    own = key_filter(dropped, key)
+    near = filtered(rows, key, own).join(dropped, key, "left_anti")
+    return filtered(rows, key, own, passing=False).unionByName(near)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of the edges (a, b); component: its smallest node.
 

@@ -30,6 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.llm import kernels
 from plumbline.llm.tables import marked_rows, pinned, texts
@@ -309,37 +310,48 @@ def _measure(models: list[Model]):
     return measure
 
 
-def toxicity(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """doc_id, held_out, score, predicted, n_passages, passages (start, end, excess; in bytes)."""
-    rows = texts(docs, id_col, text_col)
-    model = train(rows, labels)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_TOKENS tokens at most
+def scored(rows: DataFrame, model: Model, text_col: str) -> DataFrame:
+    """The rows with ``_score`` and ``_passages``; scored where they lie, without a join."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # MAX_TOKENS tokens at most
     passage = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("excess", pa.float64())])
+    added = T.StructType.fromDDL(
+        "_score double, _passages array<struct<start: bigint, end: bigint, excess: double>>"
+    )
+    schema = T.StructType([*rows.schema.fields, *added.fields])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            found = list(score_texts(batch.column("text"), own))
+            text = batch.column(batch.schema.get_field_index(text_col))
+            found = list(score_texts(text, own))
             shown = [
                 [{"start": a, "end": b, "excess": x} for a, b, x in spans] for _, spans in found
             ]
             chance = own.probability(np.array([x for x, _ in found], float))
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "id": batch.column("id"),
-                    "score": pa.array(chance),
-                    "passages": pa.array(shown, pa.list_(passage)),
-                }
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(chance), pa.array(shown, pa.list_(passage))],
+                [*batch.schema.names, "_score", "_passages"],
             )
 
-    kind = "id bigint, score double, passages array<struct<start: bigint, end: bigint, excess: double>>"
-    return rows.mapInArrow(score, kind).select(
+    return rows.mapInArrow(score, schema)
+
+
+def toxicity(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """doc_id, held_out, score, predicted, n_passages, passages (start, end, excess; in bytes)."""
+    rows = texts(docs, id_col, text_col)
+    return scored(rows, train(rows, labels), "text").select(
         F.col("id").alias("doc_id"),
         held_out(F.col("id")).alias("held_out"),
-        "score",
-        (F.col("score") >= LIMIT).cast("int").alias("predicted"),
-        F.size("passages").cast("bigint").alias("n_passages"),
-        "passages",
+        F.col("_score").alias("score"),
+        (F.col("_score") >= LIMIT).cast("int").alias("predicted"),
+        F.size("_passages").cast("bigint").alias("n_passages"),
+        F.col("_passages").alias("passages"),
     )
+
+
+def clean_documents(docs: DataFrame, labels: DataFrame, limit: float = LIMIT) -> DataFrame:
+    """The documents whose score is below ``limit``."""
+    model = train(texts(docs, "doc_id", "text"), labels)
+    return scored(docs, model, "text").where(F.col("_score") < limit).select(*docs.columns)
