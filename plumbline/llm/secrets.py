@@ -5,8 +5,8 @@ two first-order Markov models over characters, one of random strings and one of
 and identifiers; a run whose log-likelihood ratio per step exceeds a threshold is a span of
 kind ``markov``. The models are trained from samples the corpus labels itself: the values of
 the fixed kinds are random strings, and all runs of letters in all texts are ordinary. Counts
-are kept in one table of fixed size per model, over all texts. Random strings are few, so
-their model is smoothed towards even use of each alphabet.
+are kept in one table of fixed size per model, over all texts. The labelled random strings are few
+and of few formats, so their model is mixed with even use of all key characters.
 
 Texts are read once for the fixed kinds and the candidate runs and once for the letter counts;
 the second decision works on the small table of candidates alone.
@@ -33,8 +33,9 @@ from plumbline.llm.tables import filtered, folded, key_filter, numbered, pinned,
 
 KINDS = ("assign", "access", "hex", "markov")
 MIN_RUN = 16
-THRESHOLD = 0.7  # nats a step
+THRESHOLD = 0.4  # nats a step
 SMOOTHING = 2.0
+EVEN = 0.25  # share of even use in the model of random strings
 
 # The formats, and the shortest length that counts.
 _ASSIGN = re.compile(
@@ -148,7 +149,9 @@ def log_ratios(random: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
         own = table + SMOOTHING * SYMBOLS * overall
         return own / own.sum(axis=1, keepdims=True)
 
-    return np.log(chances(random) / chances(ordinary)).ravel()
+    # Secrets of formats that the samples lack use the whole alphabet evenly.
+    mixed = (1 - EVEN) * chances(random) + EVEN / SYMBOLS
+    return np.log(mixed / chances(ordinary)).ravel()
 
 
 def scan(rows: DataFrame) -> DataFrame:
