@@ -207,9 +207,11 @@ def directory(source: RangeReader) -> list[Member]:
     """The members of a ZIP file, from its classic or ZIP64 central directory."""
     tail_at = max(0, source.size - 22 - 65535)
     tail = source.read(tail_at, source.size - tail_at)
-    end = tail.rfind(b"PK\x05\x06")
-    while end >= 0 and end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail):
-        end = tail.rfind(b"PK\x05\x06", 0, end)
+    end = len(tail)
+    while (end := tail.rfind(b"PK\x05\x06", 0, max(end, 0))) >= 0:
+        # The right one's comment ends with the file; its bytes may also come in a comment.
+        if end + 22 <= len(tail) and len(tail) - end - 22 == struct.unpack_from("<H", tail, end + 20)[0]:
+            break
     if end < 0:
         raise ValueError("no end of central directory")
     count, size, at = struct.unpack_from("<HII", tail, end + 10)
