@@ -43,6 +43,7 @@ STRICTNESS = ((3.0, 1.0, 2), (3.5, 2.0, 3), (5.0, 2.5, 4))
 MAX_SCORE = 6.0
 COST = 0.5  # of a token without score
 HEADS = (4, 5, 6)
+PSEUDO_CLEAN = 20
 FOLDS, HELD_OUT = 4, 2
 LIMIT = 0.3
 _FILTER = 1 << 20
@@ -263,10 +264,11 @@ def train(rows: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
         _measure(models), "excess array<double>, toxic int"
     )
     measured = measured.collect()  # a quarter of the sample
-    if not measured:
+    # Documents without any passage are taken to be clean until a sample says otherwise.
+    x = np.array([r["excess"] for r in measured] + [[0.0] * len(models)] * PSEUDO_CLEAN, float)
+    y = np.array([r["toxic"] for r in measured] + [0] * PSEUDO_CLEAN, float)
+    if not y.any():
         return Model()
-    x = np.array([r["excess"] for r in measured], float)
-    y = np.array([r["toxic"] for r in measured], float)
     losses = []
     for k, model in enumerate(models):
         model.slope, model.intercept = _logistic(x[:, k], y)
