@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from plumbline.functions.text import strip
 
 # Shapes of the two answers and the default texts.
-SUBTASKS = "array<struct<id int, description string, parent_id int, level int>>"
-VERDICTS = "array<struct<subtask_id int, satisfied boolean, reason string>>"
+SUBTASKS = "array<struct<id string, description string, parent_id string, level string>>"
+VERDICTS = "array<struct<subtask_id string, satisfied variant, reason string>>"
 LESSONS = "array<struct<error_type string, pattern string, fix string, example string>>"
 PARSE_FAILURE = "Requirements checker parse failure"
 NO_ID = "?"
 NO_REASON = "no reason"
+# JSON texts that count as no.
+FALSE_TEXTS = ["false", "null", '""', "[]", "{}"]
+ZERO = r"^-?0(\.0*)?([eE][+-]?\d+)?$"
+NO_PARENT = ["", "0", "0.0", "false"]
 LESSON_DEFAULTS = {
     "error_type": "other",
     "pattern": "Unknown pattern",
@@ -50,6 +54,12 @@ def _rows(answer: Column, shape: str) -> Column:
     return F.when(text.startswith("[") & text.endswith("]"), F.from_json(text, shape))
 
 
+def is_true(value: Column) -> Column:
+    """Whether a JSON value of any type counts as yes: not false, null, zero or empty."""
+    text = F.to_json(value)
+    return F.coalesce(~text.isin(FALSE_TEXTS) & ~text.rlike(ZERO), F.lit(False))
+
+
 def subtasks(answer: Column) -> Column:
     """Subtask tree as the answer has it, NULL where it has none.
 
@@ -70,15 +80,15 @@ def usable_tree(parsed: Column, question: Column) -> Column:
             s.id.alias("id"),
             s.description.alias("description"),
             s.parent_id.alias("parent_id"),
-            F.coalesce(s.level, F.lit(0)).alias("level"),
+            F.coalesce(s.level.try_cast("double").cast("int"), F.lit(0)).alias("level"),
         ),
     )
     whole = F.forall(parsed, lambda s: s.id.isNotNull() & s.description.isNotNull())
     fallback = F.array(
         F.struct(
-            F.lit(1).alias("id"),
+            F.lit("1").alias("id"),
             question.alias("description"),
-            F.lit(None).cast("int").alias("parent_id"),
+            F.lit(None).cast("string").alias("parent_id"),
             F.lit(0).alias("level"),
         )
     )
@@ -90,11 +100,11 @@ def tree_text(tree: Column) -> Column:
 
     def line(s: Column) -> Column:
         child = F.when(
-            F.coalesce(s.parent_id, F.lit(0)) != 0,
-            F.format_string(" (child of #%d)", s.parent_id),
+            ~F.coalesce(s.parent_id, F.lit("")).isin(NO_PARENT),
+            F.format_string(" (child of #%s)", s.parent_id),
         ).otherwise("")
         return F.concat(
-            F.repeat(F.lit("  "), s.level), F.format_string("#%d: ", s.id), s.description, child
+            F.repeat(F.lit("  "), s.level), F.format_string("#%s: ", s.id), s.description, child
         )
 
     return F.array_join(F.transform(tree, line), "\n")
@@ -106,11 +116,16 @@ def verdicts(answer: Column) -> Column:
 
 def failed_verdicts(parsed: Column, tree: Column) -> Column:
     """Verdicts not satisfied; an answer that cannot be read fails every subtask."""
-    failed = F.filter(parsed, lambda v: ~F.coalesce(v.satisfied, F.lit(False)))
+    failed = F.transform(
+        F.filter(parsed, lambda v: ~is_true(v.satisfied)),
+        lambda v: F.struct(
+            v.subtask_id.alias("subtask_id"), F.lit(False).alias("satisfied"), v.reason.alias("reason")
+        ),
+    )
     all_failed = F.transform(
         tree,
         lambda s: F.struct(
-            s.id.alias("subtask_id"),
+            s.id.cast("string").alias("subtask_id"),
             F.lit(False).alias("satisfied"),
             F.lit(PARSE_FAILURE).alias("reason"),
         ),

@@ -47,7 +47,20 @@ def message_kind(message: Column) -> Column:
     return kinds.otherwise(OTHER_KIND)
 
 
-def execution_kind(success: Column, message: Column) -> Column:
-    """``none`` for a success, else the kind of the message (empty reads as unknown)."""
+def state_kind(state: Column) -> Column:
+    """Kind by the class of an SQLSTATE, NULL where it says nothing."""
+    return (
+        F.when(state.startswith("42501"), "permission")
+        .when(state.startswith("42"), "syntax")
+        .when(state.startswith("22"), "runtime")
+    )
+
+
+def execution_kind(success: Column, message: Column, state: Column | None = None) -> Column:
+    """``none`` for a success, else the kind by the SQLSTATE or by the message (empty reads as
+    unknown)."""
     text = F.when(F.coalesce(message, F.lit("")) == "", UNKNOWN_ERROR).otherwise(message)
-    return F.when(success, NO_ERROR).otherwise(message_kind(text))
+    kind = message_kind(text)
+    if state is not None:
+        kind = F.coalesce(state_kind(state), kind)
+    return F.when(success, NO_ERROR).otherwise(kind)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
+from itertools import batched
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import errors as E
@@ -14,50 +16,63 @@ from plumbline.sources.result_csv import store_result
 
 OUTCOME_SCHEMA = (
     "instance_id STRING, success BOOLEAN, n_rows BIGINT, error_message STRING, "
-    "execution_time_ms BIGINT"
+    "sqlstate STRING, execution_time_ms BIGINT"
 )
+#: Fixed value: message of a statement that is not one of reading.
+NOT_READ_ONLY = "Only read-only statements are allowed"
+PERMISSION_STATE = "42501"
 
 
-def _run_one(spark: SparkSession, instance_id: str, sql: str, results: str | None):
+def _run_one(spark: SparkSession, row, results: str | None):
     started = time.monotonic()
-    n_rows, message = None, None
-    try:
-        result = spark.sql(sql)
-        if results:
-            store_result(spark, results, instance_id, sql, result)
-            result = spark.read.option("header", True).csv(f"{results}/{instance_id}.csv")
-        n_rows = result.count()
-    except PySparkException as error:
-        message = str(error).strip().split("\n")[0]
+    n_rows = message = state = None
+    if not row["read_only"]:
+        message, state = NOT_READ_ONLY, PERMISSION_STATE
+    else:
+        try:
+            # Every column is evaluated, and counted on the way; no row reaches the driver.
+            seen = Observation()
+            result = spark.sql(row["run_sql"]).observe(seen, F.count(F.lit(1)).alias("n"))
+            if results:
+                store_result(spark, results, row["instance_id"], row["run_sql"], result)
+            else:
+                result.write.format("noop").mode("overwrite").save()
+            n_rows = seen.get["n"]
+        except PySparkException as error:
+            message, state = str(error).strip(), error.getSqlState()
     elapsed = int((time.monotonic() - started) * 1000)
-    return instance_id, message is None, n_rows, message, elapsed
+    return row["instance_id"], message is None, n_rows, message, state, elapsed
 
 
 def run_batch(
-    spark: SparkSession, texts: DataFrame, outcomes: str, results: str | None = None, chunk: int = 500
+    spark: SparkSession,
+    texts: DataFrame,
+    outcomes: str,
+    results: str | None = None,
+    chunk: int = 500,
+    at_once: int = 4,
 ) -> DataFrame:
-    """Run every text (``instance_id``, ``sql``) as a normal Spark query.
+    """Run every text (``instance_id``, ``sql``) as a normal Spark query, a few at a time.
 
-    Texts reach the driver one partition at a time; result rows never do. Outcomes are
-    appended to the table ``outcomes`` in chunks, with the error kind and the seconds
-    estimated from the text.
+    Texts reach the driver one partition at a time; result rows never do. Statements that do
+    not only read are refused. The table ``outcomes`` is replaced and then grows in chunks; the
+    error kind follows the SQLSTATE, and the message where there is none.
     """
-    cleaned = texts.select("instance_id", "sql", S.runnable(F.col("sql")).alias("run_sql"))
-    done = []
-
-    def flush() -> None:
-        if done:
+    cleaned = texts.select(
+        "instance_id",
+        S.runnable(F.col("sql")).alias("run_sql"),
+        S.is_read_only(S.runnable(F.col("sql"))).alias("read_only"),
+    )
+    spark.createDataFrame([], OUTCOME_SCHEMA).write.mode("overwrite").parquet(outcomes)
+    with ThreadPoolExecutor(at_once) as pool:
+        for rows in batched(cleaned.toLocalIterator(), chunk):
+            done = list(pool.map(lambda row: _run_one(spark, row, results), rows))
             spark.createDataFrame(done, OUTCOME_SCHEMA).write.mode("append").parquet(outcomes)
-            done.clear()
-
-    for row in cleaned.toLocalIterator():
-        done.append(_run_one(spark, row["instance_id"], row["run_sql"], results))
-        if len(done) >= chunk:
-            flush()
-    flush()
     ran = spark.read.schema(OUTCOME_SCHEMA).parquet(outcomes)
     return ran.join(texts, "instance_id").select(
         *ran.columns,
-        E.execution_kind(F.col("success"), F.col("error_message")).alias("error_type"),
+        E.execution_kind(
+            F.col("success"), F.col("error_message"), F.col("sqlstate")
+        ).alias("error_type"),
         S.estimated_seconds(F.col("sql")).alias("estimated_seconds"),
     )

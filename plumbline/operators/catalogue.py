@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.identifiers import quoted, shard_key, shard_prefix
 from plumbline.functions.text import TRUNCATED
-from plumbline.operators.ordered import first_rows
+from plumbline.operators.ordered import first_rows, null_safe_join
 from plumbline.session import shared_folder
 
 # Least size of a shard group, names listed, and the layout of the texts.
@@ -35,8 +35,6 @@ GROUP_LABEL = "%s.%s_* (%d partitions, representative: %s)"
 TABLE_TEXT = "-- %s.%s.%s\n%s\n\n"
 STRUCTURES = "TABLE STRUCTURES:\n\n"
 TABLE_START = "\n\n--"
-# Characters every piece of schema text has at least.
-LEAST_PIECE = 8
 
 
 def grouped_tables(tables: DataFrame, *extra: str) -> DataFrame:
@@ -118,7 +116,7 @@ def name_lists(listed: DataFrame, scope: list[str]) -> DataFrame:
     text = F.when(F.col("n") > NAMES_LISTED, more).otherwise(
         F.format_string("TABLES: %s\n\n", "names")
     )
-    return counts.join(names, scope).select(*scope, text.alias("text"))
+    return null_safe_join(counts, names, scope).select(*scope, text.alias("text"))
 
 
 def schema_pieces(tables: DataFrame) -> DataFrame:
@@ -169,18 +167,20 @@ def schema_pieces(tables: DataFrame) -> DataFrame:
 
 
 def budgeted_text(
-    pieces: DataFrame, key: str, order: str, text: str, budget: int, least: int
+    pieces: DataFrame, key: str, order: str, text: str, budget: int
 ) -> DataFrame:
     """Per key: ``full_length`` of all pieces in order, and ``head``, their text up to at
     least the budget.
 
-    Every piece has ``least`` characters or more, so only the first budget / least pieces can
-    start within the budget; no task sees more of a heavy key than these. A budget of 0 is
-    off: then the whole text is wanted and built.
+    Empty pieces add nothing and are left out. With the shortest of the others known, only the
+    first budget / shortest pieces can start within the budget; no task sees more of a heavy
+    key than these. A budget of 0 is off: then the whole text is wanted and built.
     """
-    lengths = pieces.groupBy(key).agg(F.sum(F.length(text)).alias("full_length"))
-    kept = pieces.select(key, order, text)
+    size = F.length(text)
+    lengths = pieces.groupBy(key).agg(F.coalesce(F.sum(size), F.lit(0)).alias("full_length"))
+    kept = pieces.select(key, order, text).filter(size > 0)
     if budget > 0:
+        least = kept.agg(F.min(size)).first()[0] or 1
         before = Window.partitionBy(key).orderBy(order).rowsBetween(
             Window.unboundedPreceding, -1
         )
@@ -198,7 +198,7 @@ def budgeted_text(
             "",
         ).alias("head")
     )
-    return lengths.join(heads, key)
+    return null_safe_join(lengths, heads, [key], "left").fillna("", ["head"])
 
 
 def schema_texts(tables: DataFrame, *budgets: int) -> DataFrame:
@@ -213,7 +213,7 @@ def schema_texts(tables: DataFrame, *budgets: int) -> DataFrame:
 
 
 def _schema_text(pieces: DataFrame, budget: int) -> DataFrame:
-    texts = budgeted_text(pieces, "db_id", "part", "text", budget, LEAST_PIECE)
+    texts = budgeted_text(pieces, "db_id", "part", "text", budget)
     whole, shown = F.col("head"), F.lit(budget).alias("budget")
     if budget <= 0:
         return texts.select("db_id", shown, whole.alias("ddl"), F.lit(False).alias("truncated"))
@@ -237,8 +237,12 @@ ROSTER_TAIL = "\n=== END ROSTER — DO NOT USE COLUMNS NOT LISTED ABOVE ===\n\n"
 
 
 def column_roster(tables: DataFrame, columns: DataFrame) -> DataFrame:
-    """One line per table or shard group: its label, then all its columns with types."""
-    listed = grouped_tables(tables)
+    """One line per table or shard group: its label, then all its columns with types.
+
+    Where both inputs name the database, tables of one name in two of them are kept apart.
+    """
+    scope = [c for c in ("db_id",) if c in tables.columns and c in columns.columns]
+    listed = grouped_tables(tables if scope else tables.drop("db_id"))
     label = F.when(
         F.col("is_group"),
         F.format_string(GROUP_LABEL, "schema_name", "prefix", "n_tables", "table_name"),
@@ -246,10 +250,10 @@ def column_roster(tables: DataFrame, columns: DataFrame) -> DataFrame:
     shown = F.format_string("%s (%s)", quoted(F.col("column_name")), F.col("data_type"))
     return (
         columns.join(
-            listed.select("schema_name", "table_name", label.alias("label")),
-            ["schema_name", "table_name"],
+            listed.select(*scope, "schema_name", "table_name", label.alias("label")),
+            [*scope, "schema_name", "table_name"],
         )
-        .groupBy("schema_name", "table_name", "label")
+        .groupBy(*scope, "schema_name", "table_name", "label")
         .agg(
             F.count(F.lit(1)).alias("n_columns"),
             F.array_join(
@@ -261,6 +265,7 @@ def column_roster(tables: DataFrame, columns: DataFrame) -> DataFrame:
             ).alias("_list"),
         )
         .select(
+            *scope,
             "schema_name",
             "table_name",
             "n_columns",
@@ -276,7 +281,7 @@ def roster_text(lines: DataFrame, key: str, budget: int = 0) -> DataFrame:
         F.struct("schema_name", "table_name").alias("part"),
         F.concat("line", F.lit("\n")).alias("text"),
     )
-    texts = budgeted_text(pieces, key, "part", "text", budget, LEAST_PIECE)
+    texts = budgeted_text(pieces, key, "part", "text", budget)
     body = F.rtrim(F.col("head"), F.lit("\n"))
     return texts.select(
         key, F.concat(F.lit(ROSTER_HEAD), body, F.lit(ROSTER_TAIL)).alias("roster")

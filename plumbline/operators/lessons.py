@@ -14,8 +14,8 @@ from plumbline.functions.text import normal_pattern, strip
 ENTRY = "## [%s] [%s]\n**Pattern:** %s\n**Fix:** %s\n**Example:** `%s`"
 SEPARATOR = "\n---\n"
 HEAD = r"(?m)^## \[([^\]]*)\] \[([^\]]*)\]"
-PATTERN = r"(?m)^\*\*Pattern:\*\*(.*)$"
-FIX = r"(?m)^\*\*Fix:\*\*(.*)$"
+PATTERN = r"(?ms)^\*\*Pattern:\*\*(.*?)(?=^\*\*Fix:\*\*|\z)"
+FIX = r"(?ms)^\*\*Fix:\*\*(.*?)(?=^\*\*Example:\*\*|\z)"
 EXAMPLE = r"(?s)\*\*Example:\*\* `(.*)`\s*$"
 RAW_PATTERN = "Raw error: "
 RAW_LENGTH = 100
@@ -64,7 +64,9 @@ def from_answer(answer: Column, error_type: Column, message: Column, dialect: st
 
 
 def with_norm(lessons: DataFrame) -> DataFrame:
-    return lessons.withColumn("norm", normal_pattern(F.col("pattern")))
+    """Adds ``norm``, by which patterns are told apart: the first line, '' where there is none."""
+    first = F.split_part(strip(F.coalesce("pattern", F.lit(""))), F.lit("\n"), F.lit(1))
+    return lessons.withColumn("norm", normal_pattern(first))
 
 
 def new_lessons(incoming: DataFrame, stored: DataFrame | None) -> DataFrame:

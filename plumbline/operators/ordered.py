@@ -12,6 +12,8 @@ or pre-aggregate equal rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +32,13 @@ def pin_pieces(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> Dat
     return ranged.withColumn(PIECE, F.spark_partition_id()).checkpoint()
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner"):
+    """Join in which NULL keys meet, as they do in a window or an aggregate."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def _before(pieces: DataFrame, group: Sequence[str], totals: dict[str, Column]) -> DataFrame:
     """Per piece, the sum of each total over the earlier pieces of its group."""
     earlier = Window.partitionBy(*group).orderBy(PIECE).rowsBetween(
@@ -53,7 +62,7 @@ def running_total(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        pieces.join(offsets, [*group, PIECE])
+        null_safe_join(pieces, offsets, [*group, PIECE])
         .withColumn(name, F.col("_offset") + F.sum(value).over(inside))
         .drop("_offset", PIECE)
     )
@@ -81,7 +90,7 @@ def previous_values(
     inside = Window.partitionBy(*group, PIECE).orderBy(*order)
     before = F.lag(F.struct(F.col(value).alias("v"))).over(inside)
     return (
-        pieces.join(carried, [*group, PIECE])
+        null_safe_join(pieces, carried, [*group, PIECE])
         .withColumn(name, F.coalesce(before, F.col("_carried"))["v"])
         .drop("_carried", PIECE)
     )
@@ -111,7 +120,7 @@ def carry_forward(
     )
     filled = {v: F.coalesce(F.last(v, True).over(inside), F.col(f"_before_{v}")) for v in values}
     return (
-        pieces.join(carried, [*group, PIECE])
+        null_safe_join(pieces, carried, [*group, PIECE])
         .withColumns(filled)
         .drop(PIECE, *[f"_before_{v}" for v in values])
     )

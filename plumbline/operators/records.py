@@ -31,7 +31,7 @@ def requirement_scores(checks: DataFrame) -> DataFrame:
     """
     parsed = F.col("_verdicts")
     total = F.size("tree")
-    satisfied = F.size(F.filter(parsed, lambda v: F.coalesce(v.satisfied, F.lit(False))))
+    satisfied = F.size(F.filter(parsed, lambda v: J.is_true(v.satisfied)))
     score = F.when(parsed.isNull() | (total == 0), F.lit(0.0)).otherwise(
         F.try_divide(satisfied.cast("double"), total.cast("double"))
     )

@@ -401,6 +401,15 @@ select 'b' || cast(r_regionkey as string),
          else 'SELECT l_suppkey, sum(l_quantity) AS q FROM lineitem WHERE l_linenumber > '
               || cast(r_regionkey as string) || ' GROUP BY l_suppkey' end
 from {region}
+union all
+select 'c' || cast(r_regionkey as string),
+       case r_regionkey % 3
+         when 0 then 'SELECT o_orderkey, 1 / (o_orderkey - o_orderkey) AS x FROM orders'
+         when 1 then 'SELECT cast(o_orderstatus AS int) AS x FROM orders'
+         else 'DROP TABLE orders' end
+from {region}
+union all
+select 'd' || cast(r_regionkey as string), 'SELECT * FORM orders WHERE' from {region}
 """
 
 
@@ -425,7 +434,14 @@ union all
 select 'b' || r_regionkey, r_regionkey < 3,
   case when r_regionkey < 3 then (select count(distinct l_suppkey) from lineitem
                                   where l_linenumber > r_regionkey) end,
-  case r_regionkey when 3 then 'runtime' when 4 then 'syntax' else 'none' end, 60
+  case r_regionkey when 3 then 'syntax' when 4 then 'permission' else 'none' end, 60
+from region
+union all
+select 'd' || r_regionkey, false, null, 'syntax', 60
+from region
+union all
+select 'c' || r_regionkey, false, null,
+  case when r_regionkey % 3 = 2 then 'permission' else 'runtime' end, 60
 from region
 """
 

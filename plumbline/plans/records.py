@@ -547,7 +547,7 @@ def transcript_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     block = P.step_block(S.capped(sql), S.is_uncapped_select(sql), result, QUERY_BUDGET)
     steps = derive(spark, sf_dir, RECON).select("user_id", "event_id", block.alias("block"))
     room = TRANSCRIPT_BUDGET - len(P.TRANSCRIPT_HEAD)
-    texts = budgeted_text(steps, "user_id", "event_id", "block", room, P.LEAST_STEP)
+    texts = budgeted_text(steps, "user_id", "event_id", "block", room)
     whole = F.concat(F.lit(P.TRANSCRIPT_HEAD), F.col("head"))
     return texts.select(
         "user_id", T.truncate(whole, TRANSCRIPT_BUDGET, T.TRANSCRIPT_TRUNCATED).alias("transcript")

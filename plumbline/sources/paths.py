@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.session import fresh_path
+
 
 def or_empty(spark: SparkSession, schema: str, read: Callable[[], DataFrame]) -> DataFrame:
     """What ``read`` opens, or no rows where the path does not exist."""
@@ -33,14 +35,19 @@ def positioned(rows: DataFrame, name: str = "pos") -> DataFrame:
     """Adds the position of each row over all files, files in order of their names.
 
     Row ids run on inside one block of a file but say nothing about the order of blocks; a
-    small table with the rows per block puts the blocks in order.
+    small table with the rows per block puts the blocks in order. The marks are given in one
+    scan and written, because another scan may split the files in another way.
     """
+    spark = rows.sparkSession
     marked = rows.select(
         "*",
         file_path().alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_i"),
     )
+    path = fresh_path(spark, "positioned")
+    marked.write.parquet(path)
+    marked = spark.read.schema(marked.schema).parquet(path)
     earlier = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = (
         marked.groupBy("_file", "_block")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.grading import cells_of_text
-from plumbline.session import shared_folder
+from plumbline.session import fresh_path
 from plumbline.sources.paths import file_path, or_empty, stem
 
 NO_COLUMNS = "No columns to parse from file"
@@ -19,97 +19,122 @@ TOO_WIDE = "Error tokenizing data"
 VARIANT = r"^(.+)_([0-9a-z])$"
 
 
-# One row per file: its result, shape, first row id, and the rows of earlier parts.
-FILE_SCHEMA = (
-    "file STRING, name STRING, n_cols INT, widest INT, head BIGINT, n_rows BIGINT, offset BIGINT"
-)
+QUOTED = r'"(?:[^"]|"")*"'
+# Columns read beyond the widest header.
+GUARDS = 4
 RECORD_SCHEMA = "file STRING, i BIGINT, values ARRAY<STRING>"
 
 
-def _csv_lines(spark: SparkSession, path: str) -> DataFrame:
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
-    return or_empty(spark, "value STRING", lambda: reader.text(path))
+def _reader(spark: SparkSession):
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
+
+
+def _headers(spark: SparkSession, path: str) -> DataFrame:
+    """file, n_cols: columns of the first line of each file, counted outside quotes."""
+    lines = or_empty(
+        spark,
+        "value STRING, file STRING, block BIGINT",
+        lambda: _reader(spark).text(path).select(
+            "value",
+            file_path().alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+        ),
+    )
+    bare = F.regexp_replace("value", QUOTED, "")
+    numbered = lines.select(
+        _plain_path(F.col("file")).alias("file"),
+        "block",
+        F.monotonically_increasing_id().alias("i"),
+        (F.regexp_count(bare, F.lit(",")) + 1).alias("n_cols"),
+        (F.trim("value") != "").alias("filled"),
+    )
+    first = numbered.groupBy("file").agg(
+        F.min_by("n_cols", F.struct("block", "i")).alias("n_cols"),
+        F.max("filled").alias("filled"),
+    )
+    return first.select("file", F.when(F.col("filled"), F.col("n_cols")).otherwise(0).alias("n_cols"))
 
 
 def _plain_path(file: Column) -> Column:
     return F.regexp_replace(file, "^file:/+", "/")
 
 
-def _widest(lines: DataFrame) -> int:
-    """Columns of the widest header; commas inside quotes only make the schema wider."""
-    commas = F.regexp_count("value", F.lit(",")).alias("n")
-    numbered = lines.select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("i"),
-        commas,
-    )
-    first = numbered.groupBy("file").agg(F.min_by("n", F.struct("block", "i")).alias("n"))
-    return (first.agg(F.max("n")).first()[0] or 0) + 1
+def _saved(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
+    path = fresh_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def _wide_rows(spark: SparkSession, path: str, width: int) -> DataFrame:
-    """All records as text, the header among them, with file and position in the file."""
-    schema = ", ".join(f"c{i} STRING" for i in range(width))
-    values = [F.col(f"c{i}") for i in range(width)]
+def _records(spark: SparkSession, path: str, width: int) -> DataFrame:
+    """All records as text, the header among them, with file and position in the file.
+
+    Positions are given in one scan and written with the values, so that whatever is made of
+    them later sees the same ones. Columns beyond the widest header show that a record is too
+    wide.
+    """
+    columns = [f"c{i}" for i in range(width + GUARDS)]
     rows = (
-        spark.read.schema(schema)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.csv")
+        _reader(spark)
+        .schema(", ".join(f"{c} STRING" for c in columns))
         .option("multiLine", True)
         .option("escape", '"')
         .csv(path)
     )
-    return rows.select(
-        file_path().alias("file"),
-        F.monotonically_increasing_id().alias("i"),
-        F.array(*values).alias("values"),
+    return _saved(
+        spark,
+        rows.select(
+            _plain_path(file_path()).alias("file"),
+            F.monotonically_increasing_id().alias("i"),
+            F.array(*columns).alias("values"),
+        ),
+        "csv-records",
     )
 
 
 def _read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(files, records): one row per file with its shape, one per record."""
-    lines = _csv_lines(spark, path)
-    # The listing knows empty files too, which no reader shows.
-    names = lines.inputFiles()
-    if not names:
-        return (
-            spark.createDataFrame([], FILE_SCHEMA),
-            spark.createDataFrame([], RECORD_SCHEMA),
-        )
-    decoded = F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B")))
-    files = spark.createDataFrame([(n,) for n in names], "file STRING").select(
-        _plain_path(decoded).alias("file")
+    # Spark's listing, on the driver in any case, knows empty files too, which no reader shows.
+    names = or_empty(spark, "value STRING", lambda: _reader(spark).text(path)).inputFiles()
+    decoded = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
+    listing = spark.createDataFrame([(n,) for n in names], "path STRING").select(
+        decoded.alias("path")
     )
-    rows = _wide_rows(spark, path, _widest(lines)).withColumn("file", _plain_path(F.col("file")))
+    headers = _saved(spark, _headers(spark, path), "csv-headers")
+    widest = headers.agg(F.max("n_cols")).first()[0]
+    if widest is None:
+        rows = spark.createDataFrame([], RECORD_SCHEMA)
+    else:
+        rows = _records(spark, path, widest)
     filled = F.transform("values", lambda v, k: F.when(v.isNotNull(), k + 1).otherwise(0))
     shapes = (
         rows.withColumn("used", F.array_max(filled))
         .groupBy("file")
         .agg(
-            F.min_by("used", "i").alias("n_cols"),
             F.max("used").alias("widest"),
             F.min("i").alias("head"),
             (F.count(F.lit(1)) - 1).alias("n_rows"),
         )
     )
-    name = stem(F.col("file"), "csv")
     earlier = Window.partitionBy("name").orderBy("file").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    known = files.join(shapes, "file", "left").withColumn("name", name)
-    known = known.withColumn(
-        "offset", F.coalesce(F.sum("n_rows").over(earlier), F.lit(0))
+    known = (
+        listing.select(_plain_path(F.col("path")).alias("file"))
+        .join(headers, "file", "left")
+        .join(shapes, "file", "left")
+        .withColumn("name", stem(F.col("file"), "csv"))
+        .withColumn("offset", F.coalesce(F.sum("n_rows").over(earlier), F.lit(0)))
+        .withColumn("n_cols", F.when(F.col("head").isNull(), 0).otherwise(F.col("n_cols")))
     )
     # One row per file, kept so that shapes are not counted again with every use.
-    shared_folder(spark)
-    return known.checkpoint(), rows
+    return _saved(spark, known, "csv-files"), rows
 
 
 def _tables(files: DataFrame) -> DataFrame:
     """One row per result: shape, and why it cannot be read."""
-    widest, n_cols = F.max("widest"), F.max("n_cols")
-    error = F.when(F.coalesce(n_cols, F.lit(0)) == 0, NO_COLUMNS).when(widest > n_cols, TOO_WIDE)
+    n_cols = F.max("n_cols")
+    too_wide = F.max(F.col("widest") > F.col("n_cols"))
+    error = F.when(F.coalesce(n_cols, F.lit(0)) == 0, NO_COLUMNS).when(too_wide, TOO_WIDE)
     return files.groupBy("name").agg(
         F.coalesce(F.sum("n_rows"), F.lit(0)).cast("bigint").alias("n_rows"),
         F.coalesce(n_cols, F.lit(0)).cast("int").alias("n_cols"),

@@ -165,3 +165,25 @@ def test_lessons_of_answer(spark):
 
 def test_normal_pattern(spark):
     assert run(spark, T.normal_pattern(X), ["  A b\t\nrest", "a B"]) == ["a b", "a b"]
+
+
+def test_truth_and_ids_of_any_type(spark):
+    answer = (
+        '[{"subtask_id": "1", "satisfied": 1}, {"subtask_id": 2.5, "satisfied": "yes"}, '
+        '{"satisfied": 0}, {"satisfied": ""}, {"satisfied": []}, {"satisfied": {}}, '
+        '{"satisfied": null, "reason": "r"}, {"satisfied": [0]}, {"satisfied": "false"}, {"satisfied": 0.0}]'
+    )
+    tree = F.array(F.struct(F.lit("1").alias("id")))
+    row = spark.createDataFrame([(answer,)], "x STRING").withColumn("v", J.verdicts(F.col("x")))
+    out = row.select(
+        F.transform("v", lambda v: J.is_true(v.satisfied)).alias("t"),
+        J.bullets(J.failed_verdicts(F.col("v"), tree)).alias("b"),
+    ).first()
+    assert out["t"] == [True, True, False, False, False, False, False, True, True, False]
+    assert out["b"].split("\n")[4] == "- Subtask #?: r"
+    ids = spark.createDataFrame(
+        [('[{"id": "1", "description": "a"}, {"id": 1.0, "description": "b", "parent_id": "1", "level": 1}]',)],
+        "x STRING",
+    )
+    text = ids.select(J.tree_text(J.usable_tree(J.subtasks(F.col("x")), F.lit("q?")))).first()[0]
+    assert text == "#1: a\n  #1.0: b (child of #1)"

@@ -2,6 +2,8 @@
 
 import os
 
+from pyspark.sql import functions as F
+
 from plumbline.operators import lessons as L
 from plumbline.streaming import lessons as stream
 
@@ -68,3 +70,19 @@ def test_stream_equals_batch(spark, tmp_path):
     assert stream.read_store(spark, store).count() == len(stored)
     stream.start(spark, source, store, str(tmp_path / "other")).awaitTermination()
     assert stream.read_store(spark, store).count() == len(stored)
+
+
+def test_fields_of_several_lines_come_back(spark):
+    row = spark.createDataFrame(
+        [("2026-01-01 10:00", "syntax", "first\nsecond", "use\nmore", "select `a`\nfrom t")],
+        "ts STRING, kind STRING, pattern STRING, fix STRING, sql STRING",
+    )
+    entry = L.to_markdown(*[F.col(c) for c in row.columns])
+    back = row.select(entry.alias("e")).select(*[c.alias(n) for n, c in L.parse(F.col("e")).items()])
+    assert tuple(back.first()) == tuple(row.first())
+
+
+def test_a_lesson_without_pattern_is_stored_once(spark):
+    first = L.new_lessons(_lessons(spark, [None, "a"]), None)
+    assert sorted(r["norm"] for r in first.collect()) == ["", "a"]
+    assert L.new_lessons(_lessons(spark, [None, "A"]), first).count() == 0

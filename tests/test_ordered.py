@@ -79,3 +79,12 @@ def test_first_rows(spark, threshold):
         (m[2], i) for members in _groups(rows).values() for i, m in enumerate(members[:7], 1)
     }
     assert {(r["id"], r["_rank"]) for r in got} == expected
+
+
+def test_rows_without_group_stay(spark):
+    rows = [(None, 1, 10), (None, 2, 20), ("a", 1, 5)]
+    df = spark.createDataFrame(rows, "g STRING, o INT, v INT")
+    total = O.running_total(df, ["g"], ["o"], "v", "t")
+    assert {(r["g"], r["o"]): r["t"] for r in total.collect()} == {(None, 1): 10, (None, 2): 30, ("a", 1): 5}
+    before = O.previous_values(df, ["g"], ["o"], "v", "p")
+    assert {(r["g"], r["o"]): r["p"] for r in before.collect()} == {(None, 1): None, (None, 2): 10, ("a", 1): None}

@@ -107,6 +107,47 @@ def test_grading_from_files(spark, tmp_path):
     assert [tuple(r) for r in sql.collect()] == [("one", "SELECT 1\n;")]
 
 
+def test_a_file_is_judged_by_its_own_header(spark, tmp_path):
+    """Alone, beside a wider file, and with blank or quoted header cells."""
+    _write(tmp_path / "a" / "wide.csv", "a,b\n1,2\n3,4,5\n")
+    for name in ("wide", "other"):
+        _write(tmp_path / "b" / f"{name}.csv", "a,b\n3,4,5\n" if name == "wide" else "p,q,r,s\n1,2,3,4\n")
+    _write(tmp_path / "b" / "blank.csv", 'a,b,\n1,2,3\n4,5,\n')
+    _write(tmp_path / "b" / "quoted.csv", '"a,b",c\n1,2\n')
+    _write(tmp_path / "b" / "late.csv", "a,b\n3,4,,6\n")
+
+    def shapes(folder):
+        tables, cells = result_csv.read_predictions(spark, str(tmp_path / folder))
+        counts = {r["instance_id"]: r["count"] for r in cells.groupBy("instance_id").count().collect()}
+        return {
+            r["instance_id"]: (r["n_rows"], r["n_cols"], r["readable"], counts.get(r["instance_id"], 0))
+            for r in tables.collect()
+        }
+
+    assert shapes("a") == {"wide": (2, 2, False, 0)}
+    assert shapes("b") == {
+        "wide": (1, 2, False, 0),
+        "other": (1, 4, True, 4),
+        "blank": (2, 3, True, 5),
+        "quoted": (1, 2, True, 2),
+        "late": (1, 2, False, 0),
+    }
+
+
+def test_positions_hold_when_files_are_split_in_another_way(spark, tmp_path):
+    for k in range(12):
+        _write(tmp_path / f"t{k}.csv", "a\n" + "".join(f"{i}\n" for i in range(210)))
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    tables, cells = result_csv.read_predictions(spark, str(tmp_path))
+    try:
+        spark.conf.set(name, "200")
+        assert cells.count() == 12 * 210 and tables.agg(F.sum("n_rows")).first()[0] == 12 * 210
+        assert cells.filter("num != row_idx").count() == 0
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_no_predictions_at_all(spark, tmp_path):
     (tmp_path / "p").mkdir()
     tables, cells = result_csv.read_predictions(spark, str(tmp_path / "p"))
@@ -140,6 +181,19 @@ def test_store_and_read_result(spark, tmp_path):
     assert sql == {"q1": "SELECT\n1", "q2": "SELECT 2"}
 
 
+def test_ddl_columns_by_their_own_header(spark, tmp_path):
+    base = tmp_path / "base"
+    _write(base / "D" / "S1" / "DDL.csv", 'table_name,DDL\nT1,"create, one"\n')
+    _write(base / "D" / "S2" / "DDL.csv", 'table_name,description,DDL\nT1,about,two\n')
+    _write(base / "base" / "S3" / "DDL.csv", 'ddl,Table_Name\nthree,T3\n')
+    rows = context_files.read_ddl(spark, str(base)).drop("pos").collect()
+    assert sorted(tuple(r) for r in rows) == [
+        ("D", "S1", "T1", "create, one"),
+        ("D", "S2", "T1", "two"),
+        ("base", "S3", "T3", "three"),
+    ]
+
+
 def test_ddl_files_and_schema_text(spark, tmp_path):
     base = tmp_path / "databases"
     tables = pd.DataFrame(
@@ -257,13 +311,19 @@ def test_shards(spark, tmp_path, sf_dir):
 def test_batch_stores_results(spark, tmp_path):
     texts = spark.createDataFrame(
         [("ok", "SELECT id FROM range(12);"), ("bad", "SELECT missing FROM range(1)"),
-         ("syntax", "SELEC 1")], "instance_id STRING, sql STRING"
+         ("syntax", "SELECT 1 FORM x WHERE"), ("refused", "DROP TABLE x"), ("zero", "SELECT 1 / 0 AS x"),
+         ("cast", "SELECT cast('x' AS int) AS x")], "instance_id STRING, sql STRING"
     )
     results, outcomes = str(tmp_path / "r"), str(tmp_path / "o")
     ran = batch.run_batch(spark, texts, outcomes, results, chunk=2)
     rows = {r["instance_id"]: r for r in ran.collect()}
     assert rows["ok"]["success"] and rows["ok"]["n_rows"] == 12 and rows["ok"]["error_type"] == "none"
     assert not rows["bad"]["success"] and rows["bad"]["n_rows"] is None
-    assert rows["syntax"]["error_type"] == "syntax"
+    kinds = {k: r["error_type"] for k, r in rows.items()}
+    assert kinds["bad"] == kinds["syntax"] == "syntax" and kinds["refused"] == "permission"
+    assert kinds["zero"] == kinds["cast"] == "runtime"
+    again = batch.run_batch(spark, texts, outcomes)
+    assert again.count() == 6 and {r["instance_id"]: r["n_rows"] for r in again.collect()}["ok"] == 12
+    assert batch.run_batch(spark, texts.filter("false"), str(tmp_path / "e")).count() == 0
     tables, _ = result_csv.read_predictions(spark, results)
     assert [(r["instance_id"], r["n_rows"]) for r in tables.collect()] == [("ok", 12)]
