@@ -30,6 +30,11 @@ def parameters(df: DataFrame, text: str, keep_empty: bool = False) -> DataFrame:
     )
 
 
+def parameter_keys(text: Column) -> Column:
+    """Keys of a key/value parameter array, in order; NULL where the text is none."""
+    return F.from_json(text, PARAMETER_LIST)["key"]
+
+
 def object_keys(text: Column) -> Column:
     """Keys of a JSON object as an array; NULL for anything else."""
     return F.json_object_keys(text)

@@ -37,14 +37,22 @@ def in_first_only(flags: DataFrame, key: str, first: str, *others: str) -> DataF
     return flags.filter(test).select(key)
 
 
-def intersect_keys(left: DataFrame, right: DataFrame) -> DataFrame:
-    """INTERSECT of two different inputs; both sides are reduced before they meet."""
-    return left.distinct().intersect(right)
+def set_counts(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """How many keys are in both inputs (``both``) and in the left one alone (``first_only``).
 
-
-def subtract_keys(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Keys of ``left`` without a partner in ``right``."""
-    return left.distinct().join(right.distinct(), left.columns, "left_anti")
+    Each input is scanned once; its keys are pre-aggregated and meet in one shuffle.
+    """
+    tagged = left.select(key, F.lit(True).alias("in_left")).unionByName(
+        right.select(key, F.lit(False).alias("in_left"))
+    )
+    found = tagged.groupBy(key).agg(
+        F.bool_or("in_left").alias("left"), F.bool_or(~F.col("in_left")).alias("right")
+    )
+    counts = found.agg(
+        F.count_if(F.col("left") & F.col("right")).alias("both"),
+        F.count_if(F.col("left") & ~F.col("right")).alias("first_only"),
+    )
+    return counts.unpivot([], ["both", "first_only"], "part", "n_ids")
 
 
 def share(test: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import numbers as N
@@ -35,12 +35,9 @@ SHARD_UNION_COUNTS_SQL = " union all ".join(
 )
 
 # Parameters as they come: an object with k, an empty object, no JSON at all, or NULL.
-PROPS = """
-select event_id, event_type, value,
-       case when event_id % 5 = 0 then '{{}}' when event_id % 23 = 0 then 'none'
-            when event_id % 7 = 0 then null else props end as params
-from {events}
-"""
+OBJECT = """case when event_id % 5 = 0 then '{{}}' when event_id % 23 = 0 then 'none'
+            when event_id % 7 = 0 then null else props end"""
+PROPS = "select event_id, event_type, value, " + OBJECT + " as params from {events}"
 
 
 def json_path_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,18 +91,30 @@ select event_id, user_id, event_type,
        end as params
 from {events}
 """
+# Both shapes of parameters from one scan.
+BOTH_KINDS = PARAMETERS.replace("end as params", "end as params, " + OBJECT + " as object")
 PARAMETERS_PLAIN = PARAMETERS.replace("{{", "{").replace("}}", "}").replace("{events}", "events")
 
 
 def json_keys_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct keys of the objects, and of the parameter lists where they match a pattern."""
-    objects = derive(spark, sf_dir, PROPS).select(
-        F.lit("object").alias("source"), F.explode(semi.object_keys(F.col("params"))).alias("key")
+    both = derive(spark, sf_dir, BOTH_KINDS)
+    listed = F.filter(
+        semi.parameter_keys(F.col("params")), lambda k: F.ilike(k, F.lit("%engage%"))
     )
-    listed = semi.parameters(derive(spark, sf_dir, PARAMETERS), "params").select(
-        F.lit("list").alias("source"), "key"
+    found = both.select(
+        F.explode(
+            F.concat(
+                _tagged("object", semi.object_keys(F.col("object"))), _tagged("list", listed)
+            )
+        ).alias("found")
     )
-    return objects.unionByName(listed.filter(F.ilike("key", F.lit("%engage%")))).distinct()
+    return found.select("found.source", "found.key").distinct()
+
+
+def _tagged(source: str, keys: Column) -> Column:
+    tagged = F.transform(keys, lambda k: F.struct(F.lit(source).alias("source"), k.alias("key")))
+    return F.coalesce(tagged, F.array().cast("array<struct<source: string, key: string>>"))
 
 
 JSON_KEYS_DISTINCT_SQL = (
@@ -194,11 +203,7 @@ def user_set_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     buyers = buyers.select(F.col("o_custkey").alias("id"))
     users = load(spark, sf_dir, "events").filter("event_type = 'signup'")
     users = users.select(F.col("user_id").alias("id"))
-    both = A.intersect_keys(buyers, users).agg(F.count(F.lit(1)).alias("n_ids"))
-    only = A.subtract_keys(buyers, users).agg(F.count(F.lit(1)).alias("n_ids"))
-    return both.withColumn("part", F.lit("both")).unionByName(
-        only.withColumn("part", F.lit("first_only"))
-    )
+    return A.set_counts(buyers, users, "id").select("n_ids", "part")
 
 
 _WEEK = "event_type = 'purchase' and ts >= '2024-01-24' and ts < '2024-01-31'"
@@ -246,16 +251,14 @@ def net_balance_topk_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = legs.groupBy("kind", "id").agg(
         F.sum("amount").alias("amount"), F.sum("fee").alias("fee")
     )
-    customers = load(spark, sf_dir, "customer").selectExpr(
-        "'c' AS kind", "c_custkey AS id", "c_nationkey"
-    )
-    balances = A.signed_totals(
-        totals.join(customers, ["kind", "id"], "left"),
-        {
-            "net": (F.concat("kind", "id"), F.col("amount") - F.col("fee")),
-            "fees": (F.concat(F.lit("n"), F.col("c_nationkey")), F.col("fee")),
-        },
+    # Accounts are unique by now; only the nations' shares of the fees are summed once more.
+    accounts = totals.filter("id IS NOT NULL").select(
+        (F.col("amount") - F.col("fee")).alias("balance")
     )
+    customers = load(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "c_nationkey")
+    fees = totals.filter("kind = 'c'").join(customers, "id")
+    nations = A.signed_totals(fees, {"fees": (F.col("c_nationkey"), F.col("fee"))})
+    balances = accounts.unionByName(nations.select("balance"))
     return A.top_mean(balances, "balance", 10, 3, "mean_balance_thousands")
 
 
