@@ -206,13 +206,13 @@ select cast(inst as string) as instance_id,
 from (select distinct cast(floor(event_id / 50) as bigint) as inst from {events})
 where inst % 10 <> 9
 """
-_M_GOLD = ["g0", "g1", "g2"]
-_M_PRED = ["p0", "p1", "p2"]
+GOLD_TABLE_COLUMNS = ["g0", "g1", "g2"]
+PREDICTED_COLUMNS = ["p0", "p1", "p2"]
 
 
 def _multi_inputs(spark: SparkSession, sf_dir: str):
-    gold_tables, gold_cells = _side(spark, sf_dir, MULTI_GOLD, _M_GOLD, "variant")
-    pred_tables, pred_cells = _side(spark, sf_dir, MULTI_PRED, _M_PRED)
+    gold_tables, gold_cells = _side(spark, sf_dir, MULTI_GOLD, GOLD_TABLE_COLUMNS, "variant")
+    pred_tables, pred_cells = _side(spark, sf_dir, MULTI_PRED, PREDICTED_COLUMNS)
     broken = derive(spark, sf_dir, MULTI_BROKEN)
     pred_tables = pred_tables.withColumn("read_error", F.lit(None).cast("string"))
     # Gold tables are numbered densely in their order, as when they are read from files.
@@ -268,8 +268,8 @@ def failure_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MULTI_CTES = f"""
 gold as ({MULTI_GOLD}), pred as ({MULTI_PRED}), std as ({MULTI_STANDARD}),
 broken as ({MULTI_BROKEN}),
-{_cells_sql("gc0", "gold", dict(zip(_M_GOLD, "ntn")), ", variant")},
-{_cells_sql("pc0", "pred", dict(zip(_M_PRED, "nnt")))},
+{_cells_sql("gc0", "gold", dict(zip(GOLD_TABLE_COLUMNS, "ntn")), ", variant")},
+{_cells_sql("pc0", "pred", dict(zip(PREDICTED_COLUMNS, "nnt")))},
 gt as (select inst, variant, count(*) as n from gold group by 1, 2),
 pt as (select inst, count(*) as n from pred group by 1),
 need as (

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from plumbline.sources.paths import or_empty, positioned
 
-_FIELDS = ["instance_id", "instruction", "question", "db_id", "external_knowledge"]
-QUESTION_SCHEMA = ", ".join(f"{f} STRING" for f in _FIELDS)
+QUESTION_FIELDS = ["instance_id", "instruction", "question", "db_id", "external_knowledge"]
+QUESTION_SCHEMA = ", ".join(f"{f} STRING" for f in QUESTION_FIELDS)
 
 
 def normalise(raw: DataFrame) -> DataFrame:
     """Question text and defaults; ``pos`` tells the order, and a later duplicate wins."""
     kept = raw.groupBy("instance_id").agg(
-        F.max_by(F.struct(*_FIELDS[1:]), "pos").alias("q"), F.min("pos").alias("pos")
+        F.max_by(F.struct(*QUESTION_FIELDS[1:]), "pos").alias("q"), F.min("pos").alias("pos")
     )
     empty = F.lit("")
     return kept.select(

@@ -5,8 +5,9 @@ import re
 import pytest
 
 import __spark_entry__ as contract
+from plumbline.plans import registry
 
-KEYS = sorted(contract.queries())
+KEYS = sorted(registry.QUERIES)
 
 
 def plan_of(df):
@@ -34,8 +35,9 @@ def test_time_filters_reach_the_scan(spark, sf_dir):
 @pytest.mark.parametrize(
     "key, scans",
     [
-        ("net_balance_topk_avg", 3),
         ("filtered_minmax_share", 1),
+        ("json_keys_distinct", 1),
+        ("user_set_counts", 2),
         ("users_intersect", 1),
         ("users_lapsed", 1),
         ("fee_by_correlated_avg", 2),
@@ -46,6 +48,13 @@ def test_scans(spark, sf_dir, key, scans):
     assert _plan(spark, sf_dir, key).count("FileScan parquet") == scans
 
 
+def test_account_totals_are_made_once(spark, sf_dir):
+    df = contract.queries()["net_balance_topk_avg"](spark, sf_dir)
+    df.collect()
+    final = plan_of(df).split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in final and final.count("FileScan parquet") == 3
+
+
 def test_only_needed_columns_are_read(spark, sf_dir):
     schema = re.search(r"ReadSchema: struct<([^>]*)>", _plan(spark, sf_dir, "max_of_sum")).group(1)
     assert sorted(c.split(":")[0] for c in schema.split(",")) == ["l_quantity", "l_suppkey"]
