@@ -190,28 +190,57 @@ def read_blocks(page: str) -> list[tuple[str, str, int]]:
     return reader.out
 
 
-def path_scores(blocks: list[tuple[str, str, int]]) -> dict[str, float]:
-    """Score of each container path: text outside links of its own blocks, and half of what
-    its inner containers hold, so that the element that spans an article wins."""
+def path_scores(blocks: list[tuple[str, str, int]]) -> tuple[dict[str, float], dict[str, float]]:
+    """(score, own text) of each container path: characters outside links of its own blocks,
+    and for the score half of what its inner containers hold, so that the element around the
+    paragraphs of an article wins."""
     scores: dict[str, float] = {}
+    owned: dict[str, float] = {}
     for path, text, linked in blocks:
         own, share = max(0, len(text) - 2 * linked), 1.0
+        if own:
+            owned[path] = owned.get(path, 0.0) + own
         while path and own:
             scores[path] = scores.get(path, 0.0) + own * share
             path, share = path.rpartition("/")[0], share / 2
-    return scores
+    return scores, owned
 
 
-def best_path(scores: dict[str, float]) -> str | None:
-    """The highest score; an element for articles beats what surrounds it."""
+def _named(path: str, tag: str) -> str:
+    """The path down to its first step of that tag, or ''."""
+    steps = path.split("/")
+    for k, step in enumerate(steps):
+        if step.split(".")[0] == tag:
+            return "/".join(steps[: k + 1])
+    return ""
+
+
+def best_path(blocks: list[tuple[str, str, int]]) -> str | None:
+    """The path with the highest score; one in an element for articles beats what surrounds it.
+
+    Of nested articles the outer one is taken. Elsewhere a container that adds text of its own,
+    such as a headline, to one that holds most of its text is taken in its place.
+    """
+    scores, owned = path_scores(blocks)
     if not scores:
         return None
+    path = min(
+        scores,
+        key=lambda p: (-scores[p] * (4 if _named(p, "article") or _named(p, "main") else 1), p),
+    )
+    if outer := _named(path, "article"):
+        return outer
+    total = lambda root: sum(n for p, n in owned.items() if _within(p, root))
+    while True:
+        above = path.rpartition("/")[0]
+        step = above.rpartition("/")[2].split(".")[0]
+        if step in ("", "body") or not owned.get(above) or total(path) < 0.6 * total(above):
+            return path
+        path = above
 
-    def key(path: str) -> tuple:
-        named = any(step.split(".")[0] in ("article", "main") for step in path.split("/"))
-        return (-scores[path] * (4 if named else 1), path)
 
-    return min(scores, key=key)
+def _within(path: str, root: str) -> bool:
+    return path == root or path.startswith(root + "/")
 
 
 def extract(page: str, path: str | None) -> str:
@@ -219,14 +248,11 @@ def extract(page: str, path: str | None) -> str:
     blocks = read_blocks(page)
     paths = {p for p, _, _ in blocks}
 
-    def within(p: str, root: str) -> bool:
-        return p == root or p.startswith(root + "/")
-
-    if path is None or not any(within(p, path) for p in paths):
-        path = best_path(path_scores(blocks))
+    if path is None or not any(_within(p, path) for p in paths):
+        path = best_path(blocks)
     if path is None:
         return "\n".join(text for _, text, _ in blocks)
-    return "\n".join(text for p, text, _ in blocks if within(p, path))
+    return "\n".join(text for p, text, _ in blocks if _within(p, path))
 
 
 def _pages(pages: DataFrame) -> DataFrame:
@@ -248,13 +274,14 @@ def votes(pages: DataFrame) -> DataFrame:
         for batch in batches:
             sums: dict[tuple[str, str], float] = {}
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html")):
-                scores = path_scores(read_blocks(page.as_py()))
-                path = best_path(scores)
+                blocks = read_blocks(page.as_py())
+                path = best_path(blocks)
                 if path is not None:
-                    # One page counts for one vote, weighed down where its choice was close.
-                    total = sum(scores.values())
+                    # One page is one vote, of as much weight as its path has of the text.
+                    inside = sum(len(text) for p, text, _ in blocks if _within(p, path))
                     key = host, path
-                    sums[key] = sums.get(key, 0.0) + round(scores[path] / total, 3)
+                    whole = sum(len(text) for _, text, _ in blocks)
+                    sums[key] = sums.get(key, 0.0) + round(inside / whole, 3)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([k[0] for k in sums], pa.string()),

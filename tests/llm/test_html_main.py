@@ -25,7 +25,7 @@ def test_given_pages(spark, sf_dir):
 
 
 def alone(page):
-    return html_main.extract(page, html_main.best_path(html_main.path_scores(html_main.read_blocks(page))))
+    return html_main.extract(page, html_main.best_path(html_main.read_blocks(page)))
 
 
 TEXT = "A sentence of the article that has some length. "
@@ -50,6 +50,13 @@ def test_header_inside_the_article_stays():
     assert alone(page) == f"Head\n{TEXT.strip()}"
 
 
+def test_headline_beside_the_body_stays():
+    inner = f"<h1>Head</h1><div class='body'><p>{TEXT * 3}</p><p>End</p></div>"
+    text = f"Head\n{(TEXT * 3).strip()}\nEnd"
+    assert alone(f"<main><article class='x'>{inner}</article><p>other</p></main>") == text
+    assert alone(f"<body><div class='content'>{inner}</div><div class='extra'><p>no</p></div>") == text
+
+
 def test_cut_and_odd_pages():
     assert alone("") == "" and alone("   ") == ""
     assert alone("only text") == "only text"
