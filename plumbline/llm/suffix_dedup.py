@@ -11,8 +11,10 @@ reaches LENGTH repeats an earlier one; in the same way, larger positions give th
 repeated later. The query removes both; ``keep_first`` keeps the first of each string.
 
 An anchor with more than HOT different segments (the edge of a passage that a third of all
-texts share) is not gathered: it is split to the finest groups there are, one per string,
-counted by hash in Spark.
+texts share) is not gathered. Its segments are cut into blocks of STEP strings by their place
+before the anchor; the bytes that all strings of a block share are the block's new anchor, and
+blocks are treated as segments were. What is still too common then is split to the finest
+groups there are, one per string, counted by hash in Spark.
 
 Defined cases: null text is empty; texts shorter than LENGTH keep everything; strings never
 cross texts; removed spans may cut characters, so kept texts are bytes; repeated rows repeat
@@ -35,10 +37,14 @@ from plumbline.llm.tables import filtered, key_filter, pinned, texts
 LENGTH = 200
 GRAM = 48
 HOT = 500
+STEP = 8
 BLOCK_BYTES = 1 << 21
 _CODES = (kernels.byte_codes(b"", fold=False), kernels.mix(kernels.byte_codes(b"", fold=False)))
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-SEGMENT = "id bigint, print bigint, at bigint, n int, anchor bigint, s1 bigint, s2 bigint"
+SEGMENT = (
+    "id bigint, print bigint, at bigint, n int, lead int, anchor bigint, s1 bigint, s2 bigint"
+)
+BODY = "cls bigint, anchor bigint, id bigint, at bigint, n int, lead int, body binary"
 
 
 def _words(data: np.ndarray) -> np.ndarray:
@@ -89,11 +95,12 @@ def _print_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list
 
 
 def segments_of(data: np.ndarray, offsets: np.ndarray):
-    """(start, number of strings, anchor hash) of the segments of texts laid end to end."""
+    """(start, number of strings, anchor hash, bytes before the anchor) of the segments of
+    texts laid end to end."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < LENGTH:
-        return none, none, none
+        return none, none, none, none
     words = _words(data)
     grams = np.zeros(n - GRAM + 1, np.uint64)
     for k in range(0, GRAM, 8):
@@ -104,12 +111,13 @@ def segments_of(data: np.ndarray, offsets: np.ndarray):
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     inside = np.flatnonzero(doc[: n - LENGTH + 1] == doc[LENGTH - 1 :])
     if len(inside) == 0:
-        return none, none, none
+        return none, none, none, none
     own = anchor[inside]
     fresh = np.r_[True, (own[1:] != own[:-1]) | (inside[1:] != inside[:-1] + 1)]
     heads = np.flatnonzero(fresh)
     counts = np.diff(np.r_[heads, len(inside)])
-    return inside[heads], counts, kernels.mix(grams[own[heads]]).view(np.int64)
+    hashes = kernels.mix(grams[own[heads]]).view(np.int64)
+    return inside[heads], counts, hashes, own[heads] - inside[heads]
 
 
 def _chunks(column: pa.Array):
@@ -137,9 +145,9 @@ def segments(rows: DataFrame, own) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, data, offsets in _chunks(batch.column("text")):
-                starts, counts, anchor = segments_of(data, offsets)
-                keep = shared.value.passes(anchor)
-                starts, counts, anchor = starts[keep], counts[keep], anchor[keep]
+                found = segments_of(data, offsets)
+                keep = shared.value.passes(found[2])
+                starts, counts, anchor, lead = (f[keep] for f in found)
                 s1, s2 = _print_spans(data, starts, starts + counts + LENGTH - 1)
                 doc = np.searchsorted(offsets, starts, "right") - 1
                 at = pa.array(doc + first)
@@ -149,6 +157,7 @@ def segments(rows: DataFrame, own) -> DataFrame:
                         "print": batch.column("print").take(at),
                         "at": pa.array(starts - offsets[doc]),
                         "n": pa.array(counts.astype(np.int32)),
+                        "lead": pa.array(lead.astype(np.int32)),
                         "anchor": pa.array(anchor),
                         "s1": pa.array(s1),
                         "s2": pa.array(s2),
@@ -256,9 +265,10 @@ def ranges(found: np.ndarray, owner: np.ndarray, inner: np.ndarray, n: int) -> l
 
 
 def _fetch(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls, anchor, id, at, n, body: the bytes of the wanted segments (cls, anchor, id, print, at, n)."""
+    """cls, anchor, id, at, n, lead, body: the bytes of the wanted segments (cls, anchor, id,
+    print, at, n, lead)."""
     asked = wanted.groupBy("id", "print").agg(
-        F.collect_list(F.struct("cls", "anchor", "at", "n")).alias("asked")
+        F.collect_list(F.struct("cls", "anchor", "at", "n", "lead")).alias("asked")
     )
     asked = pinned(asked, "asked")
     near = filtered(rows, "print", key_filter(asked.select("print"), "print"))
@@ -273,6 +283,7 @@ def _fetch(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             ("id", pa.int64()),
             ("at", pa.int64()),
             ("n", pa.int32()),
+            ("lead", pa.int32()),
             ("body", pa.binary()),
         ]
     )
@@ -287,7 +298,7 @@ def _fetch(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                 own = blob[offsets[k] : offsets[k + 1]].tobytes()
                 for one in asked.as_py():
                     body = own[one["at"] : one["at"] + one["n"] + LENGTH - 1]
-                    row = one["cls"], one["anchor"], id_, one["at"], one["n"], body
+                    row = one["cls"], one["anchor"], id_, one["at"], one["n"], one["lead"], body
                     for column, value in zip(out, row):
                         column.append(value)
                     held += len(body)
@@ -296,10 +307,9 @@ def _fetch(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                     out, held = [[] for _ in schema], 0
             yield _batch(out, schema)
 
-    kind = "cls bigint, anchor bigint, id bigint, at bigint, n int, body binary"
     # Repeated rows bring their segments twice.
-    return both.mapInArrow(cut, kind).groupBy("cls").agg(
-        *[F.any_value(c).alias(c) for c in ("anchor", "id", "at", "n", "body")]
+    return both.mapInArrow(cut, BODY).groupBy("cls").agg(
+        *[F.any_value(c).alias(c) for c in ("anchor", "id", "at", "n", "lead", "body")]
     )
 
 
@@ -340,8 +350,77 @@ def _by_suffix(bodies: DataFrame, keep_first: bool) -> DataFrame:
     return ordered.select("cls", "anchor", "n", "body").mapInArrow(read, "cls bigint, a bigint, b bigint")
 
 
+def _by_block(bodies: DataFrame, keep_first: bool) -> DataFrame:
+    """The same for anchors with very many different segments, by blocks of their strings."""
+    names = ("cls", "id", "at", "k", "n", "anchor", "s1", "s2", "body")
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    schema = pa.schema(list(zip(names, kinds)))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cls, id_, at, n, lead, body = (
+                batch.column(c).to_pylist() for c in ("cls", "id", "at", "n", "lead", "body")
+            )
+            if not cls:
+                continue
+            # String k lies lead - k bytes before the anchor; blocks are cut by that.
+            rows, whole, core = [], [], []
+            base = 0
+            for row in range(len(cls)):
+                for j in range((lead[row] - n[row] + 1) // STEP, lead[row] // STEP + 1):
+                    first = max(0, lead[row] - (j * STEP + STEP - 1))
+                    last = min(n[row] - 1, lead[row] - j * STEP)
+                    rows.append((row, first, last - first + 1, j))
+                    whole.append((base + first, base + last + LENGTH))
+                    # What the strings of a full block share.
+                    at_core = lead[row] - j * STEP
+                    core.append((base + at_core, base + at_core - STEP + 1 + LENGTH))
+                base += len(body[row])
+            data = np.frombuffer(b"".join(body), np.uint8)
+            w, c = np.array(whole), np.array(core)
+            s1, s2 = _print_spans(data, w[:, 0], w[:, 1])
+            anchor = _print_spans(data, c[:, 0], c[:, 1])[0]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([cls[r[0]] for r in rows], pa.int64()),
+                    pa.array([id_[r[0]] for r in rows], pa.int64()),
+                    pa.array([at[r[0]] + r[1] for r in rows], pa.int64()),
+                    pa.array([r[1] for r in rows], pa.int64()),
+                    pa.array([r[2] for r in rows], pa.int32()),
+                    pa.array(anchor),
+                    pa.array(s1),
+                    pa.array(s2),
+                    pa.array([body[r[0]][r[1] : r[1] + r[2] - 1 + LENGTH] for r in rows], pa.binary()),
+                ],
+                schema=schema,
+            )
+
+    kind = "cls bigint, id bigint, at bigint, k bigint, n int, anchor bigint, s1 bigint, s2 bigint, body binary"
+    blocks = bodies.select("cls", "id", "at", "n", "lead", "body").mapInArrow(cut, kind)
+    blocks = pinned(blocks.withColumn("bid", F.monotonically_increasing_id()), "blocks")
+    same = ["anchor", "s1", "s2", "n"]
+    rep = F.min(F.struct("id", "at", "cls", "bid")).alias("rep")
+    classes = blocks.groupBy(*same).agg(F.count(F.lit(1)).alias("times"), rep)
+    classes = pinned(classes, "block_classes")
+    copies = blocks.drop("body").join(classes.where("times > 1"), same)
+    if keep_first:
+        copies = copies.where(F.col("bid") != F.col("rep.bid"))
+    copies = copies.select("cls", F.col("k").alias("a"), (F.col("k") + F.col("n")).alias("b"))
+    many = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    reps = classes.join(many, "anchor").select(F.col("rep.bid").alias("bid"), "kinds")
+    own = blocks.drop("cls").join(reps, "bid").withColumnRenamed("bid", "cls")
+    own = pinned(own.select("cls", "anchor", "id", "at", "n", "body", "kinds"), "block_bodies")
+    inner = _by_suffix(own.where(F.col("kinds") <= HOT), keep_first).unionAll(
+        _by_string(own.where(F.col("kinds") > HOT), keep_first)
+    )
+    back = inner.withColumnRenamed("cls", "bid").join(blocks.select("bid", "cls", "k"), "bid")
+    return copies.unionAll(
+        back.select("cls", (F.col("k") + F.col("a")).alias("a"), (F.col("k") + F.col("b")).alias("b"))
+    )
+
+
 def _by_string(bodies: DataFrame, keep_first: bool) -> DataFrame:
-    """The same for anchors with very many different segments, one group per string."""
+    """The same with one group per string."""
     schema = pa.schema(
         [("cls", pa.int64()), ("k", pa.int64()), ("w1", pa.int64()), ("w2", pa.int64())]
     )
@@ -384,18 +463,20 @@ def repeated_spans(rows: DataFrame, keep_first: bool = False) -> DataFrame:
     own = key_filter(pinned(twice.select("anchor"), "anchors"), "anchor")
     found = pinned(segments(rows, own), "segments")
     rep = F.min(F.struct("id", "print", "at")).alias("rep")
-    classes = found.groupBy("anchor", "s1", "s2", "n").agg(F.count(F.lit(1)).alias("times"), rep)
+    classes = found.groupBy("anchor", "s1", "s2", "n", "lead").agg(
+        F.count(F.lit(1)).alias("times"), rep
+    )
     classes = pinned(
-        classes.select("anchor", "s1", "s2", "n", "times", "rep.*").withColumn(
+        classes.select("anchor", "s1", "s2", "n", "lead", "times", "rep.*").withColumn(
             "cls", F.monotonically_increasing_id()
         ),
         "segment_classes",
     )
     # Wholly repeated segments.
     whole = classes.where("times > 1").select(
-        "anchor", "s1", "s2", "n", F.struct("id", "print", "at").alias("rep")
+        "anchor", "s1", "s2", "n", "lead", F.struct("id", "print", "at").alias("rep")
     )
-    copies = found.join(whole, ["anchor", "s1", "s2", "n"])
+    copies = found.join(whole, ["anchor", "s1", "s2", "n", "lead"])
     if keep_first:
         copies = copies.where(
             ~F.struct("id", "print", "at").eqNullSafe(F.col("rep"))
@@ -406,10 +487,10 @@ def repeated_spans(rows: DataFrame, keep_first: bool = False) -> DataFrame:
     # Different segments of one anchor.
     many = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     wanted = classes.join(many, "anchor")
-    bodies = _fetch(rows, wanted.select("cls", "anchor", "id", "print", "at", "n"))
+    bodies = _fetch(rows, wanted.select("cls", "anchor", "id", "print", "at", "n", "lead"))
     bodies = pinned(bodies.join(many, "anchor"), "bodies")
     ranges_ = _by_suffix(bodies.where(F.col("kinds") <= HOT), keep_first).unionAll(
-        _by_string(bodies.where(F.col("kinds") > HOT), keep_first)
+        _by_block(bodies.where(F.col("kinds") > HOT), keep_first)
     )
     # Copies of a class that is wholly repeated are marked already, its first one if all go.
     places = classes if keep_first else classes.where("times = 1")

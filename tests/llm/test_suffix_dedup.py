@@ -52,9 +52,10 @@ def digests(df):
     return sorted([tuple(r) for r in suffix_dedup.digest(df).collect()], key=repr)
 
 
-@pytest.mark.parametrize("hot", [500, 3])
-def test_removes_what_counting_removes(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot,step", [(500, 8), (3, 8), (1, 5)])
+def test_removes_what_counting_removes(spark, monkeypatch, hot, step):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "STEP", step)
     rows = corpus()
     docs = spark.createDataFrame([(i, t, 1, "a") for i, t in rows], "doc_id bigint, text string, n int, at string")
     assert digests(suffix_dedup.suffix_dedup(docs)) == brute(rows)
