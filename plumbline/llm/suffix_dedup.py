@@ -38,7 +38,7 @@ LENGTH = 200
 GRAM = 48
 HOT = 500
 STEP = 8
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 _CODES = (kernels.byte_codes(b"", fold=False), kernels.mix(kernels.byte_codes(b"", fold=False)))
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 SEGMENT = (
@@ -82,7 +82,7 @@ def _tables(kind: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _print_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
     """Two 64-bit hashes of each span of the data."""
-    size = 1 << max(21, int(len(data)).bit_length())
+    size = 1 << max(20, int(len(data)).bit_length())
     out = []
     for kind in (0, 1):
         power, inverse = _tables(kind, size)
@@ -174,62 +174,54 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.
     """The starts in the order of the ``length`` bytes from them on, and which run of equal
     ones each belongs to (neighbours in suffix order with a common prefix of ``length``).
 
-    Prefix doubling: ranks of all places by 8, 16, 32 ... bytes; the last step overlaps.
-    ``data`` must reach ``length`` bytes beyond every start.
+    Prefix doubling: ranks of all places by their first few bytes, then by twice as many, and
+    so on; the last step overlaps. Keys are sorted with the place in their low bits, so that
+    sorting numbers is all there is to do, and runs stand in the order of the starts.
+    ``data`` must reach ``length`` bytes beyond every start. A block has fewer than 2^21 places.
     """
+    bits = np.uint64(max(len(data), len(starts)).bit_length())
+    if 3 * int(bits) > 63:
+        raise ValueError("too long a block for a suffix array")
+
+    def ordered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        packed = np.sort((keys << bits) | np.arange(len(keys), dtype=np.uint64))
+        order = (packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        packed >>= bits
+        return order, np.cumsum(np.r_[False, packed[1:] != packed[:-1]])
 
     def ranked(keys: np.ndarray) -> np.ndarray:
-        order = np.argsort(keys, kind="stable")
-        fresh = np.r_[False, keys[order][1:] != keys[order][:-1]]
+        order, run = ordered(keys)
         rank = np.empty(len(keys), np.uint64)
-        rank[order] = np.cumsum(fresh).astype(np.uint64)
+        rank[order] = run
         return rank
 
-    def ahead(rank: np.ndarray, by: int) -> np.ndarray:
-        out = np.zeros(len(rank), np.uint64)
+    def joined(by: int) -> np.ndarray:
+        """The rank of each place, followed by that of the place ``by`` bytes on."""
+        out = rank << bits
         if by < len(rank):
-            out[: len(rank) - by] = rank[by:] + np.uint64(1)
+            out[: len(rank) - by] |= rank[by:]
         return out
 
-    rank, depth = ranked(_words(data)), 8
+    depth = min(length, (64 - int(bits)) // 8)
+    rank = ranked(_words(data) >> np.uint64(8 * (8 - depth)))
     while depth * 2 <= length:
-        rank = ranked((rank << np.uint64(32)) | ahead(rank, depth))
+        rank = ranked(joined(depth))
         depth *= 2
-    keys = (rank << np.uint64(32)) | ahead(rank, length - depth)
-    order = np.argsort(keys[starts], kind="stable")
-    keys = keys[starts][order]
-    return order, np.cumsum(np.r_[False, keys[1:] != keys[:-1]])
-
-
-def nearest_smaller(values: np.ndarray) -> np.ndarray:
-    """Index of the nearest smaller value before each one, or -1. Pointers jump over larger ones."""
-    found = np.arange(len(values)) - 1
-    while True:
-        wrong = np.flatnonzero((found >= 0) & (values[np.maximum(found, 0)] > values))
-        if len(wrong) == 0:
-            return found
-        found[wrong] = found[found[wrong]]
+    return ordered(joined(length - depth)[starts])
 
 
-def factors(places: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def factors(run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per entry in suffix order: whether its longest previous factor, and its longest later
     one, reach the depth of the order.
 
-    ``places``: different text positions, in suffix order; ``run``: which entries share their
-    first bytes to that depth. The factor is the longer of the common prefixes with the previous
-    and the next smaller position.
+    The longest previous factor is the longer of the common prefixes with the previous and the
+    next smaller position in suffix order, and reaches the depth if one of these lies in the
+    entry's run. Runs stand in order of position: the neighbour before an entry is its previous
+    smaller position as long as it is in the run, and no smaller one follows there. For later
+    factors it is the other way round.
     """
-
-    def reach(values: np.ndarray) -> np.ndarray:
-        n = len(values)
-        before = nearest_smaller(values)
-        after = n - 1 - nearest_smaller(values[::-1])[::-1]
-        out = (before >= 0) & (run[np.maximum(before, 0)] == run)
-        return out | ((after < n) & (run[np.minimum(after, n - 1)] == run))
-
-    if len(places) == 0:
-        return np.zeros(0, bool), np.zeros(0, bool)
-    return reach(places), reach(-places)
+    same = run[1:] == run[:-1]
+    return np.r_[False, same][: len(run)], np.r_[same, False][: len(run)]
 
 
 def repeated_starts(parts: list[bytes], counts: list[int], keep_first: bool) -> list[list[tuple[int, int]]]:
@@ -244,7 +236,7 @@ def repeated_starts(parts: list[bytes], counts: list[int], keep_first: bool) ->
     inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     starts = begins[owner] + inner
     order, run = suffix_order(data, starts, LENGTH)
-    earlier, later = factors(starts[order], run)
+    earlier, later = factors(run)
     hit = earlier if keep_first else earlier | later
     found = np.zeros(len(starts), bool)
     found[order] = hit

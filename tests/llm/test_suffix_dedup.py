@@ -86,7 +86,7 @@ def test_suffix_order_and_factors():
         cut = [text[s : s + length] for s in starts[order]]
         assert cut == sorted(cut)
         assert all((a == b) == (x == y) for a, b, x, y in zip(cut, cut[1:], run, run[1:]))
-        earlier, later = suffix_dedup.factors(starts[order], run)
+        earlier, later = suffix_dedup.factors(run)
         for place, e, l in zip(starts[order], earlier, later):
             same = [s for s in starts if text[s : s + length] == text[place : place + length]]
             assert e == (min(same) < place) and l == (max(same) > place)
