@@ -4,8 +4,8 @@ Every document gets its counts (words, symbols, repeated lines, repeated word wi
 lines are normalised (A-Z lower-cased, white space collapsed) and hashed. For each host the
 distinct documents that have a line are counted, documents with the same normalised lines once; a line on
 more than ``share`` of the host's distinct documents, and on more than ``least`` of them, is
-above the limit and removed. A document that loses more than half its words to such lines, or
-is left with fewer than the fewest words a document may have, is depleted and rejected.
+above the limit and removed. A document that loses more than half its words to such lines is
+depleted and rejected; a short one that merely has such a line stays.
 
 Counts per host and line are pre-aggregated, so a host with a third of all documents is only
 as many counters as it has different lines.
@@ -200,7 +200,7 @@ def quality_rules(
     failed = (F.col("n_words") < MIN_WORDS) | (
         F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT
     )
-    depleted = (removed * 2 > F.col("n_words")) | (F.col("n_words") - removed < MIN_WORDS)
+    depleted = removed * 2 > F.col("n_words")
     return joined.select(
         F.col("id").alias("doc_id"),
         "n_words",
@@ -282,6 +282,6 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   (n_words < {MIN_WORDS} OR n_repeat_words * 100 > n_words * {MAX_REPEAT_PERCENT}) AS base_failed,
   CAST(removed_words AS BIGINT) AS removed_words,
   NOT (n_words < {MIN_WORDS} OR n_repeat_words * 100 > n_words * {MAX_REPEAT_PERCENT})
-    AND NOT (removed_words * 2 > n_words OR n_words - removed_words < {MIN_WORDS}) AS kept
+    AND NOT removed_words * 2 > n_words AS kept
 FROM counted
 """
