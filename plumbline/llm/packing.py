@@ -32,7 +32,7 @@ from plumbline.llm.tables import pinned, texts
 
 GROUP = 1 << 14  # pieces packed together
 ROUNDS = 6
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 PIECES = "id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 _UNEVEN = re.compile(r"\s\s|^\s|\s$")

@@ -13,6 +13,8 @@ from plumbline.llm.kernels import mix
 from plumbline.session import fresh_path, shared_folder
 
 PART = 1 << 14  # bytes of a folded array that one row carries
+BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
 MAX_BITS = 1 << 27  # of a row filter: 16 MB
 
 
@@ -24,8 +26,16 @@ def pinned(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows in an Arrow batch than Spark's default: rows are whole texts, and a batch is
+    held on both sides of every worker."""
+    if int(spark.conf.get(BATCH_KEY)) > BATCH_ROWS:
+        spark.conf.set(BATCH_KEY, BATCH_ROWS)
+
+
 def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text) of any table, free of its other columns; null text becomes empty."""
+    small_batches(docs.sparkSession)
     return docs.select(
         docs[id_col].cast("bigint").alias("id"),
         F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"),
