@@ -4,12 +4,17 @@ Three fixed kinds are matched by pattern. Every other long run of key characters
 two first-order Markov models over characters, one of random strings and one of ordinary words
 and identifiers; a run whose log-likelihood ratio per step exceeds a threshold is a span of
 kind ``markov``. The models are trained from samples the corpus labels itself: the values of
-the fixed kinds are random strings, and all runs of letters in all texts are ordinary. Counts
-are kept in one table of fixed size per model, over all texts. The labelled random strings are few
-and of few formats, so their model is mixed with even use of all key characters.
-
-Texts are read once for the fixed kinds and the candidate runs and once for the letter counts;
-the second decision works on the small table of candidates alone.
+the fixed kinds are random strings, and the runs of key characters of all texts are ordinary,
+apart from the fixed kinds and from candidates. Candidates are what is to be judged, and keys
+among them would teach the model that keys are ordinary; so a first model without any of them
+judges them, and those it does not flag are counted as well before the decision. Counts are kept
+in one table of fixed size per model, over all texts. The labelled random strings are few and of
+few formats, so their model is mixed with even use of all key characters. The ordinary model
+gives a fixed share of each row to steps it has not seen, so a verdict follows the shares of
+the steps and not the size of the input.
+
+Texts are read once for the fixed kinds and the candidate runs and once for the step counts;
+both decisions work on the small table of candidates alone.
 
 Defined cases: null text is empty; null and repeated ids are rows of their own; without any
 labelled random string the smoothed model alone decides; equal starts are listed in the order
@@ -36,6 +41,8 @@ MIN_RUN = 16
 THRESHOLD = 0.4  # nats a step
 SMOOTHING = 2.0
 EVEN = 0.25  # share of even use in the model of random strings
+UNSEEN = 0.05  # share of each row of the ordinary model that follows the characters' own shares
+UNSEEN_EVEN = 0.15  # share of even use in those
 
 # The formats, and the shortest length that counts.
 _ASSIGN = re.compile(
@@ -94,6 +101,20 @@ def candidate_runs(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[i
     return out
 
 
+def regions(text: str, spans: list[tuple[int, int]]) -> list[str]:
+    """The parts of a text that the spans cover, with the characters beside them: all steps that
+    begin or end in a span, each once."""
+    out, at, to = [], 0, -1
+    for start, end in [*sorted(spans), (len(text) + 2, 0)]:
+        if start > to:
+            if to >= 0:
+                out.append(text[max(at - 1, 0) : to + 1])
+            at, to = start, end
+        else:
+            to = max(to, end)
+    return out
+
+
 def _steps(runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(run, index of its two characters in a table) of every step inside the runs."""
     blob = np.frombuffer("\n".join(runs).encode("ascii", "replace"), np.uint8)
@@ -107,9 +128,8 @@ def _steps(runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ordinary_counts(rows: DataFrame) -> np.ndarray:
-    """Steps between two characters inside runs of letters, over all texts."""
+    """Steps between two key characters, over all texts."""
     size = SYMBOLS * SYMBOLS
-    letters = np.array([c.isalpha() for c in _LETTERS] + [False])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros(size, np.int64)
@@ -117,7 +137,9 @@ def ordinary_counts(rows: DataFrame) -> np.ndarray:
             blob, offsets = kernels.string_buffers(batch.column("text"))
             for a, b in kernels.spans_of(offsets):
                 place = _PLACE[blob[offsets[a] : offsets[b]]]
-                inside = letters[place[:-1]] & letters[place[1:]]
+                inside = (place[:-1] < SYMBOLS) & (place[1:] < SYMBOLS)
+                ends = offsets[a + 1 : b] - offsets[a] - 1
+                inside[ends[(ends >= 0) & (ends < len(inside))]] = False  # texts end there
                 pairs = (place[:-1] * SYMBOLS + place[1:])[inside]
                 total += np.bincount(pairs, minlength=size)
         return total
@@ -125,37 +147,77 @@ def ordinary_counts(rows: DataFrame) -> np.ndarray:
     return folded(rows.select("text"), fill, size, np.int64, np.add)
 
 
-def random_counts(found: DataFrame) -> np.ndarray:
-    """Steps inside the labelled random strings (column ``values``)."""
+def string_counts(found: DataFrame, column: str) -> np.ndarray:
+    """Steps inside the strings of a column of lists: the labelled random strings (``values``),
+    or what is apart from ordinary runs (``apart``)."""
     size = SYMBOLS * SYMBOLS
 
     def fill(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            runs = [v for own in batch.column("values").to_pylist() for v in own or []]
+            runs = [v for own in batch.column(column).to_pylist() for v in own or []]
             total += np.bincount(_steps(runs)[1], minlength=size)
         return total
 
-    return folded(found.select("values"), fill, size, np.int64, np.add)
+    return folded(found.select(column), fill, size, np.int64, np.add)
+
+
+def cleared_counts(found: DataFrame, ratios: np.ndarray, threshold: float) -> np.ndarray:
+    """Steps inside the candidates (``runs``) that the ratios do not flag."""
+    size = SYMBOLS * SYMBOLS
+    shared = found.sparkSession.sparkContext.broadcast(ratios)  # one number per character pair
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            runs = [r["text"] for own in batch.column("runs").to_pylist() for r in own or []]
+            run, pairs = _steps(runs)
+            clear = ~flagged(run, pairs, shared.value, len(runs), threshold)
+            total += np.bincount(pairs[clear[run]], minlength=size)
+        return total
+
+    return folded(found.select("runs"), fill, size, np.int64, np.add)
+
+
+def flagged(
+    run: np.ndarray, pairs: np.ndarray, ratios: np.ndarray, n: int, threshold: float
+) -> np.ndarray:
+    """Which of ``n`` runs with these steps have more than the threshold a step."""
+    total = np.bincount(run, ratios[pairs], minlength=n)
+    steps = np.bincount(run, minlength=n)
+    return (steps > 0) & (total > threshold * steps)
 
 
 def log_ratios(random: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
     """Log of P(next | this, random) / P(next | this, ordinary) for each pair of characters."""
+    table = random.reshape(SYMBOLS, SYMBOLS).astype(float)
+    # Few samples: lean on how often each character comes, and that on even use.
+    overall = (table.sum(axis=0) + 1) / (table.sum() + SYMBOLS)
+    own = table + SMOOTHING * SYMBOLS * overall
+    # Secrets of formats that the samples lack use the whole alphabet evenly.
+    mixed = (1 - EVEN) * own / own.sum(axis=1, keepdims=True) + EVEN / SYMBOLS
 
-    def chances(counts: np.ndarray) -> np.ndarray:
-        table = counts.reshape(SYMBOLS, SYMBOLS).astype(float)
-        # Few samples: lean on how often each character comes, and that on even use.
-        overall = (table.sum(axis=0) + 1) / (table.sum() + SYMBOLS)
-        own = table + SMOOTHING * SYMBOLS * overall
-        return own / own.sum(axis=1, keepdims=True)
+    # Shares alone, no counts: the same steps a hundred times as often give the same ratios.
+    table = ordinary.reshape(SYMBOLS, SYMBOLS).astype(float)
+    even = np.full(SYMBOLS, 1 / SYMBOLS)
+    overall = table.sum(axis=0) / table.sum() if table.any() else even
+    overall = (1 - UNSEEN_EVEN) * overall + UNSEEN_EVEN * even
+    sums = table.sum(axis=1, keepdims=True)
+    seen = np.where(sums > 0, table / np.maximum(sums, 1), overall)
+    return np.log(mixed / ((1 - UNSEEN) * seen + UNSEEN * overall)).ravel()
 
-    # Secrets of formats that the samples lack use the whole alphabet evenly.
-    mixed = (1 - EVEN) * chances(random) + EVEN / SYMBOLS
-    return np.log(mixed / chances(ordinary)).ravel()
+
+def models(rows: DataFrame, found: DataFrame, threshold: float) -> np.ndarray:
+    """The log ratios for the texts ``rows`` and what was found in them."""
+    random = string_counts(found, "values")
+    ordinary = ordinary_counts(rows) - string_counts(found, "apart")
+    first = log_ratios(random, ordinary)
+    return log_ratios(random, ordinary + cleared_counts(found, first, threshold))
 
 
 def scan(rows: DataFrame) -> DataFrame:
-    """id, base (spans), values, runs (candidates) and their texts, per row."""
+    """id, base (spans), values, runs (candidates) and their texts, and the parts apart from
+    ordinary runs, per row."""
     span = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
     run = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("text", pa.string())])
     schema = pa.schema(
@@ -164,6 +226,7 @@ def scan(rows: DataFrame) -> DataFrame:
             ("base", pa.list_(span)),
             ("values", pa.list_(pa.string())),
             ("runs", pa.list_(run)),
+            ("apart", pa.list_(pa.string())),
         ]
     )
 
@@ -174,6 +237,7 @@ def scan(rows: DataFrame) -> DataFrame:
             base: list[list] = [[]] * n
             values: list[list] = [[]] * n
             runs: list[list] = [[]] * n
+            apart: list[list] = [[]] * n
             # A key character run as long as any kind needs; values of 12 follow a keyword.
             for chunk in kernels.chunks(column, _RUN_CODES):
                 long = np.flatnonzero(chunk.ends - chunk.starts >= MIN_RUN)
@@ -189,23 +253,24 @@ def scan(rows: DataFrame) -> DataFrame:
                     own = base_spans(text)
                     base[at] = [{"start": a, "kind": kind, "end": b} for a, kind, b in own]
                     values[at] = values_of(text, own)
-                    runs[at] = [
-                        {"start": a, "end": b, "text": text[a:b]}
-                        for a, b in candidate_runs(text, own)
-                    ]
+                    tried = candidate_runs(text, own)
+                    runs[at] = [{"start": a, "end": b, "text": text[a:b]} for a, b in tried]
+                    apart[at] = regions(text, tried + [(a, b) for a, _, b in own])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
                     pa.array(base, schema.field("base").type),
                     pa.array(values, schema.field("values").type),
                     pa.array(runs, schema.field("runs").type),
+                    pa.array(apart, schema.field("apart").type),
                 ],
                 schema=schema,
             )
 
     kind = (
         "id bigint, base array<struct<start: bigint, kind: int, end: bigint>>, "
-        "values array<string>, runs array<struct<start: bigint, end: bigint, text: string>>"
+        "values array<string>, runs array<struct<start: bigint, end: bigint, text: string>>, "
+        "apart array<string>"
     )
     return rows.mapInArrow(look, kind)
 
@@ -222,7 +287,7 @@ def secret_spans(
     """
     rows = texts(docs, id_col, text_col)
     found = pinned(scan(rows), "scanned")
-    ratios = log_ratios(random_counts(found), ordinary_counts(rows))
+    ratios = models(rows, found, threshold)
     shared = docs.sparkSession.sparkContext.broadcast(ratios)  # one number per character pair
     span = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
     schema = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(span))])
@@ -234,11 +299,10 @@ def secret_spans(
             runs = batch.column("runs").to_pylist()
             flat = [(k, r["start"], r["end"], r["text"]) for k, own in enumerate(runs) for r in own]
             run, pairs = _steps([r[3] for r in flat])
-            total = np.bincount(run, table[pairs], minlength=len(flat))
-            steps = np.bincount(run, minlength=len(flat))
+            over = flagged(run, pairs, table, len(flat), threshold)
             spans = [[(s["start"], s["kind"], s["end"]) for s in own] for own in batch.column("base").to_pylist()]
-            for (k, start, end, _), score, n in zip(flat, total, steps):
-                if n and score > threshold * n:
+            for (k, start, end, _), secret in zip(flat, over):
+                if secret:
                     spans[k].append((start, markov, end))
             shown = [
                 [{"start": a, "kind": kind, "end": b} for a, kind, b in sorted(own)] for own in spans
