@@ -38,3 +38,27 @@ def test_odd_rows_match_the_oracle(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string, source string")
     assert quality.quality_rules(docs).count() == 0
+
+
+def test_texts_without_shared_lines(spark):
+    data = rows() + [(400, "\n\n shared line OF the host \n\n  keep  me\n\nShared line of the host", "a")]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, source string")
+    got = quality.without_limited_lines(docs)
+    assert got.columns == ["doc_id", "text", "removed_words"]
+    boiler = " ".join(f"b{j}" for j in range(60))
+    gone = {("a", "shared line of the host"), ("c", boiler)}
+
+    def plain(text, host):
+        lines = [] if text is None else text.split("\n")
+        keep = [x for x in lines if (host, " ".join(x.lower().split(" ")).strip().replace("  ", " ")) not in gone]
+        return None if text is None else "\n".join(keep)
+
+    want = [(k, plain(t, h), len((t or "").split()) - len((plain(t, h) or "").split())) for k, t, h in data]
+    order = lambda r: tuple(str(x) for x in r)
+    assert sorted((tuple(r) for r in got.collect()), key=order) == sorted(want, key=order)
+    by = {r.doc_id: r.text for r in got.collect()}
+    assert by[400] == "\n\n\n  keep  me\n" and by[300] is None and by[5].startswith("w5x0")
+    removed = {(r.doc_id, r.removed_words) for r in quality.quality_rules(docs).collect()}
+    assert removed == {(r[0], r[2]) for r in want}
+    empty = spark.createDataFrame([], docs.schema)
+    assert quality.without_limited_lines(empty).count() == 0
