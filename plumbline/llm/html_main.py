@@ -55,6 +55,7 @@ SIDE_WORDS = set(
     "reply disqus widget widgets pagination pager copyright legal hidden skip tags".split()
 )
 SIDE_ROLES = set("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
+REST = 0.1  # share of the text around a container that is not left out
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([A-Za-z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)(?:>|\Z)"
@@ -218,8 +219,10 @@ def _named(path: str, tag: str) -> str:
 def best_path(blocks: list[tuple[str, str, int]]) -> str | None:
     """The path with the highest score; one in an element for articles beats what surrounds it.
 
-    Of nested articles the outer one is taken. Elsewhere a container that adds text of its own,
-    such as a headline, to one that holds most of its text is taken in its place.
+    Of nested articles the outer one is taken. Elsewhere a container gives way to the nearest one
+    around it that adds text of its own, such as a headline, or in which other containers, such
+    as further sections, hold a relevant share; nothing is taken from outside a main element, and
+    the whole page only for such a share.
     """
     scores, owned = path_scores(blocks)
     if not scores:
@@ -231,12 +234,17 @@ def best_path(blocks: list[tuple[str, str, int]]) -> str | None:
     if outer := _named(path, "article"):
         return outer
     total = lambda root: sum(n for p, n in owned.items() if _within(p, root))
-    while True:
-        above = path.rpartition("/")[0]
-        step = above.rpartition("/")[2].split(".")[0]
-        if step in ("", "body") or not owned.get(above) or total(path) < 0.6 * total(above):
-            return path
-        path = above
+    main = _named(path, "main")
+    own, above = total(path), path
+    while above and above != main:
+        above = above.rpartition("/")[0]
+        page = above.rpartition("/")[2].split(".")[0] in ("", "body")
+        whole = total(above)
+        if own <= (1 - REST) * whole or (owned.get(above) and not page):
+            path, own = above, whole
+        if page:
+            break
+    return path
 
 
 def _within(path: str, root: str) -> bool:

@@ -57,6 +57,24 @@ def test_headline_beside_the_body_stays():
     assert alone(f"<body><div class='content'>{inner}</div><div class='extra'><p>no</p></div>") == text
 
 
+def test_sections_without_an_article_stay_together(spark):
+    one, two, three = (f"{name} " + TEXT * n for name, n in (("One", 12), ("Two", 5), ("Three", 3)))
+    parts = [f"<section class='{c}'><p>{t}</p></section>" for c, t in zip(("intro", "more", "end"), (one, two, three))]
+    whole = "\n".join(t.strip() for t in (one, two, three))
+    side = "<nav><ul><li>Home</ul></nav>", "<div class='extra'><p>no</p></div><footer>foot</footer>"
+    post = f"<body>{side[0]}<div class='post'>{''.join(parts)}</div>{side[1]}"
+    wrapped = f"<body>{side[0]}<div class='post'>{''.join(f'<div><div>{p}</div></div>' for p in parts)}</div>{side[1]}"
+    lead = f"<div class='lead'><p>{two}</p></div><div class='text'><p>{one}</p></div>"
+    led = f"{two.strip()}\n{one.strip()}"
+    for page in (post, wrapped, post.replace("<body>", "")):
+        assert alone(page) == whole, page
+    for page in (f"<body>{side[0]}{lead}<footer>f</footer>", lead, f"<body><div class='a'>{lead}</div>{side[1]}"):
+        assert alone(page) == led, page
+    assert alone(f"<body><main>{lead}</main><div class='x'><p>{three}</p></div>") == led
+    pages = spark.createDataFrame([(k, f"http://h/{k}", post) for k in range(4)], "page_id bigint, url string, html string")
+    assert {r.text for r in html_main.main_text(pages).collect()} == {whole}
+
+
 def test_cut_and_odd_pages():
     assert alone("") == "" and alone("   ") == ""
     assert alone("only text") == "only text"
