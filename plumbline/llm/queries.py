@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import (
+    alignment,
     decontaminate,
     html_main,
     ngram_join,
     packing,
+    piece_codec,
     quality,
     secrets,
     suffix_dedup,
     toxicity,
     url_filter,
     warc,
+    whitening,
 )
 from plumbline.llm.url_filter import rule
 from plumbline.sources.tables import load
@@ -77,6 +80,20 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.main_text(load(spark, sf_dir, "pages"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(load(spark, sf_dir, "embeddings"), 4)
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return piece_codec.digest(piece_codec.round_trip(docs, tokenizer_path("piece_bpe_32k.model")))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return alignment.alignment(docs, tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -88,6 +105,9 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_warc": op9_warc,
     "op10_html_extraction": op10_html_extraction,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_sentencepiece": op12_sentencepiece,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 ORACLES: dict[str, str] = {
     "op4_url_filters": url_filter.oracle(URL_RULES),
