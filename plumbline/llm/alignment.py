@@ -23,10 +23,11 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, compress, islice
 from typing import NamedTuple
 
 import numpy as np
@@ -38,11 +39,15 @@ from plumbline.llm.packing import word_merger
 from plumbline.llm.tables import pinned, texts
 from plumbline.sources.tables import spread
 
-CACHED_WORDS = 200_000
+CACHED_WORDS = 400_000
 LONGEST_CACHED = 40  # characters
 BROADCAST_PAIRS = 1 << 18  # id pairs with their counts: some 20 MB
 
 _UNEVEN = re.compile(r"\s\s|^\s|\s$")
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+_MARKS = r"!-&(-/:-@\[-`{-~"  # signs, without the apostrophe, which may begin a token of letters
+#: Between a letter and a sign.
+_SIGNS = re.compile(f"(?<=[{_LETTERS}])(?=[{_MARKS}])|(?<=[{_MARKS}])(?=[{_LETTERS}])")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
@@ -81,22 +86,23 @@ def shared_groups(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int,
 
 
 class Aligned(NamedTuple):
-    """A stretch of text. ``pairs``: (a << 32 | b, links)."""
+    """A stretch of text. ``pairs``: (a << 32 | b, links), in any order."""
 
     n_a: int
     n_b: int
     n_groups: int
     n_links: int
     groups: str
-    pairs: tuple[tuple[int, int], ...]
+    pairs: list[tuple[int, int]]
     same: bool  # the tokens give back the text
 
 
-NOTHING = Aligned(0, 0, 0, 0, "", (), True)
-
-
 class Aligner(dict):
-    """Words by what stands before them: a line end at their own start, else a space."""
+    """Numbers of words, and the alignment of each number.
+
+    A word is named by its text after a space, or with a line end at its start. Words that
+    come once or beyond ``CACHED_WORDS`` are forgotten after each batch.
+    """
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
@@ -110,82 +116,152 @@ class Aligner(dict):
         library = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.encode_b = library.encode
         self.lead_b = library.piece_to_id("▁")
-        size = library.get_piece_size()
-        pieces = map(library.id_to_piece, range(size))
+        pieces = list(map(library.id_to_piece, range(library.get_piece_size())))
         self.bytes_b = [
             bytes([int(p[3:5], 16)]) if library.is_byte(k) else p.replace("▁", " ").encode()
             for k, p in enumerate(pieces)
         ]
-        self.shown = list(map(str, range(max(len(self.bytes_a), size))))
-
-    def __missing__(self, word: str) -> Aligned:
-        made = self.stretch(word if word[:1] == "\n" else " " + word)
-        if len(word) <= LONGEST_CACHED and len(self) < CACHED_WORDS:
-            self[word] = made
-        return made
-
-    def stretch(self, text: str) -> Aligned:
-        """Alignment of a text that starts with a space, or a line end that follows a word."""
+        #: Whether the second tokenizer, like the first, cuts between letters and signs.
+        normal = [p for k, p in enumerate(pieces) if not (library.is_byte(k) or library.is_control(k))]
+        self.splits = not any(_SIGNS.search(p) for p in normal if p != "<unk>")
+        self.parts: dict[tuple[str, bool], Aligned] = {}
+        self.groups: list[str] = []
+        self.numbers: list[tuple[int, int, int, int, bool, int]] = []  # the last: its pairs
+        self.keys, self.links = array("q"), array("q")
+        self.kept = 0
+        self.seen = bytearray(1 << 22)
+
+    def __missing__(self, word: str | tuple[str]) -> int:
+        made = self.word(word if word[:1] == "\n" else " " + word) if isinstance(word, str) else self.stretch(*word)
+        number = self[word] = len(self.groups)
+        self.groups.append(made.groups)
+        self.numbers.append((*made[:4], made.same, len(made.pairs)))
+        self.keys.extend([key for key, _ in made.pairs])
+        self.links.extend([links for _, links in made.pairs])
+        return number
+
+    def forget(self) -> None:
+        """Of the words that are new since the last call, keeps those met before it as well, up
+        to CACHED_WORDS in all; rare words would fill the memory and not come again."""
+        tail = list(islice(self, self.kept, None))
+        rows = self.numbers[self.kept :]
+        keep = []
+        for word in tail:
+            at = hash(word) & (len(self.seen) - 1)
+            keep.append(self.seen[at] and isinstance(word, str) and len(word) <= LONGEST_CACHED)
+            self.seen[at] = 1
+            del self[word]
+        keep = np.array(keep, bool)
+        keep &= np.cumsum(keep) <= CACHED_WORDS - self.kept
+        sizes = np.array([row[5] for row in rows], np.int64)
+        chosen = np.repeat(keep, sizes)
+        start = len(self.keys) - len(chosen)
+        for column in (self.keys, self.links):
+            kept = np.array(column[start:], np.int64)[chosen].tobytes()
+            del column[start:]
+            column.frombytes(kept)
+        groups = self.groups[self.kept :]
+        del self.groups[self.kept :], self.numbers[self.kept :]
+        self.groups.extend(compress(groups, keep))
+        self.numbers.extend(compress(rows, keep))
+        for word in compress(tail, keep):
+            self[word] = self.kept
+            self.kept += 1
+
+    def word(self, text: str) -> Aligned:
+        """A word from its letters and signs, which are remembered."""
+        parts = _SIGNS.split(text) if self.splits else [text]
+        if len(parts) == 1:
+            return self.stretch(text)
+        found = []
+        for at, part in enumerate(parts):
+            made = self.parts.get((part, at > 0))
+            if made is None:
+                made = self.stretch(part, at > 0)
+                if len(part) <= LONGEST_CACHED and len(self.parts) < CACHED_WORDS // 4:
+                    self.parts[part, at > 0] = made
+            found.append(made)
+        pairs: dict[int, int] = {}
+        for made in found:
+            for key, links in made.pairs:
+                pairs[key] = pairs.get(key, 0) + links
+        sums = [sum(column) for column in list(zip(*found))[:4]]
+        groups = ";".join([made.groups for made in found])
+        return Aligned(*sums, groups, list(pairs.items()), all(made.same for made in found))
+
+    def stretch(self, text: str, inner: bool = False) -> Aligned:
+        """Alignment of a text that starts with a space or a line end, or stands inside a word."""
         ids_a = self.encode_a(text)
-        if text[0] == " ":
+        if inner:  # the library puts a space before, and a line end is a token of its own
+            ids_b = self.encode_b("\n" + text)[2:]
+        elif text[0] == " ":
             ids_b = self.encode_b(text[1:]) if len(text) > 1 else [self.lead_b]
-        else:  # the library puts a space before the line end: a token of its own
+        else:
             ids_b = self.encode_b(text)[1:]
         bytes_a, bytes_b = [self.bytes_a[k] for k in ids_a], [self.bytes_b[k] for k in ids_b]
         whole = text.encode()
         if b"".join(bytes_a) != whole or b"".join(bytes_b) != whole:
-            return NOTHING._replace(same=False)
-        groups, pairs, n_links, shown = [], {}, 0, self.shown
+            return Aligned(0, 0, 0, 0, "", [], False)
+        groups, pairs, n_links = [], {}, 0
         ends_a, ends_b = list(accumulate(map(len, bytes_a))), list(accumulate(map(len, bytes_b)))
         for a0, a1, b0, b1 in shared_groups(ends_a, ends_b):
+            if a1 - a0 == 1 == b1 - b0:
+                a, b = ids_a[a0], ids_b[b0]
+                groups.append(f"{a}|{b}")
+                n_links += 1
+                pairs[a << 32 | b] = pairs.get(a << 32 | b, 0) + 1
+                continue
             own_a, own_b = ids_a[a0:a1], ids_b[b0:b1]
-            groups.append(
-                ",".join([shown[k] for k in own_a]) + "|" + ",".join([shown[k] for k in own_b])
-            )
+            groups.append(",".join(map(str, own_a)) + "|" + ",".join(map(str, own_b)))
             n_links += len(own_a) * len(own_b)
-            if len(own_a) + len(own_b) > 50:  # a long stretch may repeat few ids very often
-                own_a, own_b = Counter(own_a), Counter(own_b)
-                for a, times in own_a.items():
-                    for b, others in own_b.items():
-                        pairs[a << 32 | b] = pairs.get(a << 32 | b, 0) + times * others
-                continue
-            for a in own_a:
-                for b in own_b:
-                    pairs[a << 32 | b] = pairs.get(a << 32 | b, 0) + 1
+            # A long group may repeat few ids very often.
+            own_b = list(Counter(own_b).items())
+            for a, times in Counter(own_a).items():
+                for b, others in own_b:
+                    pairs[a << 32 | b] = pairs.get(a << 32 | b, 0) + times * others
         return Aligned(
-            len(ids_a), len(ids_b), len(groups), n_links, ";".join(groups), tuple(pairs.items()), True
+            len(ids_a), len(ids_b), len(groups), n_links, ";".join(groups), list(pairs.items()), True
         )
 
-    def stretches(self, text: str) -> list[Aligned]:
+    def words(self, text: str) -> list[str | tuple[str]]:
+        """The text, after a space, cut where both tokenizers surely cut. Words come without
+        the space before them; stretches with white space of another kind as tuples."""
+        if not text:
+            return []
         if not _UNEVEN.search(text):
-            return list(map(self.__getitem__, text.replace("\n", " \n").split(" ")))
+            return text.replace("\n", " \n").split(" ")
+        return [
+            (part,) if part[0] == " " and part[1:2].isspace() or part == " " else part.removeprefix(" ")
+            for part in _CUT.split(" " + text)
+        ]
+
+    def aligned(self, texts: list[str]) -> list[Aligned]:
+        """Alignments of whole texts, each after a space. ``pairs`` are two arrays, of keys in
+        order and of links."""
+        numbers = [list(map(self.__getitem__, self.words(text))) for text in texts]
+        facts = np.array(self.numbers, np.int64).reshape(-1, 6)
+        keys, links = np.frombuffer(self.keys, np.int64), np.frombuffer(self.links, np.int64)
+        starts = np.cumsum(facts[:, 5]) - facts[:, 5]
         out = []
-        for part in _CUT.split(" " + text):
-            even = part[0] == "\n" or not part[1:2].isspace()
-            out.append(self[part.removeprefix(" ")] if even else self.stretch(part))
+        for own in numbers:
+            rows = np.array(own, np.int64)
+            counts = facts[rows]
+            if not counts[:, 4].all():
+                own, rows, counts = [], rows[:0], counts[:0]
+            sizes = counts[:, 5]
+            at = np.repeat(starts[rows] - (np.cumsum(sizes) - sizes), sizes)
+            at += np.arange(len(at))
+            order = np.argsort(keys[at], kind="stable")
+            found, times = keys[at][order], links[at][order]
+            first = np.flatnonzero(np.diff(found, prepend=-1))
+            found, times = found[first], np.add.reduceat(times, first) if len(first) else times
+            sums = counts[:, :4].sum(0).tolist()
+            groups = ";".join(map(self.groups.__getitem__, own))
+            out.append(Aligned(*sums, groups, (found, times), True))
+        del keys, links  # a view of an array forbids its change
+        self.forget()
         return out
 
-    def __call__(self, text: str) -> Aligned:
-        """A whole text after a space; the groups are joined."""
-        if not text:
-            return NOTHING
-        parts = self.stretches(text)
-        if not all(part.same for part in parts):
-            return NOTHING
-        words = {id(part): part for part in parts}
-        n_a = n_b = n_groups = n_links = 0
-        pairs: dict[int, int] = {}
-        for word, times in Counter(map(id, parts)).items():
-            own_a, own_b, own_groups, own_links, _, own_pairs, _ = words[word]
-            n_a += own_a * times
-            n_b += own_b * times
-            n_groups += own_groups * times
-            n_links += own_links * times
-            for pair, links in own_pairs:
-                pairs[pair] = pairs.get(pair, 0) + links * times
-        groups = ";".join([part.groups for part in parts])
-        return Aligned(n_a, n_b, n_groups, n_links, groups, tuple(pairs.items()), True)
-
 
 @functools.lru_cache(maxsize=1)
 def aligner_at(path_a: str, path_b: str) -> Aligner:
@@ -221,16 +297,14 @@ def aligned_groups(
         aligner = aligner_at(path_a, path_b)
         for batch in batches:
             sums, groups, pairs, links = [], [], [], []
-            for text in batch.column("text"):
-                made = aligner(text.as_py())
+            for made in aligner.aligned(batch.column("text").to_pylist()):
                 sums.append(made[:4])
                 shown = made.groups
                 if hashed and shown:
                     shown = hashlib.sha256(shown.encode()).hexdigest()
                 groups.append(shown)
-                own = np.array(sorted(made.pairs), np.int64).reshape(-1, 2)
-                pairs.append(own[:, 0])
-                links.append(own[:, 1])
+                pairs.append(made.pairs[0])
+                links.append(made.pairs[1])
             columns = np.array(sums, np.int64).reshape(-1, 4).T
             yield pa.RecordBatch.from_arrays(
                 [

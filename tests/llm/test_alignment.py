@@ -108,13 +108,13 @@ def test_odd_texts_one_by_one():
     for _ in range(1500):
         letters = rng.choice(["  aab c\n\t", "▁ ab", "日本 é①́b\x00", "thequickbrown  ", "12 ,.;:'\"\x1c\x85\xa0\n"])
         made.append("".join(rng.choice(letters) for _ in range(rng.randint(0, 50))))
-    for text in [t or "" for t in TEXTS] + made:
+    made += [t or "" for t in TEXTS] + [f"'s {x}don't(a_b)x's.y,{x};z" for x in "aé×1²"]
+    for text, got in zip(made, aligner.aligned(made)):
         want = plain.groups(text)
-        got = aligner(text)
         shown = ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in want)
         assert got.groups == shown, text
         links = Counter(x << 32 | y for a, b in want for x in a for y in b)
-        assert dict(got.pairs) == links and got.n_links == sum(links.values())
+        assert dict(zip(*(a.tolist() for a in got.pairs))) == links and got.n_links == sum(links.values())
 
 
 @pytest.mark.parametrize("broadcast", [1 << 18, 20, 0])
@@ -127,6 +127,18 @@ def test_odd_rows(spark, monkeypatch, broadcast):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_memory_of_words_may_be_full(monkeypatch):
+    monkeypatch.setattr(alignment, "CACHED_WORDS", 7)
+    small, aligner = alignment.Aligner(PATH_A, PATH_B), alignment.Aligner(PATH_A, PATH_B)
+    texts = ["one, two, three four five six seven eight nine", "", "nine, ten one\neleven", "one  two"]
+    for _ in range(3):
+        for text in texts:
+            assert str(small.aligned([text])) == str(aligner.aligned([text]))
+            assert len(small) == len(small.groups) == len(small.numbers) == small.kept <= 7
+    assert small.kept == 7 and sorted(small.values()) == list(range(7))
+    assert len(small.keys) == sum(row[5] for row in small.numbers)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert alignment.alignment(docs, PATH_A, PATH_B).count() == 0
