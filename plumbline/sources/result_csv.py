@@ -11,50 +11,15 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.grading import cells_of_text
 from plumbline.session import fresh_path
+from plumbline.sources.csv_records import read_records
 from plumbline.sources.paths import file_path, or_empty, stem
 
 NO_COLUMNS = "No columns to parse from file"
-TOO_WIDE = "Error tokenizing data"
+BROKEN = "Error tokenizing data"
 # Fixed value: a gold file is named by its id and, for a further answer, a digit or letter.
 VARIANT = r"^(.+)_([0-9a-z])$"
 
 
-QUOTED = r'"(?:[^"]|"")*"'
-# Columns read beyond the widest header.
-GUARDS = 4
-RECORD_SCHEMA = "file STRING, i BIGINT, values ARRAY<STRING>"
-
-
-def _reader(spark: SparkSession):
-    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
-
-
-def _headers(spark: SparkSession, path: str) -> DataFrame:
-    """file, n_cols: columns of the first line of each file, counted outside quotes."""
-    lines = or_empty(
-        spark,
-        "value STRING, file STRING, block BIGINT",
-        lambda: _reader(spark).text(path).select(
-            "value",
-            file_path().alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-        ),
-    )
-    bare = F.regexp_replace("value", QUOTED, "")
-    numbered = lines.select(
-        _plain_path(F.col("file")).alias("file"),
-        "block",
-        F.monotonically_increasing_id().alias("i"),
-        (F.regexp_count(bare, F.lit(",")) + 1).alias("n_cols"),
-        (F.trim("value") != "").alias("filled"),
-    )
-    first = numbered.groupBy("file").agg(
-        F.min_by("n_cols", F.struct("block", "i")).alias("n_cols"),
-        F.max("filled").alias("filled"),
-    )
-    return first.select("file", F.when(F.col("filled"), F.col("n_cols")).otherwise(0).alias("n_cols"))
-
-
 def _plain_path(file: Column) -> Column:
     return F.regexp_replace(file, "^file:/+", "/")
 
@@ -65,66 +30,31 @@ def _saved(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _records(spark: SparkSession, path: str, width: int) -> DataFrame:
-    """All records as text, the header among them, with file and position in the file.
-
-    Positions are given in one scan and written with the values, so that whatever is made of
-    them later sees the same ones. Columns beyond the widest header show that a record is too
-    wide.
-    """
-    columns = [f"c{i}" for i in range(width + GUARDS)]
-    rows = (
-        _reader(spark)
-        .schema(", ".join(f"{c} STRING" for c in columns))
-        .option("multiLine", True)
-        .option("escape", '"')
-        .csv(path)
-    )
-    return _saved(
-        spark,
-        rows.select(
-            _plain_path(file_path()).alias("file"),
-            F.monotonically_increasing_id().alias("i"),
-            F.array(*columns).alias("values"),
-        ),
-        "csv-records",
-    )
-
-
 def _read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(files, records): one row per file with its shape, one per record."""
+    rows, broken = read_records(spark, path)
     # Spark's listing, on the driver in any case, knows empty files too, which no reader shows.
-    names = or_empty(spark, "value STRING", lambda: _reader(spark).text(path)).inputFiles()
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
+    names = or_empty(spark, "value STRING", lambda: reader.text(path)).inputFiles()
     decoded = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
     listing = spark.createDataFrame([(n,) for n in names], "path STRING").select(
         decoded.alias("path")
     )
-    headers = _saved(spark, _headers(spark, path), "csv-headers")
-    widest = headers.agg(F.max("n_cols")).first()[0]
-    if widest is None:
-        rows = spark.createDataFrame([], RECORD_SCHEMA)
-    else:
-        rows = _records(spark, path, widest)
     filled = F.transform("values", lambda v, k: F.when(v.isNotNull(), k + 1).otherwise(0))
-    shapes = (
-        rows.withColumn("used", F.array_max(filled))
-        .groupBy("file")
-        .agg(
-            F.max("used").alias("widest"),
-            F.min("i").alias("head"),
-            (F.count(F.lit(1)) - 1).alias("n_rows"),
-        )
+    shapes = rows.groupBy("file").agg(
+        F.max(F.when(F.col("i") == 1, F.size("values"))).alias("n_cols"),
+        F.max(F.array_max(filled)).alias("widest"),
+        (F.max("i") - 1).alias("n_rows"),
     )
     earlier = Window.partitionBy("name").orderBy("file").rowsBetween(
         Window.unboundedPreceding, -1
     )
     known = (
         listing.select(_plain_path(F.col("path")).alias("file"))
-        .join(headers, "file", "left")
         .join(shapes, "file", "left")
+        .join(broken.withColumn("open", F.lit(True)), "file", "left")
         .withColumn("name", stem(F.col("file"), "csv"))
         .withColumn("offset", F.coalesce(F.sum("n_rows").over(earlier), F.lit(0)))
-        .withColumn("n_cols", F.when(F.col("head").isNull(), 0).otherwise(F.col("n_cols")))
     )
     # One row per file, kept so that shapes are not counted again with every use.
     return _saved(spark, known, "csv-files"), rows
@@ -133,8 +63,8 @@ def _read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def _tables(files: DataFrame) -> DataFrame:
     """One row per result: shape, and why it cannot be read."""
     n_cols = F.max("n_cols")
-    too_wide = F.max(F.col("widest") > F.col("n_cols"))
-    error = F.when(F.coalesce(n_cols, F.lit(0)) == 0, NO_COLUMNS).when(too_wide, TOO_WIDE)
+    bad = F.max(F.coalesce(F.col("open"), F.col("widest") > F.col("n_cols")))
+    error = F.when(bad, BROKEN).when(F.coalesce(n_cols, F.lit(0)) == 0, NO_COLUMNS)
     return files.groupBy("name").agg(
         F.coalesce(F.sum("n_rows"), F.lit(0)).cast("bigint").alias("n_rows"),
         F.coalesce(n_cols, F.lit(0)).cast("int").alias("n_cols"),
@@ -146,14 +76,12 @@ def _tables(files: DataFrame) -> DataFrame:
 def _cells(files: DataFrame, rows: DataFrame, tables: DataFrame) -> DataFrame:
     """Cells of the readable results; the files side has one row per file."""
     good = files.join(tables.filter("readable").select("name"), "name", "left_semi")
-    spread = rows.join(good.select("file", "name", "n_cols", "offset", "head"), "file").filter(
-        "i > head"
-    )
+    spread = rows.join(good.select("file", "name", "n_cols", "offset"), "file").filter("i > 1")
     return cells_of_text(
         spread.select(
             F.col("name").alias("instance_id"),
             F.lit(0).alias("variant"),
-            (F.col("offset") + F.col("i") - F.col("head") - 1).alias("row_idx"),
+            (F.col("offset") + F.col("i") - 2).alias("row_idx"),
             F.posexplode(F.slice("values", F.lit(1), F.col("n_cols"))).alias("col_idx", "raw"),
         )
     )
