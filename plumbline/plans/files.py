@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import grading as G
 from plumbline.plans import context, grading
 from plumbline.session import fresh_path
-from plumbline.sources import questions, result_csv
+from plumbline.sources import csv_records, packed_results, questions
 from plumbline.sources.tables import derive, plain
 
 
@@ -48,40 +48,50 @@ STANDARDS_SQL = plain(
 )
 
 
-def _write_results(rows: DataFrame, name, columns: list[str], path: str) -> None:
-    """One folder ``inst=<name>.csv`` per result, its rows in order of ``pos``."""
-    named = rows.select(name.alias("inst"), "pos", *columns)
-    ordered = named.repartition("inst").sortWithinPartitions("inst", "pos")
-    ordered.drop("pos").write.partitionBy("inst").option("header", True).option(
-        "escape", '"'
-    ).csv(path)
+def _stored(rows: DataFrame, columns: list[str], path: str, variant: str | None = None) -> None:
+    named = rows.withColumn("inst", F.concat(F.lit("inst="), F.col("inst").cast("string")))
+    records = packed_results.records_of(named, "inst", "pos", columns, variant)
+    packed_results.store(path, 0, records, packed_results.headers_of(records, columns))
 
 
 def grade_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Status of every instance, with predictions, golds and standards read from files."""
+    """Status of every instance, with predictions and golds from packed stores and standards
+    from a file."""
     predicted, golds = fresh_path(spark, "predicted"), fresh_path(spark, "golds")
-    inst = F.col("inst").cast("string")
-    _write_results(
-        derive(spark, sf_dir, grading.MULTI_PRED),
-        F.concat(inst, F.lit(".csv")),
-        grading.PREDICTED_COLUMNS,
-        predicted,
+    _stored(derive(spark, sf_dir, grading.MULTI_PRED), grading.PREDICTED_COLUMNS, predicted)
+    _stored(
+        derive(spark, sf_dir, grading.MULTI_GOLD), grading.GOLD_TABLE_COLUMNS, golds, "variant"
     )
-    _write_results(
-        derive(spark, sf_dir, grading.MULTI_GOLD),
-        F.concat(inst, F.lit("_"), F.col("variant").cast("string"), F.lit(".csv")),
-        grading.GOLD_TABLE_COLUMNS,
-        golds,
-    )
-    standards = _standards(spark, sf_dir)
+    gold_tables, gold_cells = packed_results.read(spark, golds)
     grades = G.grade(
-        standards,
-        *result_csv.read_predictions(spark, predicted),
-        *result_csv.read_golds(spark, golds, standards),
+        _standards(spark, sf_dir),
+        *packed_results.read(spark, predicted),
+        gold_tables.drop("read_error"),
+        gold_cells,
     )
     return G.per_instance(grades)
 
 
+def quoted_csv_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as one CSV result, with commas, quotes and line ends in its values,
+    and read back by byte ranges."""
+    path = fresh_path(spark, "quoted")
+    docs = derive(spark, sf_dir, "select doc_id, text, lang, source from {documents}")
+    docs.write.option("header", True).option("escape", '"').csv(f"{path}/documents.csv")
+    records, _ = csv_records.read_records(spark, path)
+    value = F.col("values")
+    return records.where("i > 1").select(
+        value[0].cast("bigint").alias("doc_id"),
+        F.length(value[1]).cast("bigint").alias("n_chars"),
+        F.md5(value[1]).alias("text_md5"),
+        value[2].alias("lang"),
+        value[3].alias("source"),
+    )
+
+
+QUOTED_SQL = """select doc_id, length(text) as n_chars, md5(text) as text_md5, lang, source
+from documents"""
+
 # There are no unreadable files among them: those results are absent.
 GRADE_SQL = f"""
 select 'inst=' || instance_id as instance_id,
@@ -93,9 +103,11 @@ QUERIES = {
     "questions_from_files": questions_from_files,
     "standards_from_files": standards_from_files,
     "grade_from_files": grade_from_files,
+    "quoted_csv_records": quoted_csv_records,
 }
 ORACLES = {
     "questions_from_files": context.QUESTIONS_SQL,
     "standards_from_files": STANDARDS_SQL,
     "grade_from_files": GRADE_SQL,
+    "quoted_csv_records": QUOTED_SQL,
 }

@@ -358,14 +358,14 @@ from top"""
 
 # ---------------------------------------------------------------------- result profile
 
-# Every customer asks one query; its result is the orders of the customer above a price, and
-# the values of some customers are all NULL.
+# Every customer asks one query; the result for an even key is the orders of that customer and
+# the next, that for an odd key is empty, and the values of some results are all NULL.
 PROFILE_INSTANCES = "select cast(c_custkey as string) as instance_id from {customer}"
 PROFILE_ROWS = """
-select o_custkey as inst, o_orderkey as pos,
-       case when o_custkey % 9 = 4 then null else o_totalprice end as a,
-       case when o_custkey % 3 = 1 then null else o_orderstatus end as b
-from {orders} where o_totalprice > 250000
+select inst, o_orderkey as pos,
+       case when inst % 9 = 4 then null else o_totalprice end as a,
+       case when inst % 3 = 1 then null else o_orderstatus end as b
+from (select *, o_custkey - o_custkey % 2 as inst from {orders})
 """
 
 
