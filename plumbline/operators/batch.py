@@ -16,7 +16,7 @@ from plumbline.sources.result_csv import store_result
 
 OUTCOME_SCHEMA = (
     "instance_id STRING, success BOOLEAN, n_rows BIGINT, error_message STRING, "
-    "sqlstate STRING, execution_time_ms BIGINT"
+    "sqlstate STRING, execution_time_ms BIGINT, estimated_seconds INT"
 )
 #: Fixed value: message of a statement that is not one of reading.
 NOT_READ_ONLY = "Only read-only statements are allowed"
@@ -33,7 +33,7 @@ def _run_one(spark: SparkSession, row, results: str | None):
             # Every column is evaluated, and counted on the way; no row reaches the driver.
             seen = Observation()
             result = spark.sql(row["run_sql"]).observe(seen, F.count(F.lit(1)).alias("n"))
-            if results:
+            if results and row["instance_id"] is not None:
                 store_result(spark, results, row["instance_id"], row["run_sql"], result)
             else:
                 result.write.format("noop").mode("overwrite").save()
@@ -41,7 +41,8 @@ def _run_one(spark: SparkSession, row, results: str | None):
         except PySparkException as error:
             message, state = str(error).strip(), error.getSqlState()
     elapsed = int((time.monotonic() - started) * 1000)
-    return row["instance_id"], message is None, n_rows, message, state, elapsed
+    done = row["instance_id"], message is None, n_rows, message, state, elapsed
+    return *done, row["estimated_seconds"]
 
 
 def run_batch(
@@ -56,12 +57,14 @@ def run_batch(
 
     Texts reach the driver one partition at a time; result rows never do. Statements that do
     not only read are refused. The table ``outcomes`` is replaced and then grows in chunks; the
-    error kind follows the SQLSTATE, and the message where there is none.
+    error kind follows the SQLSTATE, and the message where there is none. Repeated and NULL ids
+    are texts of their own, with one outcome each; a result without an id is not stored.
     """
     cleaned = texts.select(
         "instance_id",
         S.runnable(F.col("sql")).alias("run_sql"),
         S.is_read_only(S.runnable(F.col("sql"))).alias("read_only"),
+        S.estimated_seconds(F.col("sql")).alias("estimated_seconds"),
     )
     spark.createDataFrame([], OUTCOME_SCHEMA).write.mode("overwrite").parquet(outcomes)
     with ThreadPoolExecutor(at_once) as pool:
@@ -69,10 +72,9 @@ def run_batch(
             done = list(pool.map(lambda row: _run_one(spark, row, results), rows))
             spark.createDataFrame(done, OUTCOME_SCHEMA).write.mode("append").parquet(outcomes)
     ran = spark.read.schema(OUTCOME_SCHEMA).parquet(outcomes)
-    return ran.join(texts, "instance_id").select(
-        *ran.columns,
-        E.execution_kind(
-            F.col("success"), F.col("error_message"), F.col("sqlstate")
-        ).alias("error_type"),
-        S.estimated_seconds(F.col("sql")).alias("estimated_seconds"),
+    kind = E.execution_kind(F.col("success"), F.col("error_message"), F.col("sqlstate"))
+    return ran.select(
+        *[c for c in ran.columns if c != "estimated_seconds"],
+        kind.alias("error_type"),
+        "estimated_seconds",
     )

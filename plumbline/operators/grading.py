@@ -294,10 +294,38 @@ def _near(stat: str) -> str:
     )
 
 
+def _band(x: str) -> str:
+    """Number of the band of a value: values that ``_near`` allows are in the same band or in
+    neighbouring ones.
+
+    Bands are as wide as the tolerance: even ones where the absolute tolerance rules, ones of
+    equal ratio beyond. Missing values have no band; infinite ones have the outermost.
+    """
+    turn = N.ABSOLUTE_TOLERANCE / N.RELATIVE_TOLERANCE
+    # Twice the tolerance, as in ``_near``, and a tenth more against rounding.
+    even, ratio = 2.2 * N.ABSOLUTE_TOLERANCE, 2.2 * N.RELATIVE_TOLERANCE
+    size = (
+        f"least(abs({x}), {turn!r}D) / {even!r}D "
+        f"+ ln(greatest(abs({x}) / {turn!r}D, 1D)) / {ratio!r}D"
+    )
+    return f"floor(greatest(least(signum({x}) * ({size}), 4E18D), -4E18D))"
+
+
+def _met(gold: DataFrame, pred: DataFrame, on: list[str]) -> DataFrame:
+    """Gold and predicted columns of equal keys whose extremes are in the same or neighbouring
+    bands."""
+    for stat in ("low", "high"):
+        around = f"transform(array(-1L, 0L, 1L), d -> {_band(f'g_{stat}')} + d)"
+        gold = gold.withColumn(f"{stat}_band", F.explode(F.expr(around)))
+        pred = pred.withColumn(f"{stat}_band", F.expr(_band(f"p_{stat}")))
+    return gold.join(pred, [*on, "low_band", "high_band"])
+
+
 def _candidates(contents: DataFrame) -> DataFrame:
     """Numeric column pairs that differ but whose statistics allow a match.
 
-    Every test is necessary for a match, with slack for rounding, so none is lost.
+    Every test is necessary for a match, with slack for rounding, so none is lost. Columns meet
+    by the bands of both extremes, each gold column in its own and the neighbouring ones.
     """
     on = ["instance_id", "ignore_order", "n_rows", "n_values"]
     numbers = contents.filter("kind = 'number'")
@@ -311,8 +339,9 @@ def _candidates(contents: DataFrame) -> DataFrame:
         f"g_n_finite * {2 * N.ABSOLUTE_TOLERANCE}D + {weight} * {2 * N.RELATIVE_TOLERANCE}D "
         f"+ {weight} * g_n_finite * 2.3E-16D"
     )
+    pred = side("p", numbers.filter("p IS NOT NULL"))
     return (
-        open_gold.join(side("p", numbers.filter("p IS NOT NULL")), on)
+        _met(open_gold, pred, on)
         .filter(
             f"{_near('low')} AND {_near('high')} AND g_n_finite = p_n_finite "
             f"AND (g_n_finite = 0 OR abs(g_total - p_total) <= {slack})"

@@ -248,15 +248,21 @@ def net_balance_topk_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
         "struct('c' AS kind, o_custkey AS id, -price AS amount, fee AS fee),"
         "struct('s' AS kind, l_suppkey AS id, price AS amount, 0D AS fee)))"
     )
+    # One struct with copies of the keys: filters on keys, or fields left out, would go below
+    # the sums in each of its two uses, and both would read and sum all lines.
     totals = legs.groupBy("kind", "id").agg(
-        F.sum("amount").alias("amount"), F.sum("fee").alias("fee")
-    )
+        F.struct(
+            F.max("kind").alias("kind"),
+            F.max("id").alias("id"),
+            F.sum("amount").alias("amount"),
+            F.sum("fee").alias("fee"),
+        ).alias("own")
+    ).select("own")
     # Accounts are unique by now; only the nations' shares of the fees are summed once more.
-    accounts = totals.filter("id IS NOT NULL").select(
-        (F.col("amount") - F.col("fee")).alias("balance")
-    )
-    customers = load(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "c_nationkey")
-    fees = totals.filter("kind = 'c'").join(customers, "id")
+    accounts = totals.filter("own.id IS NOT NULL").selectExpr("own.amount - own.fee AS balance")
+    customers = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    payers = totals.filter("own.kind = 'c'")
+    fees = payers.join(customers, F.expr("own.id = c_custkey")).selectExpr("c_nationkey", "own.fee")
     nations = A.signed_totals(fees, {"fees": (F.col("c_nationkey"), F.col("fee"))})
     balances = accounts.unionByName(nations.select("balance"))
     return A.top_mean(balances, "balance", 10, 3, "mean_balance_thousands")

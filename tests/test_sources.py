@@ -327,3 +327,15 @@ def test_batch_stores_results(spark, tmp_path):
     assert batch.run_batch(spark, texts.filter("false"), str(tmp_path / "e")).count() == 0
     tables, _ = result_csv.read_predictions(spark, results)
     assert [(r["instance_id"], r["n_rows"]) for r in tables.collect()] == [("ok", 12)]
+
+
+def test_batch_keeps_one_outcome_per_text(spark, tmp_path):
+    rows = [("e", "SELECT nothing_here"), ("s", "SELECT 1"), ("dup", "SELECT 2"), ("dup", "SELECT 3 AS a JOIN"), (None, "SELECT 4")]
+    texts = spark.createDataFrame(rows, "instance_id string, sql string")
+    got = batch.run_batch(spark, texts, str(tmp_path / "outcomes"), str(tmp_path / "results")).collect()
+    assert sorted((str(r.instance_id), r.success) for r in got) == [
+        ("None", True), ("dup", False), ("dup", True), ("e", False), ("s", True),
+    ]
+    assert all(r.estimated_seconds > 0 for r in got)
+    assert {p.name for p in (tmp_path / "results").iterdir()} >= {"s.csv", "s.sql", "dup.csv"}
+    assert not list((tmp_path / "results").glob("None*"))
