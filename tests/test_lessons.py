@@ -86,3 +86,55 @@ def test_a_lesson_without_pattern_is_stored_once(spark):
     first = L.new_lessons(_lessons(spark, [None, "a"]), None)
     assert sorted(r["norm"] for r in first.collect()) == ["", "a"]
     assert L.new_lessons(_lessons(spark, [None, "A"]), first).count() == 0
+
+
+def _stored(spark, store):
+    return sorted((r["norm"], r["seq"]) for r in stream.read_store(spark, store).collect())
+
+
+def test_a_batch_reads_its_own_buckets_only(spark, tmp_path):
+    store = str(tmp_path / "store")
+    stream.append_batch(_lessons(spark, [f"pattern number {k}" for k in range(300)]), 0, store)
+    few = [3, 4]
+
+    def plan():
+        return stream._rows(spark, store, few)._jdf.queryExecution().executedPlan().toString()
+
+    own = stream.read_store(spark, store).filter(stream._bucket().isin(few)).count()
+    assert "In(bucket, [3,4])" in plan() and stream.read_store(spark, store, few).count() == own
+    stream.compact(spark, store)
+    assert "bucket" in plan().split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert stream.read_store(spark, store, few).count() == own
+
+
+def test_two_writers_of_one_pattern_leave_one_row(spark, tmp_path):
+    store, other = str(tmp_path / "store"), str(tmp_path / "other")
+    stream.append_batch(_lessons(spark, ["same", "mine"]), 0, store, "one")
+    # The second writer saw the store before the first one wrote.
+    stream.append_batch(_lessons(spark, ["x", "same"]), 0, other, "two")
+    (tmp_path / "other" / "batches" / "writer=two").rename(tmp_path / "store" / "batches" / "writer=two")
+    assert stream._rows(spark, store, None).count() == 4
+    before = _stored(spark, store)
+    assert [norm for norm, _ in before] == ["mine", "same", "x"]
+    assert stream.compact(spark, store) == 1
+    assert stream._rows(spark, store, None).count() == 3 and _stored(spark, store) == before
+
+
+def test_compaction_changes_nothing_that_is_read(spark, tmp_path):
+    store = str(tmp_path / "store")
+    assert stream.compact(spark, store) == 0
+    stream.append_batch(_lessons(spark, ["a", "b"]), 0, store)
+    stream.append_batch(_lessons(spark, ["b", "c"]), 1, store)
+    before = _stored(spark, store)
+    assert stream.compact(spark, store) == 1 and stream.compact(spark, store) == 1
+    assert _stored(spark, store) == before
+    # A batch run again after the compaction, a new one, and another compaction.
+    stream.append_batch(_lessons(spark, ["b", "c"]), 1, store)
+    assert _stored(spark, store) == before
+    stream.append_batch(_lessons(spark, ["c", "d"]), 2, store)
+    after = _stored(spark, store)
+    assert [norm for norm, _ in after] == ["a", "b", "c", "d"]
+    assert stream.compact(spark, store) == 2 and _stored(spark, store) == after
+    # One that did not come to its commit does not count.
+    (tmp_path / "store" / "base" / "generation=3").mkdir()
+    assert _stored(spark, store) == after
