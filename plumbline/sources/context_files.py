@@ -4,58 +4,42 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.session import fresh_path
+from plumbline.sources.csv_records import read_records
 from plumbline.sources.paths import file_path, or_empty
 
-# Columns a schema file may have.
-DDL_COLUMNS = 64
-
 
 def read_ddl(spark: SparkSession, path: str) -> DataFrame:
     """Tables of every ``DDL.csv`` below ``<path>/<db_id>/``; the folder names the schema.
 
-    Each file's own header says which column holds the name and which the DDL. Rows are
-    numbered once, in the table written here; a file is read by one task, so its header comes
-    before its rows.
+    Each file's own header, of any width, says which column holds the name and which the DDL.
+    ``pos`` numbers the rows of all files, files in order of their paths.
     """
     root = re.sub(r"^[a-z0-9]+:(//[^/]*)?", "", path.rstrip("/")).removeprefix("./") + "/"
-    file = file_path()
-    names = [f"c{k}" for k in range(DDL_COLUMNS)]
-    rows = (
-        spark.read.schema(", ".join(f"{n} STRING" for n in names))
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "DDL.csv")
-        .option("multiLine", True)
-        .option("escape", '"')
-        .csv(path)
-        .select(
-            file.alias("file"),
-            F.monotonically_increasing_id().alias("pos"),
-            F.array(*names).alias("cells"),
-        )
+    rows, _ = read_records(spark, path, "DDL.csv")
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    heads = rows.groupBy("file").agg(
+        F.max("i").alias("n"), F.max(F.when(F.col("i") == 1, F.col("values"))).alias("head")
     )
-    kept = fresh_path(spark, "ddl")
-    rows.write.parquet(kept)
-    rows = spark.read.schema(rows.schema).parquet(kept)
-    heads = rows.groupBy("file").agg(F.min(F.struct("pos", "cells")).alias("head"))
+    # One row per file.
+    heads = heads.withColumn("offset", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
 
     below = F.substr("file", F.instr("file", root) + F.lit(len(root)))
 
     def cell(name: str) -> Column:
-        at = F.array_position(F.transform("head.cells", lambda c: F.lower(F.trim(c))), name)
-        return F.when(at > 0, F.get("cells", (at - 1).cast("int")))
+        at = F.array_position(F.transform("head", lambda c: F.lower(F.trim(c))), name)
+        return F.when(at > 0, F.get("values", (at - 1).cast("int")))
 
     return (
         rows.join(heads, "file")
-        .filter(F.col("pos") > F.col("head.pos"))
+        .filter("i > 1")
         .select(
             F.substring_index(below, "/", 1).alias("db_id"),
             F.regexp_extract("file", r"([^/]+)/DDL\.csv$", 1).alias("schema_name"),
             cell("table_name").alias("table_name"),
-            "pos",
+            (F.col("offset") + F.col("i")).alias("pos"),
             cell("ddl").alias("ddl"),
         )
     )

@@ -136,15 +136,17 @@ def fields(record: Column) -> Column:
     return F.transform(raw, value)
 
 
-def read_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(records, open files) of all ``*.csv`` files below a path.
+def read_records(
+    spark: SparkSession, path: str, names: str = "*.csv"
+) -> tuple[DataFrame, DataFrame]:
+    """(records, open files) of all files below a path whose names fit the pattern.
 
     Records: file, i (from 1, the header) and values. A file that ends inside a quoted value
     has no records and is named by the second table.
     """
     reader = (
         spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.csv")
+        .option("pathGlobFilter", names)
         .option("lineSep", "\n")
     )
     raw = or_empty(

@@ -186,10 +186,13 @@ def test_ddl_columns_by_their_own_header(spark, tmp_path):
     _write(base / "D" / "S1" / "DDL.csv", 'table_name,DDL\nT1,"create, one"\n')
     _write(base / "D" / "S2" / "DDL.csv", 'table_name,description,DDL\nT1,about,two\n')
     _write(base / "base" / "S3" / "DDL.csv", 'ddl,Table_Name\nthree,T3\n')
+    many = [f"c{k}" for k in range(70)]
+    _write(base / "D" / "S4" / "DDL.csv", ",".join([*many, "table_name", "DDL"]) + "\n" + "x," * 70 + 'T4,"of two\nlines"\n')
     rows = context_files.read_ddl(spark, str(base)).drop("pos").collect()
     assert sorted(tuple(r) for r in rows) == [
         ("D", "S1", "T1", "create, one"),
         ("D", "S2", "T1", "two"),
+        ("D", "S4", "T4", "of two\nlines"),
         ("base", "S3", "T3", "three"),
     ]
 
