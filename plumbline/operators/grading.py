@@ -656,8 +656,18 @@ DIGEST_SIZE = 20
 DIGEST_SEPARATOR = "\n---\n"
 
 
-def failure_digest(failed: DataFrame, size: int = DIGEST_SIZE) -> DataFrame:
-    """One text with the first failures by instance id, for a reviewer."""
+def failure_digest(
+    failed: DataFrame, size: int = DIGEST_SIZE, standards: DataFrame | None = None
+) -> DataFrame:
+    """One text with the first failures, for a reviewer: in the order of the standards (their
+    ``pos``) where these are given, failures without one last; else by instance id."""
+    place = F.lit(None).cast("bigint")
+    if standards is not None:
+        failed = failed.join(
+            standards.groupBy("instance_id").agg(F.min("pos").alias("_place")), "instance_id", "left"
+        )
+        place = F.col("_place")
+    place = F.coalesce(place, F.lit((1 << 63) - 1)).alias("place")
     block = F.concat(
         F.lit("Instance: "),
         F.col("instance_id"),
@@ -670,8 +680,9 @@ def failure_digest(failed: DataFrame, size: int = DIGEST_SIZE) -> DataFrame:
         F.lit("\nError/Details: "),
         F.when(F.col("error_message") != "", F.col("error_message")).otherwise(F.col("details")),
     )
-    top = failed.select("instance_id", block.alias("block")).orderBy("instance_id").limit(size)
-    ordered = F.sort_array(F.collect_list(F.struct("instance_id", "block")))
+    top = failed.select(place, "instance_id", block.alias("block"))
+    top = top.orderBy("place", "instance_id").limit(size)
+    ordered = F.sort_array(F.collect_list(F.struct("place", "instance_id", "block")))
     return top.agg(
         F.count(F.lit(1)).alias("n_failures"),
         F.array_join(F.transform(ordered, lambda r: r.block), DIGEST_SEPARATOR).alias("digest"),

@@ -39,7 +39,7 @@ def _standards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def standards_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _standards(spark, sf_dir)
+    return _standards(spark, sf_dir).drop("pos")
 
 
 STANDARDS_SQL = plain(

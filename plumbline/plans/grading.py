@@ -262,7 +262,8 @@ def grade_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def failure_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.failure_digest(_failures(spark, sf_dir))
+    standards = derive(spark, sf_dir, MULTI_STANDARD).withColumnRenamed("inst", "pos")
+    return G.failure_digest(_failures(spark, sf_dir), standards=standards)
 
 
 _MULTI_CTES = f"""
@@ -347,12 +348,12 @@ from statuses"""
 GRADE_FAILURES_SQL = plain(f"with {_MULTI_CTES} select * from fails")
 FAILURE_DIGEST_SQL = plain(
     f"""with {_MULTI_CTES},
-top as (select * from fails order by instance_id limit 20)
+top as (select * from fails order by cast(instance_id as bigint) limit 20)
 select count(*) as n_failures,
   string_agg('Instance: ' || instance_id || chr(10) || 'Question: ' || nlq || chr(10)
     || 'Error Type: ' || error_type || chr(10) || 'SQL:' || chr(10) || sql || chr(10)
     || 'Error/Details: ' || case when error_message <> '' then error_message else details end,
-    chr(10) || '---' || chr(10) order by instance_id) as digest
+    chr(10) || '---' || chr(10) order by cast(instance_id as bigint)) as digest
 from top"""
 )
 

@@ -46,7 +46,8 @@ def choose(
 
 
 def read_standards(spark: SparkSession, path: str) -> DataFrame:
-    """Standards with ``condition_cols`` kept as written; no file means no standards."""
+    """Standards with ``condition_cols`` kept as written, and ``pos``, their place by the first
+    line of an instance; its last line counts. No file means no standards."""
     lines = or_empty(
         spark, "value STRING, pos BIGINT", lambda: positioned(spark.read.text(path))
     )
@@ -60,4 +61,5 @@ def read_standards(spark: SparkSession, path: str) -> DataFrame:
         "pos",
     )
     last = F.max_by(F.struct("condition_cols_raw", "ignore_order"), "pos").alias("s")
-    return parsed.groupBy("instance_id").agg(last).select("instance_id", "s.*")
+    rows = parsed.groupBy("instance_id").agg(last, F.min("pos").alias("pos"))
+    return rows.select("instance_id", "s.*", "pos")

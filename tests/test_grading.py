@@ -294,3 +294,17 @@ def test_untyped_columns(spark):
         "nulls": "any",
         "infinite": "number",
     }
+
+
+def test_failures_are_shown_in_the_order_of_the_standards(spark):
+    schema = "instance_id string, error_type string, sql string, error_message string, details string, nlq string"
+    failed = spark.createDataFrame([(i, "e", "s", "m", "", "q") for i in ("a", "b", "c", "d")], schema)
+    standards = spark.createDataFrame([("d", 0), ("b", 1), ("a", 2), ("d", 7)], "instance_id string, pos bigint")
+
+    def shown(**options):
+        row = G.failure_digest(failed, **options).first()
+        return row["n_failures"], [part.split("\n")[0][-1] for part in row["digest"].split("\n---\n")]
+
+    assert shown(standards=standards) == (4, ["d", "b", "a", "c"])
+    assert shown(size=2, standards=standards) == (2, ["d", "b"])
+    assert shown(size=2) == (2, ["a", "b"])
