@@ -74,11 +74,14 @@ def has_ranking(sql: Column) -> Column:
     return flag
 
 
-def estimated_seconds(sql: Column) -> Column:
-    """Seconds a statement may need, judged from the raw text."""
+def estimated_seconds(
+    sql: Column, base: int = BASE_SECONDS, cap: int = MAX_SECONDS
+) -> Column:
+    """Seconds a statement may need, judged from the raw text: at least ``base``, at most
+    ``cap``."""
     wildcard = F.when(sql.contains("LIKE '%"), WILDCARD_SECONDS).otherwise(0)
     ranking = F.when(has_ranking(sql), RANKING_SECONDS).otherwise(0)
     joins = F.greatest(_occurrences(sql, "JOIN") - FREE_JOINS, F.lit(0)) * JOIN_SECONDS
     unions = _occurrences(F.upper(sql), "UNION ALL") * UNION_SECONDS
-    total = F.lit(BASE_SECONDS) + wildcard + ranking + joins + unions
-    return F.least(total, F.lit(MAX_SECONDS)).cast("int")
+    total = F.lit(base) + wildcard + ranking + joins + unions
+    return F.least(total, F.lit(cap)).cast("int")

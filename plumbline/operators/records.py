@@ -15,6 +15,7 @@ SUCCEEDED = "succeeded"
 FAILED_REQUIREMENTS = "failed_requirements"
 FAILED_EXECUTION = "failed_execution"
 DETAIL_LENGTH = 500
+ONLY_DETAIL = "value"
 MAX_ATTEMPTS = 3
 EXPLORER_PREFIX = "EXPLORER_"
 EXPLORATION_ERROR = "exploration_syntax"
@@ -136,11 +137,13 @@ def silent_failure(success: Column, n_rows: Column, n_values: Column, kind: Colu
     )
 
 
-def hard_failures(failed: DataFrame, details: dict[str, Column]) -> DataFrame:
+def hard_failures(failed: DataFrame, details: dict[str, Column] | Column) -> DataFrame:
     """Record of each question that used up its attempts; every detail is cut.
 
-    ``failed``: instance_id, failure_type, ts.
+    ``failed``: instance_id, failure_type, ts. A plain text is the only detail of its record.
     """
+    if isinstance(details, Column):
+        details = {ONLY_DETAIL: details}
     pairs = [x for name, value in details.items() for x in (F.lit(name), value.cast("string"))]
     cut = F.transform_values(F.create_map(*pairs), lambda k, v: F.left(v, F.lit(DETAIL_LENGTH)))
     return failed.select(
@@ -158,16 +161,18 @@ def token_usage(calls: DataFrame) -> DataFrame:
     )
 
 
-def lesson_candidates(executions: DataFrame, explorations: DataFrame) -> DataFrame:
-    """Failures a lesson is drawn from: failed executions that were tried again, and every
-    failed exploration query.
+def lesson_candidates(
+    executions: DataFrame, explorations: DataFrame, max_attempts: int = MAX_ATTEMPTS
+) -> DataFrame:
+    """Failures a lesson is drawn from: failed executions that were tried again (all but those of
+    the last attempt), and every failed exploration query.
 
     ``executions``: instance_id, attempt, error_type, message, sql (error_type ``none`` for a
     success); ``explorations``: instance_id, success, message, sql.
     """
     message, sql = F.left("message", F.lit(DETAIL_LENGTH)), F.left("sql", F.lit(DETAIL_LENGTH))
     retried = executions.filter(
-        (F.col("error_type") != E.NO_ERROR) & (F.col("attempt") < MAX_ATTEMPTS)
+        (F.col("error_type") != E.NO_ERROR) & (F.col("attempt") < max_attempts)
     ).select("instance_id", "error_type", message.alias("message"), sql.alias("sql"))
     explored = explorations.filter(~F.col("success")).select(
         "instance_id",

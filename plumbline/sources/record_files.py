@@ -48,19 +48,24 @@ def write_lessons(lessons: DataFrame, path: str) -> None:
 
 
 def read_step_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Logs of all questions, one row each, steps in an array."""
-    return (
-        spark.read.schema(LOG_SCHEMA)
-        .option("multiLine", True)
-        .option("pathGlobFilter", "*_log.json")
-        .json(path)
-    )
+    """Logs of all questions, one row each, steps in an array: from files ``<id>_log.json`` of one
+    question each, and from what ``write_log_lines`` left in the same folder."""
+    reader = spark.read.schema(LOG_SCHEMA)
+    single = reader.option("multiLine", True).option("pathGlobFilter", "*_log.json").json(path)
+    reader = spark.read.schema(LOG_SCHEMA)
+    return single.unionByName(reader.option("pathGlobFilter", "part-*.json").json(path))
 
 
 def write_step_logs(logs: DataFrame, path: str) -> None:
+    """Logs as a Parquet table, for queries over many runs."""
     logs.write.mode("append").parquet(path)
 
 
+def write_log_lines(logs: DataFrame, path: str) -> None:
+    """Logs as JSON, one question per line, for ``read_step_logs``."""
+    logs.write.mode("append").json(path)
+
+
 def write_hard_failures(failures: DataFrame, path: str) -> None:
     failures.write.mode("append").partitionBy("failure_type").json(path)
 

@@ -5,6 +5,7 @@ import json
 import pandas as pd
 from pyspark.sql import functions as F
 
+from plumbline.functions import sql_text as S
 from plumbline.operators import catalogue as C
 from plumbline.operators import grading as G
 from plumbline.operators import records as R
@@ -285,6 +286,24 @@ def test_step_logs(spark, tmp_path):
     assert got == [("a", 1, "context_loaded", 5), ("a", 2, "decomposed", 25), ("a", 3, "executed", 60)]
     record_files.write_step_logs(logs, str(tmp_path / "stored"))
     assert spark.read.parquet(str(tmp_path / "stored")).first()["steps"][2]["error"] == "e"
+    record_files.write_log_lines(logs, str(tmp_path / "lines"))
+    again = record_files.read_step_logs(spark, str(tmp_path / "lines"))
+    assert again.collect() == logs.collect()
+
+
+def test_a_plain_text_is_the_only_detail(spark):
+    failed = spark.createDataFrame([("a", "x", "t", "m" * 600)], "instance_id string, failure_type string, ts string, m string")
+    assert R.hard_failures(failed, F.col("m")).first()["details"] == {"value": "m" * 500}
+
+
+def test_attempts_and_time_limits_are_parameters(spark):
+    rows = [("a", 1, "syntax", "m", "s"), ("a", 2, "syntax", "m", "s"), ("a", 3, "none", "", "s")]
+    runs = spark.createDataFrame(rows, "instance_id string, attempt int, error_type string, message string, sql string")
+    none = spark.createDataFrame([], "instance_id string, success boolean, message string, sql string")
+    assert R.lesson_candidates(runs, none).count() == 2 and R.lesson_candidates(runs, none, 2).count() == 1
+    many = F.lit("SELECT 1" + " JOIN x" * 50)
+    got = spark.range(1).select(S.estimated_seconds(F.lit("SELECT 1"), 7), S.estimated_seconds(many, 7, 99)).first()
+    assert tuple(got) == (7, 99)
 
 
 def test_hard_failures(spark, tmp_path):
