@@ -9,8 +9,16 @@ of all pages is a few counters. Then every page is read again with its host's wi
 containers of that path, in page order, give the text. A page without that path uses its own
 best one; where no container scores, all remaining blocks count.
 
+An element is beside the article by its tag, its role, or a class or id: a word of SIDE_WORDS
+that is the whole name, its last part (``site-footer``) or its first part before a word for a
+place (``ad-slot``). Names that only tell about such parts (``has-sidebar``, ``ad-free``) do not
+count. What holds the main element, or most of the page's text where this is most of the text
+of article elements or where hardly any text is outside such parts, is not beside for its names
+or for being a form; what holds reader comments is.
+
 A block is a paragraph, heading, list item, cell or the like; line breaks inside are spaces.
-White space becomes single spaces, blocks are joined by one line end, nothing is cut.
+White space becomes single spaces, blocks are joined by one line end, nothing is cut. The work
+grows with the length of a page, however deep its elements are nested.
 
 Defined cases: null and empty html give an empty text; a null url is on the host ''; pages cut
 off in a tag, comment or script end there; unclosed elements end with their container; repeated
@@ -23,6 +31,7 @@ from __future__ import annotations
 import functools
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,7 +42,7 @@ from plumbline.llm.tables import pinned
 
 # How HTML treats its elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea title svg math iframe object".split())
+RAW = set("script style noscript template textarea title svg iframe object".split())
 BLOCKS = set(
     "p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote td th caption figcaption summary address "
     "div section article main body ul ol dl table tr tbody thead tfoot figure details html "
@@ -54,6 +63,19 @@ SIDE_WORDS = set(
     "social related recommended recommendations comment comments discussion respond replies "
     "reply disqus widget widgets pagination pager copyright legal hidden skip tags".split()
 )
+#: Of these, what holds the readers' words; it is beside however much it holds.
+READERS = set("comment comments discussion respond replies reply disqus".split())
+#: Names with one of these tell about a part elsewhere, or of its absence.
+ABOUT = set(
+    "has have no not non with without is show hide use enable enabled disable disabled free on off "
+    "open closed active inactive ready supported allowed".split()
+)
+#: After a side word, these name the part itself (``ad-slot``, ``footer-links``).
+PLACES = set(
+    "area bar block bottom box button buttons column container content form group holder icons "
+    "inner item items left link links list outer panel posts right row section slot thread top "
+    "unit wrap wrapper zone".split()
+)
 SIDE_ROLES = set("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 REST = 0.1  # share of the text around a container that is not left out
 _TOKEN = re.compile(
@@ -64,7 +86,8 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _DIGITS = re.compile(r"\d+")
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+MOST = 0.5  # of a page's text, for elements that are beside by name only
 
 
 @functools.cache
@@ -72,52 +95,202 @@ def _raw_end(tag: str) -> re.Pattern:
     return re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.IGNORECASE)
 
 
-def _side(tag: str, attributes: dict[str, str], in_main: bool) -> bool:
-    """Whether an element is beside the article."""
+def _name_kind(named: str) -> str:
+    """What a class or id tells: 'readers', 'side' or nothing ('')."""
+    parts = [word.lower() for word in _WORD.findall(named)]
+    if not parts or not ABOUT.isdisjoint(parts):
+        return ""
+    word = parts[-1]
+    if word not in SIDE_WORDS:
+        word = parts[0] if word in PLACES else ""
+    return "readers" if word in READERS else "side" if word in SIDE_WORDS else ""
+
+
+_name_kind = functools.lru_cache(1 << 14)(_name_kind)
+
+
+def _side(tag: str, attributes: dict[str, str], in_main: bool) -> str:
+    """Why an element is beside the article: 'always', 'readers', 'side', or '' if it is not."""
+    if tag == "form":
+        return "side"
     if tag in SIDE_TAGS or (tag == "header" and not in_main):
-        return True
+        return "always"
     if "hidden" in attributes or attributes.get("role", "").lower() in SIDE_ROLES:
-        return True
+        return "always"
     if tag in ("html", "body", "article", "main"):
-        return False
-    named = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
-    words = SIDE_WORDS - {"header"} if in_main else SIDE_WORDS
-    return any(word in words for word in _WORD.findall(named))
+        return ""
+    kinds = set()
+    for named in (*attributes.get("class", "").split(), attributes.get("id", "")):
+        if not (in_main and "header" in named.lower()):
+            kinds.add(_name_kind(named))
+    return "readers" if "readers" in kinds else "side" if "side" in kinds else ""
 
 
 def _step(tag: str, attributes: dict[str, str]) -> str:
     names = sorted({_DIGITS.sub("N", c) for c in attributes.get("class", "").lower().split()})
-    return ".".join([tag, *names])
+    return ".".join([tag, *names]).replace("/", "|")
+
+
+class _Beside:
+    """An element that may be beside the article, within another one (or the page, the first)."""
+
+    __slots__ = ("outer", "readers", "own", "text", "articles", "n_articles", "main", "out")
+
+    def __init__(self, outer: _Beside | None, readers: bool):
+        self.outer, self.readers = outer, readers
+        self.own = 0  # characters outside links, and outside inner ones of these elements
+        self.text = 0  # the same with inner ones, but for readers' words
+        self.articles = 0  # of these, in article and main elements that begin inside
+        self.n_articles = 0
+        self.main = self.out = False
+
+    def judge(self, page: _Beside) -> None:
+        """Whether what it holds is left out; the one around it has been judged before."""
+        around = self.outer
+        whole = self.text > MOST * around.text and around.own < REST * around.text
+        whole &= self.n_articles == around.n_articles
+        most = self.text > MOST * page.text and self.articles > MOST * page.articles
+        holds = not self.readers and (self.main or most or whole)
+        self.out = self.outer.out or not holds
+
+
+class _Open:
+    """An open element: its container's path, what it is beside by, and where its article began."""
+
+    __slots__ = ("tag", "path", "beside", "always", "article")
+
+    def __init__(self, tag, path, beside, always, article):
+        self.tag, self.path, self.beside = tag, path, beside
+        self.always, self.article = always, article
+
+
+class Page:
+    """The blocks of a page in order, as (path, text, characters in links), and its paths.
+
+    A path is a number; its container is the last step, and paths have greater numbers than the
+    ones around them, so that sums over all containers within others are one pass.
+    """
+
+    def __init__(self):
+        self.blocks: list[tuple[int, str, int]] = []
+        self.steps, self.outer = [""], [0]
+        self.first_article, self.first_main = [0], [0]  # outermost of the path, or 0
+        self.numbers: dict[tuple[int, str], int] = {}
+
+    def path(self, outer: int, tag: str, step: str) -> int:
+        key = outer, step
+        if key not in self.numbers:
+            self.numbers[key] = own = len(self.steps)
+            self.steps.append(step)
+            self.outer.append(outer)
+            for firsts, wanted in ((self.first_article, "article"), (self.first_main, "main")):
+                firsts.append(firsts[outer] or (own if tag == wanted else 0))
+        return self.numbers[key]
+
+    def name(self, path: int) -> str:
+        steps = []
+        while path:
+            steps.append(self.steps[path])
+            path = self.outer[path]
+        return "".join("/" + step for step in reversed(steps))
+
+    def find(self, name: str) -> int | None:
+        path = 0
+        for step in name.split("/")[1:]:
+            path = self.numbers.get((path, step))
+            if path is None:
+                return None
+        return path
+
+    def within(self, path: int | None) -> list[tuple[int, str, int]]:
+        """The blocks in containers of a path; all of them for None."""
+        if not path:
+            return self.blocks
+        inside = [False] * len(self.steps)
+        inside[path] = True
+        for own in range(path + 1, len(inside)):
+            inside[own] = inside[self.outer[own]]
+        return [block for block in self.blocks if inside[block[0]]]
+
+    def best(self) -> int | None:
+        """The path with the highest score; one in an article or main element beats the others.
+
+        A container scores the characters outside links of its own blocks, and half of the score
+        of its inner containers, so that the element around the paragraphs of an article wins.
+        Of nested articles the outer one is taken. Elsewhere a container gives way to the nearest
+        one around it that adds text of its own, such as a headline, or in which other containers,
+        such as further sections, hold a relevant share; nothing is taken from outside a main
+        element, and the whole page only for such a share.
+        """
+        owned = [0] * len(self.steps)
+        for path, text, linked in self.blocks:
+            owned[path] += max(0, len(text) - 2 * linked)
+        total, scores = owned.copy(), [float(n) for n in owned]
+        for path in range(len(owned) - 1, 0, -1):
+            total[self.outer[path]] += total[path]
+            scores[self.outer[path]] += scores[path] / 2
+        for path in range(1, len(scores)):
+            scores[path] *= 4 if self.first_article[path] or self.first_main[path] else 1
+        top = max(scores[1:], default=0)
+        if not top:
+            return None
+        tied = [path for path in range(1, len(scores)) if scores[path] == top]
+        path = tied[0] if len(tied) == 1 else min(tied, key=self.name)
+        if self.first_article[path]:
+            return self.first_article[path]
+        main = self.first_main[path]
+        own, above = total[path], path
+        while above and above != main:
+            above = self.outer[above]
+            page = above == 0 or self.steps[above].split(".")[0] == "body"
+            if own <= (1 - REST) * total[above] or (owned[above] and not page):
+                path, own = above, total[above]
+            if page:
+                break
+        return path
 
 
 class _Reader:
     """Open elements and the block being read."""
 
     def __init__(self):
-        self.out: list[tuple[str, str, int]] = []
-        # Tag, path of the innermost container, whether beside the article, inside article or main.
-        self.stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
-        self.parts: list[str] = []
-        self.linked = 0
-        self.links = 0  # open links
+        self.page = Page()
+        self.all = _Beside(None, False)
+        self.beside = [self.all]
+        self.stack = [_Open("", 0, self.all, False, None)]
+        self.counts: Counter[str] = Counter()  # open elements by tag
+        #: Pieces of text with the element that they may be beside by, and whether in a link.
+        self.parts: list[tuple[str, _Beside, bool]] = []
+        self.read: list[tuple[int, list[tuple[str, _Beside, bool]]]] = []
+
+    def add(self, text: str) -> None:
+        top = self.stack[-1]
+        if top.always:
+            return
+        linked = self.counts["a"] > 0
+        self.parts.append((text, top.beside, linked))
+        if not linked:
+            n = len(text.strip())
+            top.beside.own += n
+            if top.article:
+                top.article.articles += n
 
     def flush(self) -> None:
-        if not self.parts:
-            return
-        text = " ".join(html_lib.unescape("".join(self.parts)).split())
-        if text:
-            self.out.append((self.stack[-1][1], text, self.linked))
-        self.parts, self.linked = [], 0
+        if self.parts:
+            self.read.append((self.stack[-1].path, self.parts))
+            self.parts = []
 
     def pop(self, depth: int) -> None:
-        for tag, *_ in self.stack[depth:]:
-            self.links -= tag == "a"
+        for element in self.stack[depth:]:
+            self.counts[element.tag] -= 1
         del self.stack[depth:]
 
     def find(self, tags: set[str], stop: set[str]) -> int:
         """Depth of the innermost of ``tags`` above any of ``stop``, or 0."""
+        if not any(self.counts[tag] for tag in tags):
+            return 0
         for depth in range(len(self.stack) - 1, 0, -1):
-            tag = self.stack[depth][0]
+            tag = self.stack[depth].tag
             if tag in tags:
                 return depth
             if tag in stop:
@@ -125,7 +298,7 @@ class _Reader:
         return 0
 
     def close(self, tag: str) -> None:
-        if self.stack[-1][0] == tag:
+        if self.stack[-1].tag == tag:
             depth = len(self.stack) - 1
         else:
             # A stray end of an inline element does not close what holds it.
@@ -137,7 +310,7 @@ class _Reader:
 
     def open(self, tag: str, rest: str) -> None:
         if tag == "br":
-            self.parts.append(" ")
+            self.add(" ")
             return
         if tag in BLOCKS:
             self.flush()
@@ -147,31 +320,57 @@ class _Reader:
             self.pop(depth)
         if tag in VOID or (rest.endswith("/") and tag not in BLOCKS):
             return
-        _, path, beside, in_main = self.stack[-1]
+        top = self.stack[-1]
         attributes: dict[str, str] = {}
         if rest and not rest.isspace():
             for m in _ATTRIBUTE.finditer(rest):
                 attributes[m[1].lower()] = html_lib.unescape(m[2] or m[3] or m[4] or "")
             if "hidden" in rest.lower().split():
                 attributes["hidden"] = ""
-        beside = beside or _side(tag, attributes, in_main)
+        why = _side(tag, attributes, top.article is not None)
+        beside, article, path = top.beside, top.article, top.path
+        if why in ("side", "readers"):
+            beside = _Beside(beside, why == "readers")
+            self.beside.append(beside)
+        if tag in ("article", "main"):
+            if article is None:
+                article = beside
+                article.n_articles += 1
+            beside.main |= tag == "main"
         if tag in CONTAINERS:
-            path = f"{path}/{_step(tag, attributes)}"
-        self.links += tag == "a"
-        self.stack.append((tag, path, beside, in_main or tag in ("article", "main")))
-
-
-def read_blocks(page: str) -> list[tuple[str, str, int]]:
-    """(path of the container, text, characters in links) of the blocks of a page, in order."""
+            path = self.page.path(path, tag, _step(tag, attributes))
+        self.counts[tag] += 1
+        self.stack.append(_Open(tag, path, beside, top.always or why == "always", article))
+
+    def finish(self) -> Page:
+        self.flush()
+        for own in reversed(self.beside):
+            own.text += own.own
+            if own.outer and not own.readers:
+                own.outer.text += own.text
+                own.outer.articles += own.articles
+                own.outer.n_articles += own.n_articles
+                own.outer.main |= own.main
+        for own in self.beside[1:]:
+            own.judge(self.all)
+        for path, parts in self.read:
+            kept = [(text, linked) for text, beside, linked in parts if not beside.out]
+            text = " ".join(html_lib.unescape("".join(text for text, _ in kept)).split())
+            if text:
+                links = sum(len(text) for text, linked in kept if linked)
+                self.page.blocks.append((path, text, links))
+        return self.page
+
+
+def read_page(html: str) -> Page:
+    """A page without what is beside its article."""
     reader = _Reader()
-    at, n = 0, len(page)
+    at, n = 0, len(html)
     while at < n:
-        found = _TOKEN.search(page, at)
+        found = _TOKEN.search(html, at)
         end = found.start() if found else n
-        if end > at and not reader.stack[-1][2]:
-            reader.parts.append(page[at:end])
-            if reader.links:
-                reader.linked += end - at
+        if end > at:
+            reader.add(html[at:end])
         if not found:
             break
         at = found.end()
@@ -183,84 +382,20 @@ def read_blocks(page: str) -> list[tuple[str, str, int]]:
             reader.close(tag)
         elif tag in RAW:
             if not found[0].endswith("/>"):
-                close = _raw_end(tag).search(page, at)
+                close = _raw_end(tag).search(html, at)
                 at = close.end() if close else n
         else:
             reader.open(tag, found[3])
-    reader.flush()
-    return reader.out
-
-
-def path_scores(blocks: list[tuple[str, str, int]]) -> tuple[dict[str, float], dict[str, float]]:
-    """(score, own text) of each container path: characters outside links of its own blocks,
-    and for the score half of what its inner containers hold, so that the element around the
-    paragraphs of an article wins."""
-    scores: dict[str, float] = {}
-    owned: dict[str, float] = {}
-    for path, text, linked in blocks:
-        own, share = max(0, len(text) - 2 * linked), 1.0
-        if own:
-            owned[path] = owned.get(path, 0.0) + own
-        while path and own:
-            scores[path] = scores.get(path, 0.0) + own * share
-            path, share = path.rpartition("/")[0], share / 2
-    return scores, owned
-
-
-def _named(path: str, tag: str) -> str:
-    """The path down to its first step of that tag, or ''."""
-    steps = path.split("/")
-    for k, step in enumerate(steps):
-        if step.split(".")[0] == tag:
-            return "/".join(steps[: k + 1])
-    return ""
-
-
-def best_path(blocks: list[tuple[str, str, int]]) -> str | None:
-    """The path with the highest score; one in an element for articles beats what surrounds it.
-
-    Of nested articles the outer one is taken. Elsewhere a container gives way to the nearest one
-    around it that adds text of its own, such as a headline, or in which other containers, such
-    as further sections, hold a relevant share; nothing is taken from outside a main element, and
-    the whole page only for such a share.
-    """
-    scores, owned = path_scores(blocks)
-    if not scores:
-        return None
-    path = min(
-        scores,
-        key=lambda p: (-scores[p] * (4 if _named(p, "article") or _named(p, "main") else 1), p),
-    )
-    if outer := _named(path, "article"):
-        return outer
-    total = lambda root: sum(n for p, n in owned.items() if _within(p, root))
-    main = _named(path, "main")
-    own, above = total(path), path
-    while above and above != main:
-        above = above.rpartition("/")[0]
-        page = above.rpartition("/")[2].split(".")[0] in ("", "body")
-        whole = total(above)
-        if own <= (1 - REST) * whole or (owned.get(above) and not page):
-            path, own = above, whole
-        if page:
-            break
-    return path
-
-
-def _within(path: str, root: str) -> bool:
-    return path == root or path.startswith(root + "/")
-
+    return reader.finish()
 
-def extract(page: str, path: str | None) -> str:
-    """Text of a page by a path, or by its own best one where it has none of that path."""
-    blocks = read_blocks(page)
-    paths = {p for p, _, _ in blocks}
 
-    if path is None or not any(_within(p, path) for p in paths):
-        path = best_path(blocks)
-    if path is None:
-        return "\n".join(text for _, text, _ in blocks)
-    return "\n".join(text for p, text, _ in blocks if _within(p, path))
+def extract(html: str, name: str | None = None) -> str:
+    """Text of a page by a path's name, or by its own best one where it has none of that path."""
+    page = read_page(html)
+    path = None if name is None else page.find(name)
+    if path is None or not page.within(path):
+        path = page.best()
+    return "\n".join(text for _, text, _ in page.within(path))
 
 
 def _pages(pages: DataFrame) -> DataFrame:
@@ -282,13 +417,13 @@ def votes(pages: DataFrame) -> DataFrame:
         for batch in batches:
             sums: dict[tuple[str, str], float] = {}
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html")):
-                blocks = read_blocks(page.as_py())
-                path = best_path(blocks)
+                own = read_page(page.as_py())
+                path = own.best()
                 if path is not None:
                     # One page is one vote, of as much weight as its path has of the text.
-                    inside = sum(len(text) for p, text, _ in blocks if _within(p, path))
-                    key = host, path
-                    whole = sum(len(text) for _, text, _ in blocks)
+                    inside = sum(len(text) for _, text, _ in own.within(path))
+                    key = host, own.name(path)
+                    whole = sum(len(text) for _, text, _ in own.blocks)
                     sums[key] = sums.get(key, 0.0) + round(inside / whole, 3)
             yield pa.RecordBatch.from_arrays(
                 [

@@ -2,6 +2,7 @@
 
 import html as html_lib
 import re
+import time
 
 from plumbline.llm import html_main
 from plumbline.llm.queries import op10_html_extraction
@@ -25,7 +26,7 @@ def test_given_pages(spark, sf_dir):
 
 
 def alone(page):
-    return html_main.extract(page, html_main.best_path(html_main.read_blocks(page)))
+    return html_main.extract(page)
 
 
 TEXT = "A sentence of the article that has some length. "
@@ -87,6 +88,54 @@ def test_cut_and_odd_pages():
     assert alone("<div>" * 3000 + "deep") == "deep"
 
 
+def test_names_that_tell_about_side_parts():
+    """Class words are no reason to leave out an element that holds the article."""
+    post, text = f"<h1>Head</h1><p>{TEXT * 3}</p>", f"Head\n{(TEXT * 3).strip()}"
+    side = f"<div class='sidebar'><p>{TEXT * 2}</p></div><footer>foot</footer>"
+    for page in (
+        f"<body><div class='site has-sidebar'><div class='post'>{post}</div>{side}</div>",
+        f"<body><div class='no-sidebar'><article>{post}</article></div>{side}",
+        f"<body><div class='post share-enabled'>{post}</div>{side}",
+        f"<body><div class='legal-text'>{post}</div>{side}",
+        f"<body><main><div class='ad-free'>{post}</div></main>{side}",
+        f"<body><div class='layout-sidebar'><main>{post}</main>{side}</div>",
+        f"<body><div class='modal-content'><article>{post}</article>{side}</div>",
+        f"<body><form id='aspnetForm'><div class='post'>{post}</div>{side}</form>",
+        f"<body><div class='widget w-1/2'><div class='post'>{post}</div></div>{side}",
+        f"<body class='menu sidebar'><article class='comments ad'>{post}</article>{side}",
+    ):
+        assert alone(page) == text, page
+
+
+def test_side_parts_by_name():
+    post, text = f"<h1>Head</h1><p>{TEXT * 3}</p>", f"Head\n{(TEXT * 3).strip()}"
+    for name in (
+        "ad", "ad-slot", "siteFooter", "site-footer", "sidebar-left", "primary-menu", "cookieNotice",
+        "nav-bar", "related-posts", "social-links", "top x ad", "ads_300", "footer-2",
+    ):
+        for article in (f"<article>{post}</article>", f"<div class='post'>{post}</div>"):
+            page = f"<body>{article}<div class='{name}'><p>Beside</p></div>"
+            assert alone(page) == text, page
+            assert alone(page.replace("class='" + name, "id='" + name)) == text, page
+    # Reader comments go, also in articles of their own and with more text than the article.
+    replies = f"<div id='comments'><ol class='comment-list'><li><article class='comment-body'><p>{TEXT * 40}</p></article></ol></div>"
+    for article in (f"<article>{post}</article>", f"<div class='post'>{post}</div>"):
+        assert alone(f"<body>{article}{replies}") == text
+        assert alone(f"<body>{article}<div class='related-posts'><article><p>{TEXT}</p></article></div>") == text
+    assert alone(f"<body><p>{TEXT}Its <math><mi>x</mi></math> counts<span class='ad'>no</span>.</p>") == f"{TEXT}Its x counts."
+
+
+def test_deeply_nested_pages_take_linear_time():
+    def seconds(n):
+        page = "<div>" * n + "<p>deep</p>" + "</section></div>" * n
+        began = time.perf_counter()
+        assert alone(page) == "deep"
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert min(seconds(16_000) for _ in range(3)) < 1
+
+
 def test_hosts_agree_on_a_path(spark):
     """A page whose own best container is another one follows its host."""
     usual = "<body><div class='story s{0}'><p>" + TEXT * 3 + "</p></div><div class='extra'><p>short {0}</p></div>"
