@@ -392,13 +392,13 @@ def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     The one with the smallest doc_id stays, the first row of it, one without id only if there is
     no other. Documents without words stay.
     """
-    rows = numbered(docs, "grouped")
-    members = ngram_jaccard_join(rows, width, percent, "_row", "text").members
+    rows, row = numbered(docs, "grouped")
+    members = ngram_jaccard_join(rows, width, percent, row, "text").members
     members = members.where("n_shingles > 0").select(
-        F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")
+        F.col("doc_id").alias(row), F.col("component_id").alias("group")
     )
-    members = pinned(rows.select("_row", "doc_id").join(members, "_row"), "members")
-    order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_row")
-    kept = members.groupBy("_group").agg(F.min(order).alias("kept"))
-    lost = members.join(kept, "_group").where(F.col("_row") != F.col("kept._row"))
-    return without(rows, lost, "_row").select(*docs.columns)
+    members = pinned(rows.select(row, "doc_id").join(members, row), "members")
+    order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", row)
+    kept = members.groupBy("group").agg(F.min(order).alias("kept"))
+    lost = members.join(kept, "group").where(F.col(row) != F.col("kept")[row])
+    return without(rows, lost, row).select(*docs.columns)

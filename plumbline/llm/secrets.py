@@ -34,7 +34,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import kernels
-from plumbline.llm.tables import filtered, folded, key_filter, numbered, pinned, texts
+from plumbline.llm.tables import (
+    filtered,
+    folded,
+    free_name,
+    key_filter,
+    numbered,
+    pinned,
+    texts,
+)
 
 KINDS = ("assign", "access", "hex", "markov")
 MIN_RUN = 16
@@ -320,34 +328,35 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", threshold: float = THRESHOLD
 
     Rows are matched to their spans by a number given to each row, so repeated ids are safe.
     """
-    rows = numbered(docs, "redact")
-    spans = secret_spans(rows, threshold, "_row", "text")
+    rows, row = numbered(docs, "redact")
+    found, masked = free_name(rows, "_spans"), free_name(rows, "_mask")
+    spans = secret_spans(rows, threshold, row, "text")
     spans = pinned(
         spans.where(F.size("spans") > 0).select(
-            F.col("doc_id").alias("_row"), F.col("spans").alias("_spans")
+            F.col("doc_id").alias(row), F.col("spans").alias(found)
         ),
         "secret_spans",
     )
-    own = key_filter(spans.select("_row"), "_row")
-    joined = filtered(rows, "_row", own).join(spans, "_row", "left")
+    own = key_filter(spans.select(row), row)
+    joined = filtered(rows, row, own).join(spans, row, "left")
     # Spans may overlap: cut the text at each start that lies beyond all earlier ends.
     cut = F.expr(
-        """aggregate(_spans, struct('' AS done, cast(0 AS bigint) AS at),
+        f"""aggregate({found}, struct('' AS done, cast(0 AS bigint) AS at),
              (s, x) -> struct(
                concat(s.done,
                  if(x.start >= s.at,
-                    concat(substring(text, cast(s.at + 1 AS int), cast(x.start - s.at AS int)), _mask),
+                    concat(substring(text, cast(s.at + 1 AS int), cast(x.start - s.at AS int)), {masked}),
                     '')) AS done,
                greatest(s.at, x.end) AS at),
              s -> concat(s.done, substring(text, cast(s.at + 1 AS int))))"""
     )
-    joined = joined.withColumn("_mask", F.lit(mask))
-    found = F.col("_spans").isNotNull()
-    joined = joined.withColumn("text", F.when(found, cut).otherwise(F.col("text")))
+    joined = joined.withColumn(masked, F.lit(mask))
+    has = F.col(found).isNotNull()
+    joined = joined.withColumn("text", F.when(has, cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         size = F.length("text").cast(docs.schema["n_chars"].dataType)
-        joined = joined.withColumn("n_chars", F.when(found, size).otherwise(F.col("n_chars")))
-    others = filtered(rows, "_row", own, passing=False)
+        joined = joined.withColumn("n_chars", F.when(has, size).otherwise(F.col("n_chars")))
+    others = filtered(rows, row, own, passing=False)
     return joined.select(*docs.columns).unionByName(others.select(*docs.columns))
 
 

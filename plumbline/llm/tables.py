@@ -131,9 +131,18 @@ def marked_rows(rows: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
     return filtered(rows, key, key_filter(chosen, key))
 
 
-def numbered(df: DataFrame, label: str) -> DataFrame:
-    """A copy of the rows with ``_row``, a number of their own that stays the same."""
-    return pinned(df.withColumn("_row", F.monotonically_increasing_id()), label)
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it in any case."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """A copy of the rows with a number of their own that stays the same, and its column."""
+    row = free_name(df, "_row")
+    return pinned(df.withColumn(row, F.monotonically_increasing_id()), label), row
 
 
 def without(rows: DataFrame, dropped: DataFrame, key: str) -> DataFrame:

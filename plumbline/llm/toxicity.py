@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm import kernels
-from plumbline.llm.tables import marked_rows, pinned, texts
+from plumbline.llm.tables import free_name, marked_rows, pinned, texts
 
 MAX_TRAIN = 30_000
 MAX_TOKENS = 20_000
@@ -312,12 +312,14 @@ def _measure(models: list[Model]):
     return measure
 
 
-def scored(rows: DataFrame, model: Model, text_col: str) -> DataFrame:
-    """The rows with ``_score`` and ``_passages``; scored where they lie, without a join."""
+def scored(
+    rows: DataFrame, model: Model, text_col: str, score_col: str, passages_col: str
+) -> DataFrame:
+    """The rows with two columns more; scored where they lie, without a join."""
     shared = rows.sparkSession.sparkContext.broadcast(model)  # MAX_TOKENS tokens at most
     passage = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("excess", pa.float64())])
     added = T.StructType.fromDDL(
-        "_score double, _passages array<struct<start: bigint, end: bigint, excess: double>>"
+        f"{score_col} double, {passages_col} array<struct<start: bigint, end: bigint, excess: double>>"
     )
     schema = T.StructType([*rows.schema.fields, *added.fields])
 
@@ -332,7 +334,7 @@ def scored(rows: DataFrame, model: Model, text_col: str) -> DataFrame:
             chance = own.probability(np.array([x for x, _ in found], float))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(chance), pa.array(shown, pa.list_(passage))],
-                [*batch.schema.names, "_score", "_passages"],
+                [*batch.schema.names, score_col, passages_col],
             )
 
     return rows.mapInArrow(score, schema)
@@ -343,7 +345,7 @@ def toxicity(
 ) -> DataFrame:
     """doc_id, held_out, score, predicted, n_passages, passages (start, end, excess; in bytes)."""
     rows = texts(docs, id_col, text_col)
-    return scored(rows, train(rows, labels), "text").select(
+    return scored(rows, train(rows, labels), "text", "_score", "_passages").select(
         F.col("id").alias("doc_id"),
         held_out(F.col("id")).alias("held_out"),
         F.col("_score").alias("score"),
@@ -356,4 +358,6 @@ def toxicity(
 def clean_documents(docs: DataFrame, labels: DataFrame, limit: float = LIMIT) -> DataFrame:
     """The documents whose score is below ``limit``."""
     model = train(texts(docs, "doc_id", "text"), labels)
-    return scored(docs, model, "text").where(F.col("_score") < limit).select(*docs.columns)
+    score, passages = free_name(docs, "_score"), free_name(docs, "_passages")
+    rows = scored(docs, model, "text", score, passages)
+    return rows.where(F.col(score) < limit).select(*docs.columns)
