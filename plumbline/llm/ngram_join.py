@@ -41,10 +41,11 @@ from plumbline.llm import kernels
 from plumbline.llm.tables import (
     KeyFilter,
     components,
+    drop_pinned,
     folded,
     key_filter,
-    marked_rows,
     numbered,
+    passing_rows,
     pinned,
     texts,
     without,
@@ -174,9 +175,14 @@ def class_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         [("f1", pa.int64()), ("f2", pa.int64()), ("n", pa.int32()), ("shingles", pa.binary())]
     )
 
+    # Only texts that may be wanted are read; one worker chooses them and builds their sets.
+    chosen = wanted.select(F.col("first_id").alias("id"))
+    shared = rows.sparkSession.sparkContext.broadcast(key_filter(chosen, "id"))  # MAX_BITS / 8 bytes
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, sets in sets_of(batch.column("text"), width):
+            own = passing_rows(batch, "id", shared.value)
+            for _, sets in sets_of(own.column("text"), width):
                 prints = [_fingerprint(own) for own in sets]
                 yield pa.RecordBatch.from_pydict(
                     {
@@ -188,8 +194,7 @@ def class_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                     schema,
                 )
 
-    chosen = wanted.select(F.col("first_id").alias("id"))
-    built = marked_rows(rows, chosen, "id").select("text").mapInArrow(
+    built = rows.select("id", "text").mapInArrow(
         build, "f1 bigint, f2 bigint, n int, shingles binary"
     )
     found = wanted.join(built, ["f1", "f2", "n"]).select("cls", "shingles")
@@ -309,6 +314,7 @@ def ngram_jaccard_join(
     entries = list_entries(classes.select("cls", "short"), key_filter(lists, "token"))
     shared = pinned(entries.join(lists, "token"), "shared")
     entries = pinned(shared.join(classes.select("cls", "n", *BITS), "cls"), "entries")
+    drop_pinned(lists, shared)
 
     # The first of a list is the one with the fewest rarer shingles: others are most likely
     # copies of it with changes.
@@ -326,11 +332,15 @@ def ngram_jaccard_join(
     star = pinned(star, "stars")
     key = classes.select("cls", "first_id", "n", "f1", "f2")
 
-    def sets(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame) -> DataFrame:
         own = pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct()
-        return pinned(class_sets(rows, pinned(key.join(own, "cls"), "wanted"), width), "sets")
+        wanted = pinned(key.join(own, "cls"), "wanted")
+        sets = pinned(class_sets(rows, wanted, width), "sets")
+        found = pinned(_search(pairs, sets, percent), "links")
+        drop_pinned(wanted, sets)
+        return found
 
-    links = pinned(_search(star, sets(star), percent), "links")
+    links = verified(star)
 
     label = components(links.select("a", "b"))
     label = label.select(F.col("node").alias("cls"), F.col("component").alias("joined"))
@@ -338,6 +348,7 @@ def ngram_jaccard_join(
         "component", F.coalesce("joined", "cls")
     )
     marked = pinned(marked.select("token", *own, "component"), "marked")
+    drop_pinned(entries)
     shares = marked.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
     main = (
         shares.groupBy("token")
@@ -363,8 +374,9 @@ def ngram_jaccard_join(
         .join(star, ["x", "y"], "left_anti")
     )
     cross = pinned(cross, "crossings")
-    more = _search(cross, sets(cross), percent)
-    links = pinned(links.unionAll(more), "links")
+    drop_pinned(marked, star)
+    links = pinned(links.unionAll(verified(cross)), "links")
+    drop_pinned(cross)
     label = components(links.select("a", "b"))
     named = classes.join(
         label.select(F.col("node").alias("cls"), "component"), "cls", "left"

@@ -15,6 +15,7 @@ from plumbline.session import fresh_path, shared_folder
 PART = 1 << 14  # bytes of a folded array that one row carries
 BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 1000
+ROW_GROUP = 1 << 24  # bytes of whole texts that an open Parquet file holds in memory
 MAX_BITS = 1 << 27  # of a row filter: 16 MB
 
 
@@ -22,8 +23,19 @@ def pinned(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: computed once, lineage cut."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.pinned_path = path
+    return table
+
+
+def drop_pinned(*tables: DataFrame) -> None:
+    """Deletes tables that ``pinned`` made: for those that nothing reads again, because what was
+    made from them has been written."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.pinned_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -110,17 +122,21 @@ def key_filter(chosen: DataFrame, key: str) -> KeyFilter:
     return KeyFilter(folded(chosen.select(key), fill, size, np.uint8, np.bitwise_or))
 
 
+def passing_rows(batch: pa.RecordBatch, key: str, own: KeyFilter, passing: bool = True) -> pa.RecordBatch:
+    """The rows of a batch whose ``key`` passes the filter or is null, or all the others."""
+    column = batch.column(batch.schema.get_field_index(key))
+    keys = column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    passed = own.passes(keys) | column.is_null().to_numpy(zero_copy_only=False)
+    return batch.filter(pa.array(passed == passing))
+
+
 def filtered(rows: DataFrame, key: str, own: KeyFilter, passing: bool = True) -> DataFrame:
     """The rows whose ``key`` (a bigint) passes the filter or is null, or all the others."""
     shared = rows.sparkSession.sparkContext.broadcast(own)  # MAX_BITS / 8 bytes at most
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(key))
-            keys = column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            passed = shared.value.passes(keys)
-            passed |= column.is_null().to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(passed == passing))
+            yield passing_rows(batch, key, shared.value, passing)
 
     return rows.mapInArrow(keep, rows.schema)
 
