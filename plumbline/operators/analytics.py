@@ -11,6 +11,7 @@ from plumbline.session import shared_folder
 
 # Keys, with one number each, up to which an aggregate is broadcast.
 BROADCAST_KEYS = 500_000
+MAX_CHECKS = 12  # of which all sets are judged
 
 
 def flags_per_key(df: DataFrame, key: str, tests: Mapping[str, Column]) -> DataFrame:
@@ -137,3 +138,47 @@ def survival(
             )
         )
     )
+
+
+def removals(
+    df: DataFrame, tests: Mapping[str, Column], join_key: str, partners: DataFrame, partner_key: str
+) -> DataFrame:
+    """Which filters or joins to take away so that rows come through.
+
+    One row for every set of checks (the tests, and ``join_partner``) without which the others
+    let rows pass: ``removed`` (names, in the order given, joined by commas; empty for none),
+    ``n_removed``, ``n_rows``, and ``minimal``: no smaller part of the set would do.
+
+    Each row becomes the mask of the checks it fails; equal masks are counted per join key, then
+    over all, and a set of checks has the rows of all masks within it. The rows are read once, and
+    at most two to the number of checks counters remain. A test that is NULL is failed, a NULL
+    key has no partner, an empty table gives no rows.
+    """
+    names = [*tests, "join_partner"]
+    if len(names) > MAX_CHECKS:
+        raise ValueError(f"at most {MAX_CHECKS - 1} tests: each doubles the sets of checks")
+    mask = F.lit(0)
+    for bit, test in enumerate(tests.values()):
+        mask = mask + F.when(test, 0).otherwise(1 << bit)
+    per_key = df.groupBy(F.col(join_key).alias("_key"), mask.alias("_mask")).agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    known = partners.select(F.col(partner_key).alias("_partner")).distinct()
+    joined = per_key.join(known, F.col("_key") == F.col("_partner"), "left")
+    alone = F.when(F.col("_partner").isNull(), 1 << len(tests)).otherwise(0)
+    masks = joined.groupBy((F.col("_mask") + alone).alias("mask")).agg(F.sum("_n").alias("n"))
+
+    every = F.sequence(F.lit(0), F.lit((1 << len(names)) - 1))
+    holding = F.filter(every, lambda s: s.bitwiseAND(F.col("mask")) == F.col("mask"))
+    sets = masks.select("mask", "n", F.explode(holding).alias("taken")).groupBy("taken").agg(
+        F.sum("n").alias("n_rows"),
+        F.sum(F.when(F.col("taken") == F.col("mask"), F.col("n"))).alias("own"),
+    )
+    shown = [F.when(F.col("taken").bitwiseAND(1 << bit) != 0, n) for bit, n in enumerate(names)]
+    return sets.select(
+        F.concat_ws(",", *shown).alias("removed"),
+        F.bit_count("taken").cast("int").alias("n_removed"),
+        "n_rows",
+        # Rows of the set's own mask only: none fails a smaller part of it.
+        F.coalesce(F.col("own") == F.col("n_rows"), F.lit(False)).alias("minimal"),
+    )

@@ -404,24 +404,29 @@ where day between 19970315 and 19980531 group by o_orderstatus
 """
 
 
-def predicate_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which filter or join removes the rows: each one alone, then all together."""
+def _checked_orders(spark: SparkSession, sf_dir: str) -> tuple:
+    """Orders, tests on them, and the join with customers of one segment."""
     orders = load(spark, sf_dir, "orders").select(
         "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice"
     )
     buildings = load(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'")
-    return A.survival(
-        orders,
-        {
-            "status_open": F.col("o_orderstatus") == "O",
-            "priority_exact": F.col("o_orderpriority") == "1-urgent",
-            "priority_any_case": F.upper("o_orderpriority") == F.upper(F.lit("1-urgent")),
-            "price_high": F.col("o_totalprice") > 200000,
-        },
-        "o_custkey",
-        buildings,
-        "c_custkey",
-    )
+    tests = {
+        "status_open": F.col("o_orderstatus") == "O",
+        "priority_exact": F.col("o_orderpriority") == "1-urgent",
+        "priority_any_case": F.upper("o_orderpriority") == F.upper(F.lit("1-urgent")),
+        "price_high": F.col("o_totalprice") > 200000,
+    }
+    return orders, tests, "o_custkey", buildings, "c_custkey"
+
+
+def predicate_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which filter or join removes the rows: each one alone, then all together."""
+    return A.survival(*_checked_orders(spark, sf_dir))
+
+
+def predicate_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every set of filters and joins without which rows come through, and the minimal ones."""
+    return A.removals(*_checked_orders(spark, sf_dir))
 
 
 _SURVIVAL_TESTS = {
@@ -445,6 +450,23 @@ PREDICATE_SURVIVAL_SQL = (
 )
 
 
+_CHECKS = [name for name in _SURVIVAL_TESTS if name not in ("all_rows", "together")]
+_FAILED = " + ".join(
+    f"case when {_SURVIVAL_TESTS[name]} then 0 else {1 << bit} end" for bit, name in enumerate(_CHECKS)
+)
+_TAKEN = ", ".join(f"case when s & {1 << bit} <> 0 then '{n}' end" for bit, n in enumerate(_CHECKS))
+PREDICATE_REMOVALS_SQL = f"""
+with j as (select * from orders left join (select * from customer
+  where c_mktsegment = 'BUILDING') on o_custkey = c_custkey),
+masks as (select {_FAILED} as m from j),
+sets as (select s, count(*) as n_rows from range({1 << len(_CHECKS)}) r(s)
+  join masks on (m & s) = m group by s)
+select concat_ws(',', {_TAKEN}) as removed, cast(bit_count(s) as integer) as n_removed, n_rows,
+  not exists (select 1 from sets t where t.s <> sets.s and (t.s & sets.s) = t.s) as minimal
+from sets
+"""
+
+
 def equal_filters_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count of rows that meet two equalities and an exclusion; NULLs never pass."""
     rows = load(spark, sf_dir, "lineitem").filter(
@@ -477,6 +499,7 @@ QUERIES = {
     "range_and_distance": range_and_distance,
     "coded_date_range": coded_date_range,
     "predicate_survival": predicate_survival,
+    "predicate_removals": predicate_removals,
     "equal_filters_count": equal_filters_count,
 }
 ORACLES = {
@@ -496,5 +519,6 @@ ORACLES = {
     "range_and_distance": RANGE_AND_DISTANCE_SQL,
     "coded_date_range": CODED_DATE_RANGE_SQL,
     "predicate_survival": PREDICATE_SURVIVAL_SQL,
+    "predicate_removals": PREDICATE_REMOVALS_SQL,
     "equal_filters_count": EQUAL_FILTERS_SQL,
 }

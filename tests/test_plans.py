@@ -42,6 +42,7 @@ def test_time_filters_reach_the_scan(spark, sf_dir):
         ("users_lapsed", 1),
         ("fee_by_correlated_avg", 2),
         ("predicate_survival", 2),
+        ("predicate_removals", 2),
     ],
 )
 def test_scans(spark, sf_dir, key, scans):
