@@ -20,7 +20,9 @@ rows; further columns are ignored; payloads of any length and content come back
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
+import re
 import struct
 import uuid
 import zipfile
@@ -40,6 +42,10 @@ from plumbline.session import fresh_path
 MIN_PAYLOAD = 1000  # shorter payloads are always kept with their record
 ARCHIVE_BYTES = 256 << 20
 BLOCK_BYTES = 32 << 20
+ARCHIVES_PER_TASK = 8
+KEPT_TYPES = ("response", "revisit")
+_HTTP_LENGTH = re.compile(rb"(?:^|\r\n)content-length:\s*(\d+)", re.IGNORECASE)
+_NUMBER = re.compile(r"-?[0-9]{1,19}")
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS = (
@@ -263,30 +269,40 @@ def index_rows(source: RangeReader) -> list[tuple[int, int]]:
             file = f"archive/{entry['filename']}"
             if file not in starts:
                 starts[file] = data_start(source, members[file])
-            out.append((starts[file] + entry["offset"], entry["length"]))
+            # Some writers have them as text.
+            out.append((starts[file] + int(entry["offset"]), int(entry["length"])))
     return sorted(out)
 
 
-def parse_record(packed: bytes) -> tuple:
-    """(page, type, refers to, target, payload size, hex digest, payload) of one record."""
+def parse_record(packed: bytes) -> tuple | None:
+    """(page, type, refers to, target, payload size, hex digest, payload) of one record.
+
+    None for records that hold no page, such as requests. Of other writers' records the page is
+    None, and a size or digest that is not given is the payload's own.
+    """
     raw = zlib.decompress(packed, 31)
     head, _, rest = raw.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+    lines = (line.partition(":") for line in head.decode(errors="replace").split("\r\n")[1:])
+    fields = {name: value.strip() for name, _, value in lines}
+    if fields["WARC-Type"] not in KEPT_TYPES:
+        return None
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
-    length = next(
-        int(line.split(":", 1)[1])
-        for line in http.decode().split("\r\n")
-        if line.lower().startswith("content-length:")
-    )
+    given = _HTTP_LENGTH.search(http)
+    length = int(given[1]) if given else len(payload)
 
     def page(name: str) -> int | None:
         found = fields.get(name, "").removeprefix("<urn:page:").removesuffix(">")
-        return int(found) if found else None
+        number = int(found) if _NUMBER.fullmatch(found) else None
+        return number if number is not None and -(1 << 63) <= number < 1 << 63 else None
 
     kind = fields["WARC-Type"]
     target = fields.get("WARC-Target-URI")
-    digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
+    given = fields.get("WARC-Payload-Digest", "")
+    if given.startswith("sha1:"):
+        digest = base64.b32decode(given.removeprefix("sha1:")).hex()
+    else:
+        digest = hashlib.sha1(payload).hexdigest()
     return (
         page("WARC-Record-ID"),
         kind,
@@ -343,6 +359,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
                         source.close()
                     source, opened = RangeReader(path), path
                 record = parse_record(source.read(at, n))
+                if record is None:
+                    continue
                 rows.append((*record, path, at))
                 held += len(record[6] or b"")
                 if held > 8 << 20:  # payloads go on in small batches
@@ -352,11 +370,16 @@ def read_archives(archives: DataFrame) -> DataFrame:
         if source is not None:
             source.close()
 
-    located = archives.select("archive").mapInArrow(
-        locate, "archive string, offset bigint, length bigint"
+    # The rows dealt are few bytes that stand for many: tasks are counted, not sized by them.
+    listed = archives.select("archive").repartition(
+        max(1, -(-archives.count() // ARCHIVES_PER_TASK)), "archive"
     )
-    block = F.floor(F.col("offset") / BLOCK_BYTES)
-    dealt = located.repartition("archive", block).sortWithinPartitions("archive", "offset")
+    located = listed.mapInArrow(locate, "archive string, offset bigint, length bigint")
+    located = located.withColumn("block", F.floor(F.col("offset") / BLOCK_BYTES))
+    located = pinned(located, "places")
+    n_blocks = located.select("archive", "block").distinct().count()
+    dealt = located.repartition(max(1, n_blocks), "archive", "block")
+    dealt = dealt.sortWithinPartitions("archive", "offset")
     return dealt.mapInArrow(read, RECORDS)
 
 
@@ -369,7 +392,7 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 def write_and_read(pages: DataFrame) -> DataFrame:
     """The pages as records, written below the shared folder and read back."""
     archives = write_archives(pages, fresh_path(pages.sparkSession, "warc"))
-    return read_archives(archives.repartition("archive"))
+    return read_archives(archives)
 
 
 def digest(records: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """Archives: exact round trips, and directories of classic and ZIP64 files."""
 
+import gzip
 import hashlib
+import json
 import random
 import zipfile
 
@@ -100,3 +102,40 @@ def test_broken_file(tmp_path):
     path.write_bytes(b"nothing here")
     with pytest.raises(ValueError):
         warc.directory(warc.RangeReader(str(path)))
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    """Sizes as text, ids that are no pages, records without a page, and sizes not given."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    made = [
+        ("warcinfo", "<urn:uuid:1>", b"software: x"),
+        ("request", "<urn:uuid:2>", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n"),
+        ("response", "<urn:uuid:3>", http + b"<p>one</p>"),
+        ("response", "<urn:page:7>", http + b"<p>seven</p>"),
+        ("response", "<urn:page:99999999999999999999>", http),
+    ]
+    data, index = b"", []
+    for kind, name, block in made:
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {name}\r\nContent-Length:{len(block)}\r\n\r\n"
+        packed = gzip.compress(head.encode() + block + b"\r\n\r\n")
+        entry = {"offset": str(len(data)), "length": str(len(packed)), "filename": "data.warc.gz"}
+        index.append(f"org,a)/ 20240101 {json.dumps(entry)}\n")
+        data += packed
+    path = str(tmp_path / "other.wacz")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as out:
+        out.writestr("archive/data.warc.gz", data)
+        out.writestr("indexes/index.cdx", "".join(index))
+    rows = warc.read_archives(spark.createDataFrame([(path,)], "archive string")).collect()
+    want = {(None, b"<p>one</p>"), (7, b"<p>seven</p>"), (None, b"")}
+    assert len(rows) == 3 and {(r.page_id, bytes(r.payload)) for r in rows} == want
+    for r in rows:
+        assert r.payload_bytes == len(r.payload)
+        assert r.payload_digest == hashlib.sha1(r.payload).hexdigest()
+
+
+def test_tasks_follow_the_blocks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_BYTES", 4096)
+    frame = spark.createDataFrame(pages(), "page_id bigint, url string, html string")
+    records = warc.write_and_read(frame)
+    blocks = {(r.archive, r.offset // 4096) for r in records.select("archive", "offset").collect()}
+    assert len(blocks) > 3 and records.rdd.getNumPartitions() == len(blocks)
