@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import numbers as N
 from plumbline.functions import semi
 from plumbline.operators import analytics as A
+from plumbline.operators import trailing
 from plumbline.sources import shards
 from plumbline.sources.tables import derive, load, plain
 
@@ -482,12 +485,33 @@ where l_linestatus = 'F' and l_linenumber = 2 and l_returnflag not in ('N', 'X')
   and l_suppkey is not null
 """
 
+LENGTHS = [7, 2]
+
+
+def trailing_active_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users who bought in the 7 and in the 2 days up to each day of a month."""
+    events = load(spark, sf_dir, "events").filter(F.col("event_type") == "purchase")
+    days = date(2024, 1, 1), date.fromisoformat(END_DAY)
+    counts = trailing.trailing_distinct(events, F.col("user_id"), F.col("ts"), *days, LENGTHS)
+    return counts.withColumnRenamed("n_keys", "n_users")
+
+
+TRAILING_SQL = f"""
+select cast(e.d as date) as end_day, n.days, count(distinct user_id) as n_users
+from range(date '2024-01-01', date '{END_DAY}' + 1, interval 1 day) e(d)
+cross join (values (7), (2)) n(days)
+left join events on event_type = 'purchase' and ts < e.d + interval 1 day
+  and ts >= e.d - to_days(n.days - 1)
+group by e.d, n.days
+"""
+
 QUERIES = {
     "shard_union_counts": shard_union_counts,
     "json_path_filter": json_path_filter,
     "json_keys_distinct": json_keys_distinct,
     "flatten_params": flatten_params,
     "active_users_distinct": active_users_distinct,
+    "trailing_active_users": trailing_active_users,
     "users_intersect": users_intersect,
     "users_lapsed": users_lapsed,
     "user_set_counts": user_set_counts,
@@ -508,6 +532,7 @@ ORACLES = {
     "json_keys_distinct": JSON_KEYS_DISTINCT_SQL,
     "flatten_params": FLATTEN_PARAMS_SQL,
     "active_users_distinct": ACTIVE_USERS_SQL,
+    "trailing_active_users": TRAILING_SQL,
     "users_intersect": USERS_INTERSECT_SQL,
     "users_lapsed": USERS_LAPSED_SQL,
     "user_set_counts": USER_SET_COUNTS_SQL,

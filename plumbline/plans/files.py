@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import grading as G
 from plumbline.plans import context, grading
 from plumbline.session import fresh_path
-from plumbline.sources import csv_records, packed_results, questions
+from plumbline.sources import csv_records, packed_results, questions, shards
 from plumbline.sources.tables import derive, plain
 
 
@@ -92,6 +92,36 @@ def quoted_csv_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUOTED_SQL = """select doc_id, length(text) as n_chars, md5(text) as text_md5, lang, source
 from documents"""
 
+OLD_SHARDS = "20240115"  # shards before this day were written without their parameters
+SHARDED = "select date_format(ts, 'yyyyMMdd') as shard, event_type, value, props from {events}"
+
+
+def shards_with_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Day shards written as folders, older ones without a column, of which those with more than a
+    fifth of errors are read."""
+    path = fresh_path(spark, "shards")
+    rows = derive(spark, sf_dir, SHARDED)
+    shards.write_shards(rows.where(F.col("shard") < OLD_SHARDS).drop("props"), path, "shard")
+    shards.write_shards(rows.where(F.col("shard") >= OLD_SHARDS), path, "shard", "append")
+    errors = rows.groupBy("shard").agg(
+        (F.count_if(F.col("event_type") == "error") * 5 > F.count(F.lit(1))).alias("many")
+    )
+    chosen = shards.listed_shards(shards.read_shards(spark, path, "shard"), "shard", errors.where("many"))
+    return chosen.groupBy("shard").agg(
+        F.count(F.lit(1)).alias("n_events"),
+        F.count("props").alias("n_props"),
+        F.round(F.sum("value"), 2).alias("total_value"),
+    )
+
+
+SHARDS_SQL = f"""
+select strftime(ts, '%Y%m%d') as shard, count(*) as n_events,
+  case when strftime(ts, '%Y%m%d') < '{OLD_SHARDS}' then 0 else count(props) end as n_props,
+  round(sum(value), 2) as total_value
+from events group by strftime(ts, '%Y%m%d')
+having count(*) filter (event_type = 'error') * 5 > count(*)
+"""
+
 # There are no unreadable files among them: those results are absent.
 GRADE_SQL = f"""
 select 'inst=' || instance_id as instance_id,
@@ -104,10 +134,12 @@ QUERIES = {
     "standards_from_files": standards_from_files,
     "grade_from_files": grade_from_files,
     "quoted_csv_records": quoted_csv_records,
+    "shards_with_errors": shards_with_errors,
 }
 ORACLES = {
     "questions_from_files": context.QUESTIONS_SQL,
     "standards_from_files": STANDARDS_SQL,
     "grade_from_files": GRADE_SQL,
     "quoted_csv_records": QUOTED_SQL,
+    "shards_with_errors": SHARDS_SQL,
 }

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import errors as E
 from plumbline.functions import sql_text as S
 from plumbline.functions.text import BLANKS
+from plumbline.operators import patterns
 from plumbline.sources.tables import derive, plain
 
 _BLANKS_SQL = "'" + BLANKS + "'"
@@ -210,12 +211,42 @@ ERROR_KINDS_SQL = (
 from found group by error_type"""
 )
 
+# The known texts as rows, behind one pattern for every third customer.
+PATTERNS = (
+    """
+select cast(c_custkey as bigint) as priority, 'USER ' || c_custkey || ';' as pattern,
+  c_mktsegment as kind from {customer} where c_custkey % 3 = 0
+union all select * from (values """
+    + ", ".join(f"({10**12 + i}, '{n}', '{k}')" for i, (n, k) in enumerate(E.ERROR_KINDS))
+    + """) as t(priority, pattern, kind)"""
+)
+USER_MESSAGES = f"select event_id, message || ' of user ' || user_id || ';' as message from ({MESSAGES})"
+
+
+def classify_by_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kind of every message by a table of patterns that grows with the customers."""
+    messages = derive(spark, sf_dir, USER_MESSAGES)
+    kinds = patterns.classify(messages, "message", derive(spark, sf_dir, PATTERNS), E.OTHER_KIND)
+    return kinds.select("event_id", "kind")
+
+
+CLASSIFY_BY_PATTERNS_SQL = plain(
+    f"""
+with m as ({USER_MESSAGES}), k as ({PATTERNS}),
+hits as (select event_id, arg_min(kind, priority) as kind
+         from m join k on contains(lower(m.message), lower(k.pattern)) group by event_id)
+select m.event_id, coalesce(h.kind, '{E.OTHER_KIND}') as kind
+from m left join hits h on h.event_id = m.event_id
+"""
+)
+
 QUERIES = {
     "sql_clean": sql_clean,
     "recon_guard_limit": recon_guard_limit,
     "timeout_estimate": timeout_estimate,
     "classify_errors": classify_errors,
     "error_kinds": error_kinds,
+    "classify_by_patterns": classify_by_patterns,
 }
 ORACLES = {
     "sql_clean": SQL_CLEAN_SQL,
@@ -223,4 +254,5 @@ ORACLES = {
     "timeout_estimate": TIMEOUT_ESTIMATE_SQL,
     "classify_errors": CLASSIFY_ERRORS_SQL,
     "error_kinds": ERROR_KINDS_SQL,
+    "classify_by_patterns": CLASSIFY_BY_PATTERNS_SQL,
 }

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+LISTED_SHARDS = 100_000
+
 
 def day_shard(ts: Column) -> Column:
     """``yyyyMMdd`` text of a timestamp."""
@@ -36,9 +38,9 @@ def coded_days_between(ts: Column, low: int, high: int) -> Column:
     )
 
 
-def write_shards(df: DataFrame, path: str, key: str) -> None:
+def write_shards(df: DataFrame, path: str, key: str, mode: str = "overwrite") -> None:
     """One folder per shard key; the rebalance hint splits a heavy day over several files."""
-    df.hint("rebalance", key).write.mode("overwrite").partitionBy(key).parquet(path)
+    df.hint("rebalance", key).write.mode(mode).partitionBy(key).parquet(path)
 
 
 def read_shards(
@@ -46,9 +48,10 @@ def read_shards(
 ) -> DataFrame:
     """All shards from ``low`` to ``high``; the bounds prune folders, not rows.
 
-    The key is declared as text, so a folder named ``0042`` keeps its zeros.
+    The key is declared as text, so a folder named ``0042`` keeps its zeros. Shards may differ in
+    their columns: one missing in some shard is NULL there (Spark merges the footers by tasks).
     """
-    fields = spark.read.parquet(path).schema.fields
+    fields = spark.read.option("mergeSchema", True).parquet(path).schema.fields
     schema = ", ".join(
         f"`{f.name}` {'string' if f.name == key else f.dataType.simpleString()}" for f in fields
     )
@@ -60,6 +63,18 @@ def read_shards(
     return shards
 
 
+def listed_shards(shards: DataFrame, key: str, listed: DataFrame) -> DataFrame:
+    """The shards whose key is in the column ``key`` of ``listed``, a table made by any query.
+
+    While there are at most ``LISTED_SHARDS`` keys, the join prunes folders at run time: those of
+    other shards are not opened. The comparison with the empty text lets every key pass; it tells
+    the optimiser that the list selects.
+    """
+    keys = listed.select(key).distinct().filter(F.col(key) >= "")
+    small = keys.count() <= LISTED_SHARDS
+    return shards.join(F.broadcast(keys) if small else keys, key, "left_semi")
+
+
 def union_shards(shards: Sequence[DataFrame]) -> DataFrame:
     """Separate shard tables as one input; a column missing in some shard is NULL there."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), shards)

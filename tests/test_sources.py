@@ -317,6 +317,21 @@ def test_hard_failures(spark, tmp_path):
     assert row["failure_type"] == "execution" and row["details"] == {"error_message": "x" * 500}
 
 
+def test_listed_shards_prune_folders(spark, tmp_path):
+    path = str(tmp_path / "s")
+    rows = spark.range(200).selectExpr("id", "lpad(id % 20, 4, '0') AS shard", "'x' AS late")
+    shards.write_shards(rows.where("shard < '0010'").drop("late"), path, "shard")
+    shards.write_shards(rows.where("shard >= '0010'"), path, "shard", "append")
+    listed = spark.createDataFrame([("0003",), ("0012",), ("0012",), ("9999",), (None,)], "shard string")
+    chosen = shards.listed_shards(shards.read_shards(spark, path, "shard"), "shard", listed)
+    got = sorted(tuple(r) for r in chosen.select("shard", "id", "late").collect())
+    want = [("0003", k, None) for k in range(3, 200, 20)] + [("0012", k, "x") for k in range(12, 200, 20)]
+    assert got == want
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+    assert shards.listed_shards(shards.read_shards(spark, path, "shard"), "shard", listed.limit(0)).count() == 0
+
+
 def test_shards(spark, tmp_path, sf_dir):
     events = load(spark, sf_dir, "events").withColumn("shard", shards.day_shard(F.col("ts")))
     shards.write_shards(events, str(tmp_path / "s"), "shard")
