@@ -5,7 +5,7 @@ shingle's inverted list holds the classes that have it. To reach the required ov
 set of n shingles, a partner must be on one of the n - T + 1 shortest lists of that set, so
 only those lists are built, in Spark, with one row per entry; the long lists are never
 gathered. What is short is settled by one table of document counts over all texts (shingles
-hashed to a fixed number of counters, so its size does not follow the data). Two entries of a
+hashed to about as many counters as there are shingles, up to a fixed number). Two entries of a
 list become candidates only if the place of the shingle among each one's short lists leaves
 room for T, which depends on both sizes, and if the parities of both sets in some hundred
 buckets, whose difference never exceeds that of the sets, do not rule T out.
@@ -42,7 +42,6 @@ from plumbline.llm.tables import (
     KeyFilter,
     components,
     drop_pinned,
-    folded,
     key_filter,
     numbered,
     passing_rows,
@@ -51,7 +50,11 @@ from plumbline.llm.tables import (
     without,
 )
 
-COUNTERS = 1 << 20
+MAX_COUNTERS = 1 << 25  # of one byte
+WORD_BYTES = 8  # bytes of text for one counter
+SPAN = 1 << 16  # counters that are summed together
+HELD = 1 << 22  # shingles that a task holds before it sends their counts
+STEPS = 8  # codes for each doubling of a count: a byte reaches beyond 2^31
 MU = 0.01  # DivideSkip's weight of a probe against a merge step
 PARITY = 256  # buckets
 BITS = [f"p{k}" for k in range(PARITY // 64)]
@@ -79,26 +82,82 @@ def _fingerprint(own: np.ndarray) -> tuple[int, int]:
     return int(one.astype(np.int64)), int(two.astype(np.int64))
 
 
-def _slot(hashes: np.ndarray) -> np.ndarray:
-    return (hashes & np.uint64(COUNTERS - 1)).astype(np.int64)
+def _slot(hashes: np.ndarray, size: int) -> np.ndarray:
+    return (hashes & np.uint64(size - 1)).astype(np.uint32)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Whole numbers with all first bytes before all second ones, which packs small ones well."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _unplaned(data: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def _partial_counts(slots: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
+    """One row per span of counters: which of them were met, as steps, and how often."""
+    met, times = np.unique(slots, return_counts=True)
+    cuts = np.flatnonzero(np.diff(met // SPAN)) + 1
+    rows = [
+        (
+            int(one[0]) // SPAN,
+            _planes(np.diff(one % SPAN, prepend=np.uint32(0)).astype(np.uint16)),
+            _planes(n.astype(np.uint32)),
+        )
+        for one, n in zip(np.split(met, cuts), np.split(times, cuts))
+        if len(one)
+    ]
+    return pa.RecordBatch.from_pydict(
+        {name: [row[k] for row in rows] for k, name in enumerate(schema.names)}, schema
+    )
 
 
 def document_counts(rows: DataFrame, width: int) -> np.ndarray:
-    """How many texts have a shingle in each counter, over all texts."""
+    """How many texts have a shingle in each counter, over all texts, as one byte each: 0 for
+    none, else 1 and STEPS more for each doubling.
+
+    There are about as many counters as shingles, up to MAX_COUNTERS. Tasks send the counters
+    they met and no others; the sums are made per span of counters.
+    """
+    n_bytes = rows.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    size = min(MAX_COUNTERS, max(SPAN, 1 << (n_bytes // WORD_BYTES).bit_length()))
+    schema = pa.schema([("span", pa.int32()), ("steps", pa.binary()), ("times", pa.binary())])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        total = np.zeros(COUNTERS, np.uint32)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for batch in batches:
             for _, sets in sets_of(batch.column("text"), width):
-                total += np.bincount(_slot(np.concatenate(sets)), minlength=COUNTERS).astype("u4")
-        return total
-
-    return folded(rows.select("text"), count, COUNTERS, np.uint32, np.add)
+                held += [_slot(own, size) for own in sets]
+                if sum(map(len, held)) >= HELD:
+                    yield _partial_counts(np.concatenate(held), schema)
+                    held = []
+        if held:
+            yield _partial_counts(np.concatenate(held), schema)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for span, steps, times in zip(*(column.to_pylist() for column in batch.columns)):
+                own = total.setdefault(span, np.zeros(SPAN, np.uint64))
+                own[np.cumsum(_unplaned(steps, np.uint16), dtype=np.int64)] += _unplaned(times, np.uint32)
+        for span, own in total.items():
+            code = np.floor(np.log2(np.maximum(own, 1)) * STEPS) + (own > 0)
+            data = np.minimum(code, 255).astype(np.uint8).tobytes()
+            yield pa.RecordBatch.from_pydict({"span": pa.array([span], pa.int32()), "data": [data]})
+
+    parts = rows.select("text").mapInArrow(count, "span int, steps binary, times binary")
+    parts = parts.repartition(16, "span").mapInArrow(add, "span int, data binary")
+    out = np.zeros(size, np.uint8)
+    for span, data in parts.collect():  # MAX_COUNTERS bytes at most
+        out[span * SPAN : (span + 1) * SPAN] = np.frombuffer(data, np.uint8)
+    return out
 
 
 def signatures(rows: DataFrame, width: int, percent: int, counts: np.ndarray) -> DataFrame:
     """Per text: size and fingerprint of its set, and the shingles whose lists are shortest."""
-    shared = rows.sparkSession.sparkContext.broadcast(counts)  # COUNTERS numbers of 4 bytes
+    shared = rows.sparkSession.sparkContext.broadcast(counts)  # MAX_COUNTERS bytes at most
     schema = pa.schema(
         [
             ("id", pa.int64()),
@@ -121,10 +180,11 @@ def signatures(rows: DataFrame, width: int, percent: int, counts: np.ndarray) ->
                     odd = np.bincount((own >> np.uint64(40)).astype(np.int64) % PARITY, minlength=PARITY)
                     row[:] = np.packbits((odd & 1).astype(np.uint8)).view(np.int64)
                     keep = len(own) + (percent * len(own)) // -100 + 1 if len(own) else 0
-                    frequency = table[_slot(own)]
+                    frequency = table[_slot(own, len(table))]
                     limit = np.partition(frequency, keep - 1)[keep - 1] if keep else 0
                     near = np.flatnonzero(frequency <= limit)
-                    near = near[np.lexsort((own[near], frequency[near]))][:keep]
+                    # Sets are sorted, so equal counts stay in the order of their hashes.
+                    near = near[np.argsort(frequency[near], kind="stable")][:keep]
                     short.append(own[near].view(np.int64))
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in short])])
                 yield pa.RecordBatch.from_arrays(
