@@ -5,7 +5,7 @@ shingle's inverted list holds the classes that have it. To reach the required ov
 set of n shingles, a partner must be on one of the n - T + 1 shortest lists of that set, so
 only those lists are built, in Spark, with one row per entry; the long lists are never
 gathered. What is short is settled by one table of document counts over all texts (shingles
-hashed to about as many counters as there are shingles, up to a fixed number). Two entries of a
+hashed to counters in proportion to the texts, up to a fixed number). Two entries of a
 list become candidates only if the place of the shingle among each one's short lists leaves
 room for T, which depends on both sizes, and if the parities of both sets in some hundred
 buckets, whose difference never exceeds that of the sets, do not rule T out.
@@ -51,9 +51,9 @@ from plumbline.llm.tables import (
 )
 
 MAX_COUNTERS = 1 << 25  # of one byte
-WORD_BYTES = 8  # bytes of text for one counter
+WORD_BYTES = 32  # bytes of text for one counter: a table of 3 % of the text
 SPAN = 1 << 16  # counters that are summed together
-HELD = 1 << 22  # shingles that a task holds before it sends their counts
+HELD = 1 << 20  # shingles that a task holds before it sends their counts
 STEPS = 8  # codes for each doubling of a count: a byte reaches beyond 2^31
 MU = 0.01  # DivideSkip's weight of a probe against a merge step
 PARITY = 256  # buckets
@@ -118,7 +118,7 @@ def document_counts(rows: DataFrame, width: int) -> np.ndarray:
     """How many texts have a shingle in each counter, over all texts, as one byte each: 0 for
     none, else 1 and STEPS more for each doubling.
 
-    There are about as many counters as shingles, up to MAX_COUNTERS. Tasks send the counters
+    There is a counter for every WORD_BYTES of text, up to MAX_COUNTERS. Tasks send the counters
     they met and no others; the sums are made per span of counters.
     """
     n_bytes = rows.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0

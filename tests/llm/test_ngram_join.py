@@ -5,6 +5,7 @@ import re
 import string
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plumbline.llm import ngram_join
@@ -111,3 +112,18 @@ def test_divide_skip_finds_what_counting_finds():
             if len(np.intersect1d(query, own)) >= needed[k]
         ]
         assert sorted(ngram_join.divide_skip(query, others, needed)) == expected
+
+
+def test_document_counts(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HELD", 500)  # several rows of partial counts a task
+    rows = corpus()
+    docs = spark.createDataFrame([(k, t or "") for k, (_, t) in enumerate(rows)], "id bigint, text string")
+    got = ngram_join.document_counts(docs.repartition(3), 4)
+    want = np.zeros(len(got), np.int64)
+    for _, sets in ngram_join.sets_of(pa.array([t or "" for _, t in rows]), 4):
+        for own in sets:
+            want += np.bincount(ngram_join._slot(own, len(got)), minlength=len(got))
+    assert len(got) == ngram_join.SPAN and want.max() > 20
+    assert (got == np.where(want, np.floor(np.log2(np.maximum(want, 1)) * ngram_join.STEPS) + 1, 0)).all()
+    empty = ngram_join.document_counts(docs.where("id < 0"), 4)
+    assert not empty.any()
