@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["analytics", "grading", "sql_texts", "context", "records", "files", "profiles"]
+FAMILIES = ["analytics", "grading", "sql_texts", "context", "records", "files", "profiles", "explorations"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
