@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators import grading as G
-from plumbline.sources.tables import derive, plain, spread
+from plumbline.sources.tables import derive, plain
 
 # ------------------------------------------------------------------ ordered comparison
 
@@ -51,7 +51,7 @@ def _side(spark, sf_dir, text, columns, variant=None):
     rows = derive(spark, sf_dir, text)
     return (
         G.tables_of(rows, "inst", columns, variant),
-        G.cells_of(spread(rows, "inst", "pos"), "inst", "pos", columns, variant),
+        G.rows_of(rows, "inst", "pos", columns, variant),
     )
 
 
