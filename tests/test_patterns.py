@@ -65,3 +65,21 @@ def test_empty(spark):
     none = spark.createDataFrame([], KIND)
     assert [r["kind"] for r in patterns.classify(rows, "message", none, "other").collect()] == ["other"]
     assert patterns.classify(rows.limit(0), "message", none, "other").count() == 0
+
+
+def test_patterns_met_do_not_grow_with_the_table(spark):
+    """Alike patterns are filed under longer pieces, and pieces that begin like none stay away."""
+    table = spark.range(40_000).selectExpr("id AS priority", "'user ' || id || ';' AS pattern", "id || '' AS kind")
+    index = patterns.pattern_index(table)
+    assert index.count() == 40_000
+    most = index.groupBy("gram").count().agg(F.max("count")).first()[0]
+    assert most <= patterns.SHARED
+    texts = spark.range(500).selectExpr("'003540: by user ' || id * 97 || '; near the end of it' AS text")
+    spelt = texts.withColumn("chars", patterns._chars(F.col("text")))
+    for limit in (patterns.BROADCAST_PATTERNS, 0):
+        assert patterns._met(spelt, index, limit).count() <= 500 * 16
+    plan = patterns._met(spelt, index, 0)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
+    rows = spark.range(600).selectExpr("id", "'003540: by USER ' || id * 97 || '; near' AS message")
+    got = patterns.classify(rows, "message", table, "none", broadcast_patterns=0)
+    assert got.where("kind <> IF(id * 97 < 40000, string(id * 97), 'none')").count() == 0 and got.count() == 600
