@@ -41,6 +41,8 @@ from plumbline.sources.tables import spread
 
 CACHED_WORDS = 400_000
 LONGEST_CACHED = 40  # characters
+FACTS = 6  # numbers kept of a word
+FEW_LINKS = 64  # of a group whose links are listed one by one
 BROADCAST_PAIRS = 1 << 18  # id pairs with their counts: some 20 MB
 
 _UNEVEN = re.compile(r"\s\s|^\s|\s$")
@@ -86,14 +88,15 @@ def shared_groups(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int,
 
 
 class Aligned(NamedTuple):
-    """A stretch of text. ``pairs``: (a << 32 | b, links), in any order."""
+    """A stretch of text. ``pairs``: keys a << 32 | b, in any order and maybe more than once, and
+    the number of links of each."""
 
     n_a: int
     n_b: int
     n_groups: int
     n_links: int
     groups: str
-    pairs: list[tuple[int, int]]
+    pairs: tuple[list[int], list[int]]
     same: bool  # the tokens give back the text
 
 
@@ -124,9 +127,14 @@ class Aligner(dict):
         #: Whether the second tokenizer, like the first, cuts between letters and signs.
         normal = [p for k, p in enumerate(pieces) if not (library.is_byte(k) or library.is_control(k))]
         self.splits = not any(_SIGNS.search(p) for p in normal if p != "<unk>")
-        self.parts: dict[tuple[str, bool], Aligned] = {}
+        self.lengths_a, self.lengths_b = list(map(len, self.bytes_a)), list(map(len, self.bytes_b))
+        self.high_a = [k << 32 for k in range(len(self.bytes_a))]
+        self.shown_a = [f"{k}|" for k in range(len(self.bytes_a))]
+        self.shown_b = list(map(str, range(len(self.bytes_b))))
+        self.parts: dict[str, Aligned] = {}
+        self.inner: dict[str, Aligned] = {}
         self.groups: list[str] = []
-        self.numbers: list[tuple[int, int, int, int, bool, int]] = []  # the last: its pairs
+        self.facts = array("q")  # FACTS of each: four sums, whether it is whole, its pairs
         self.keys, self.links = array("q"), array("q")
         self.kept = 0
         self.seen = bytearray(1 << 22)
@@ -134,17 +142,23 @@ class Aligner(dict):
     def __missing__(self, word: str | tuple[str]) -> int:
         made = self.word(word if word[:1] == "\n" else " " + word) if isinstance(word, str) else self.stretch(*word)
         number = self[word] = len(self.groups)
-        self.groups.append(made.groups)
-        self.numbers.append((*made[:4], made.same, len(made.pairs)))
-        self.keys.extend([key for key, _ in made.pairs])
-        self.links.extend([links for _, links in made.pairs])
+        n_a, n_b, n_groups, n_links, groups, (keys, links), same = made
+        self.groups.append(groups)
+        self.facts.extend((n_a, n_b, n_groups, n_links, same, len(keys)))
+        self.keys.extend(keys)
+        self.links.extend(links)
         return number
 
+    @property
+    def numbers(self) -> np.ndarray:
+        """FACTS of each word, a copy."""
+        return np.array(self.facts, np.int64).reshape(-1, FACTS)
+
     def forget(self) -> None:
         """Of the words that are new since the last call, keeps those met before it as well, up
         to CACHED_WORDS in all; rare words would fill the memory and not come again."""
         tail = list(islice(self, self.kept, None))
-        rows = self.numbers[self.kept :]
+        rows = np.array(self.facts[self.kept * FACTS :], np.int64).reshape(-1, FACTS)
         keep = []
         for word in tail:
             at = hash(word) & (len(self.seen) - 1)
@@ -153,17 +167,16 @@ class Aligner(dict):
             del self[word]
         keep = np.array(keep, bool)
         keep &= np.cumsum(keep) <= CACHED_WORDS - self.kept
-        sizes = np.array([row[5] for row in rows], np.int64)
-        chosen = np.repeat(keep, sizes)
+        chosen = np.repeat(keep, rows[:, 5])
         start = len(self.keys) - len(chosen)
         for column in (self.keys, self.links):
             kept = np.array(column[start:], np.int64)[chosen].tobytes()
             del column[start:]
             column.frombytes(kept)
         groups = self.groups[self.kept :]
-        del self.groups[self.kept :], self.numbers[self.kept :]
+        del self.groups[self.kept :], self.facts[self.kept * FACTS :]
         self.groups.extend(compress(groups, keep))
-        self.numbers.extend(compress(rows, keep))
+        self.facts.frombytes(rows[keep].tobytes())
         for word in compress(tail, keep):
             self[word] = self.kept
             self.kept += 1
@@ -173,21 +186,26 @@ class Aligner(dict):
         parts = _SIGNS.split(text) if self.splits else [text]
         if len(parts) == 1:
             return self.stretch(text)
-        found = []
-        for at, part in enumerate(parts):
-            made = self.parts.get((part, at > 0))
+        n_a = n_b = n_groups = n_links = 0
+        shown, keys, times, whole = [], [], [], True
+        known = self.parts
+        for part in parts:
+            made = known.get(part)
             if made is None:
-                made = self.stretch(part, at > 0)
-                if len(part) <= LONGEST_CACHED and len(self.parts) < CACHED_WORDS // 4:
-                    self.parts[part, at > 0] = made
-            found.append(made)
-        pairs: dict[int, int] = {}
-        for made in found:
-            for key, links in made.pairs:
-                pairs[key] = pairs.get(key, 0) + links
-        sums = [sum(column) for column in list(zip(*found))[:4]]
-        groups = ";".join([made.groups for made in found])
-        return Aligned(*sums, groups, list(pairs.items()), all(made.same for made in found))
+                made = self.stretch(part, known is self.inner)
+                if len(part) <= LONGEST_CACHED and len(self.parts) + len(self.inner) < CACHED_WORDS // 4:
+                    known[part] = made
+            known = self.inner
+            own_a, own_b, own_groups, own_links, groups, (own_keys, own_times), same = made
+            n_a += own_a
+            n_b += own_b
+            n_groups += own_groups
+            n_links += own_links
+            shown.append(groups)
+            keys += own_keys
+            times += own_times
+            whole = whole and same
+        return Aligned(n_a, n_b, n_groups, n_links, ";".join(shown), (keys, times), whole)
 
     def stretch(self, text: str, inner: bool = False) -> Aligned:
         """Alignment of a text that starts with a space or a line end, or stands inside a word."""
@@ -198,30 +216,42 @@ class Aligner(dict):
             ids_b = self.encode_b(text[1:]) if len(text) > 1 else [self.lead_b]
         else:
             ids_b = self.encode_b(text)[1:]
-        bytes_a, bytes_b = [self.bytes_a[k] for k in ids_a], [self.bytes_b[k] for k in ids_b]
+        lengths_a, lengths_b, bytes_b = self.lengths_a, self.lengths_b, self.bytes_b
+        ends_a = list(accumulate([lengths_a[k] for k in ids_a]))
         whole = text.encode()
-        if b"".join(bytes_a) != whole or b"".join(bytes_b) != whole:
-            return Aligned(0, 0, 0, 0, "", [], False)
-        groups, pairs, n_links = [], {}, 0
-        ends_a, ends_b = list(accumulate(map(len, bytes_a))), list(accumulate(map(len, bytes_b)))
+        # The first tokenizer leaves bytes out or keeps them, so their number tells.
+        if not ends_a or ends_a[-1] != len(whole) or b"".join([bytes_b[k] for k in ids_b]) != whole:
+            return Aligned(0, 0, 0, 0, "", ([], []), False)
+        ends_b = list(accumulate([lengths_b[k] for k in ids_b]))
+        high_a, shown_a, shown_b = self.high_a, self.shown_a, self.shown_b
+        if ends_a == ends_b:  # every cut is shared
+            keys = [high_a[a] | b for a, b in zip(ids_a, ids_b)]
+            groups = ";".join([shown_a[a] + shown_b[b] for a, b in zip(ids_a, ids_b)])
+            n = len(ids_a)
+            return Aligned(n, n, n, n, groups, (keys, [1] * n), True)
+        groups, keys, times, n_links = [], [], [], 0
         for a0, a1, b0, b1 in shared_groups(ends_a, ends_b):
             if a1 - a0 == 1 == b1 - b0:
                 a, b = ids_a[a0], ids_b[b0]
-                groups.append(f"{a}|{b}")
+                groups.append(shown_a[a] + shown_b[b])
                 n_links += 1
-                pairs[a << 32 | b] = pairs.get(a << 32 | b, 0) + 1
+                keys.append(high_a[a] | b)
+                times.append(1)
                 continue
             own_a, own_b = ids_a[a0:a1], ids_b[b0:b1]
-            groups.append(",".join(map(str, own_a)) + "|" + ",".join(map(str, own_b)))
-            n_links += len(own_a) * len(own_b)
+            groups.append(",".join(map(str, own_a)) + "|" + ",".join([shown_b[b] for b in own_b]))
+            n = len(own_a) * len(own_b)
+            n_links += n
+            if n <= FEW_LINKS:
+                keys += [high_a[a] | b for a in own_a for b in own_b]
+                times += [1] * n
+                continue
             # A long group may repeat few ids very often.
             own_b = list(Counter(own_b).items())
-            for a, times in Counter(own_a).items():
-                for b, others in own_b:
-                    pairs[a << 32 | b] = pairs.get(a << 32 | b, 0) + times * others
-        return Aligned(
-            len(ids_a), len(ids_b), len(groups), n_links, ";".join(groups), list(pairs.items()), True
-        )
+            for a, many in Counter(own_a).items():
+                keys += [high_a[a] | b for b, _ in own_b]
+                times += [many * others for _, others in own_b]
+        return Aligned(len(ids_a), len(ids_b), len(groups), n_links, ";".join(groups), (keys, times), True)
 
     def words(self, text: str) -> list[str | tuple[str]]:
         """The text, after a space, cut where both tokenizers surely cut. Words come without
@@ -237,9 +267,9 @@ class Aligner(dict):
 
     def aligned(self, texts: list[str]) -> list[Aligned]:
         """Alignments of whole texts, each after a space. ``pairs`` are two arrays, of keys in
-        order and of links."""
+        order, each once, and of links."""
         numbers = [list(map(self.__getitem__, self.words(text))) for text in texts]
-        facts = np.array(self.numbers, np.int64).reshape(-1, 6)
+        facts = np.frombuffer(self.facts, np.int64).reshape(-1, FACTS)
         keys, links = np.frombuffer(self.keys, np.int64), np.frombuffer(self.links, np.int64)
         starts = np.cumsum(facts[:, 5]) - facts[:, 5]
         out = []
@@ -258,7 +288,7 @@ class Aligner(dict):
             sums = counts[:, :4].sum(0).tolist()
             groups = ";".join(map(self.groups.__getitem__, own))
             out.append(Aligned(*sums, groups, (found, times), True))
-        del keys, links  # a view of an array forbids its change
+        del facts, keys, links  # a view of an array forbids its change
         self.forget()
         return out
 

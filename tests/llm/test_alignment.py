@@ -151,3 +151,13 @@ def test_query_over_the_whole_table(spark, sf_dir):
     want = [(r.doc_id, *d) for r, d in zip(docs, digests([r.text for r in docs]))]
     got = queries.op13_tokenizer_alignment(spark, sf_dir).collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_words_with_all_cuts_shared_are_not_searched(monkeypatch):
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    usual = alignment.Aligner(*paths).aligned(["the cat and the dog", "", "(the) end,"])
+    monkeypatch.setattr(alignment, "shared_groups", lambda *ends: pytest.fail("searched"))
+    again = alignment.Aligner(*paths).aligned(["the cat and the dog", "", "(the) end,"])
+    for made, other in zip(usual, again):
+        assert made[:5] == other[:5] and made.n_links == made.pairs[1].sum()
+        assert [a.tolist() for a in made.pairs] == [a.tolist() for a in other.pairs]
