@@ -33,7 +33,7 @@ def transcript_with_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = users.select(F.col("db_id").alias("schema_name")).distinct()
     lines = C.column_roster(
         derive(spark, sf_dir, CATALOGUE), derive(spark, sf_dir, CATALOGUE_COLUMNS)
-    ).join(asked, "schema_name", "left_semi")
+    ).join(asked, "schema_name")  # distinct; a semi join would go below a union with constant names
     rosters = C.roster_text(lines, "schema_name").withColumnRenamed("schema_name", "db_id")
     return transcripts(users, derive(spark, sf_dir, STEPS), rosters, BUDGET, QUERY_BUDGET)
 
